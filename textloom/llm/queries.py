@@ -7,20 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm.exact_dedup import dedup_digests
+from textloom.llm.quality_rules import quality_table
+from textloom.llm.secret_scan import secret_digest
 from textloom.llm.sharding import shard_table
 from textloom.session import table
 
 
+def op2_automaton_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_table(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=16)
 
 
+def op5_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_feistel_sharding, op10_bloom_exact_dedup)}
+    return {f.__name__: f for f in (op2_automaton_secrets, op3_feistel_sharding, op5_rule_quality, op10_bloom_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
