@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import public_tokenizers
+
+from textloom.llm.byte_bpe import bpe_digest
 from textloom.llm.exact_dedup import dedup_digests
 from textloom.llm.quality_rules import quality_table
 from textloom.llm.secret_scan import secret_digest
 from textloom.llm.sharding import shard_table
+from textloom.llm.token_files import token_table
 from textloom.session import table
 
 
@@ -21,16 +25,24 @@ def op3_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_table(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=16)
 
 
+def op4_perfect_hash_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_table(table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 def op5_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_duckdb_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digest(table(spark, sf_dir, "documents"), path=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
+
+
 def op10_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_automaton_secrets, op3_feistel_sharding, op5_rule_quality, op10_bloom_exact_dedup)}
+    return {f.__name__: f for f in (op2_automaton_secrets, op3_feistel_sharding, op4_perfect_hash_tokens, op5_rule_quality, op8_duckdb_byte_bpe, op10_bloom_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
