@@ -10,6 +10,7 @@ import public_tokenizers
 
 from textloom.llm.byte_bpe import bpe_digest
 from textloom.llm.exact_dedup import dedup_digests
+from textloom.llm.ngram_join import jaccard_components
 from textloom.llm.quality_rules import quality_table
 from textloom.llm.secret_scan import secret_digest
 from textloom.llm.sharding import shard_table
@@ -33,6 +34,10 @@ def op5_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_heavy_light_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op8_duckdb_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(table(spark, sf_dir, "documents"), path=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
 
@@ -42,7 +47,7 @@ def op10_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_automaton_secrets, op3_feistel_sharding, op4_perfect_hash_tokens, op5_rule_quality, op8_duckdb_byte_bpe, op10_bloom_exact_dedup)}
+    return {f.__name__: f for f in (op2_automaton_secrets, op3_feistel_sharding, op4_perfect_hash_tokens, op5_rule_quality, op7_heavy_light_jaccard, op8_duckdb_byte_bpe, op10_bloom_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
