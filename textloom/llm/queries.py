@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 
 from textloom.llm.byte_bpe import bpe_digest
+from textloom.llm.chat_format import format_chats
+from textloom.llm.decontamination import contamination_table
 from textloom.llm.exact_dedup import dedup_digests
+from textloom.llm.license_scan import license_table
 from textloom.llm.ngram_join import jaccard_components
 from textloom.llm.quality_rules import quality_table
 from textloom.llm.secret_scan import secret_digest
@@ -18,6 +21,10 @@ from textloom.llm.token_files import token_table
 from textloom.session import table
 
 
+def op1_chat_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op2_automaton_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
@@ -34,6 +41,10 @@ def op5_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_heavy_light_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
 
@@ -42,12 +53,20 @@ def op8_duckdb_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(table(spark, sf_dir, "documents"), path=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
 
 
+def op9_compression_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_table(table(spark, sf_dir, "documents"))
+
+
 def op10_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_automaton_secrets, op3_feistel_sharding, op4_perfect_hash_tokens, op5_rule_quality, op7_heavy_light_jaccard, op8_duckdb_byte_bpe, op10_bloom_exact_dedup)}
+    ops = (
+        op1_chat_role_repair, op2_automaton_secrets, op3_feistel_sharding, op4_perfect_hash_tokens, op5_rule_quality, op6_spaced_seed_decontamination,
+        op7_heavy_light_jaccard, op8_duckdb_byte_bpe, op9_compression_licenses, op10_bloom_exact_dedup,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
