@@ -30,6 +30,7 @@ from textloom.session import ship, written
 SMALL_MAX = 24
 #: A shingle in more prefixes than this is frequent and goes behind all others in the order.
 FREQUENT = 100
+FREQUENT_MOST = 500_000
 #: Cost of comparing two sets against that of shuffling a row.
 COMPARE_COST = 20.0
 
@@ -128,20 +129,46 @@ def subset_rows(doc: int, tokens: np.ndarray, percent: int, most: int) -> Iterat
             yield (su - sum(u[i] for i in out)) % top - (top >> 1), (sv - sum(v[i] for i in out)) % top - (top >> 1), min(n, m), max(n, m), n, doc
 
 
-def _scan(df: DataFrame, n: int, percent: int) -> DataFrame:
-    """One reading of the texts: size, fingerprint of the set, and its prefix (small sets: the set)."""
+def _frequent(docs: DataFrame, n: int) -> np.ndarray:
+    """Shingles that many documents have, sorted, at most FREQUENT_MOST of them (the most frequent).
+
+    They only decide the order in which a set's shingles are looked at, so any choice
+    gives the same links.  Parts count what they see twice or more; those counts meet.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            toks, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *(shingles(t, n) for t in part["text"])]), return_counts=True)
+            yield pd.DataFrame({"tok": toks[counts > 1], "c": counts[counts > 1]})
+
+    seen = docs.select("text").mapInPandas(run, "tok long, c long").groupBy("tok").agg(F.sum("c").alias("c")).where(F.col("c") > FREQUENT)
+    return np.sort(np.array([r[0] for r in seen.orderBy(F.desc("c"), "tok").limit(FREQUENT_MOST).collect()], np.int64))
+
+
+def ordered(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """A set's shingles in the global order: as numbered, the frequent ones behind all others."""
+    if not len(frequent) or not len(tokens):
+        return tokens
+    often = frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens
+    return np.concatenate([tokens[~often], tokens[often]])
+
+
+def _scan(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Size, fingerprint of the set, and its prefix (small sets: the set) for every row."""
+    held = docs.sparkSession.sparkContext.broadcast(_frequent(docs, n))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frequent = held.value
         for part in parts:
             sizes, prints, heads = [], [], []
             for t in part["text"]:
                 s = shingles(t, n)
                 sizes.append(len(s))
                 prints.append(hashlib.md5(s.tobytes(), usedforsecurity=False).digest())
-                heads.append(s if len(s) <= SMALL_MAX else s[:prefix_length(len(s), percent)])
+                heads.append(ordered(s, frequent)[:max(SMALL_MAX, prefix_length(len(s), percent))])
             yield pd.DataFrame({"doc_id": part["doc_id"], "n": sizes, "fp": prints, "head": heads})
 
-    return df.mapInPandas(run, "doc_id long, n long, fp binary, head array<long>")
+    return docs.mapInPandas(run, "doc_id long, n long, fp binary, head array<long>")
 
 
 def _small_links(sets: DataFrame, percent: int, most: int) -> DataFrame:
@@ -160,38 +187,10 @@ def _small_links(sets: DataFrame, percent: int, most: int) -> DataFrame:
     return rows.join(tops, key).select(F.col("doc").alias("a"), F.when(F.col("size") == F.col("low"), F.col("high_doc")).otherwise(F.col("low_doc")).alias("b")).where("a <> b").distinct()
 
 
-def _prefixes(docs: DataFrame, sets: DataFrame, n: int, percent: int, least: int) -> DataFrame:
-    """``tok``, ``doc``, ``n``, ``pos`` of every prefix under one global order: frequent shingles last, else as numbered."""
-    head = F.expr(f"slice(head, 1, cast(n - ceil(n * {percent} / 100 - 1e-9) + 1 as int))")
-    plain = sets.where(F.col("n") >= least).select("doc", "n", F.posexplode(head).alias("pos", "tok"))
-    plain = written(plain, "prefixes")
-    often = written(plain.groupBy("tok").count().where(F.col("count") > FREQUENT).select("tok"), "frequent")
-    if not often.head(1):
-        return plain
-    whole = lambda some: _whole_sets(docs, some, n)
-    # what else is frequent among the sets that have a frequent shingle up front
-    touched = plain.join(often, "tok", "left_semi").select("doc").distinct()
-    more = whole(touched).groupBy("tok").count().where(F.col("count") > FREQUENT).select("tok")
-    often = written(often.union(more).distinct(), "frequent").withColumn("often", F.lit(1))
-    touched = written(plain.join(often, "tok", "left_semi").select("doc").distinct(), "touched")
-    kept = plain.join(touched, "doc", "left_anti")
-    rows = whole(touched).join(often, "tok", "left").withColumn("often", F.coalesce("often", F.lit(0)))
-    # a document's shingles, in order: no more rows than the document has words
-    ranked = rows.groupBy("doc", "n").agg(F.array_sort(F.collect_list(F.struct("often", "tok"))).alias("head"))
-    again = ranked.select("doc", "n", F.posexplode(F.transform(head, lambda x: x["tok"])).alias("pos", "tok"))
-    return written(kept.select("doc", "n", "pos", "tok").union(again), "prefixes")
-
-
-def _whole_sets(docs: DataFrame, some: DataFrame, n: int) -> DataFrame:
-    """``doc``, ``n``, ``tok``: all shingles of the documents named."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            found = [shingles(t, n) for t in part["text"]]
-            sizes = np.array([len(s) for s in found], np.int64)
-            yield pd.DataFrame({"doc": np.repeat(part["doc"].to_numpy(), sizes), "n": np.repeat(sizes, sizes), "tok": np.concatenate([np.zeros(0, np.int64), *found])})
-
-    return docs.join(some, "doc", "left_semi").mapInPandas(run, "doc long, n long, tok long")
+def _prefixes(sets: DataFrame, percent: int, least: int) -> DataFrame:
+    """``tok``, ``doc``, ``n``, ``pos`` of every prefix of the sets of at least ``least`` shingles."""
+    head = F.slice("head", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1).cast("int"))
+    return sets.where(F.col("n") >= least).select("doc", "n", F.posexplode(head).alias("pos", "tok"))
 
 
 def _can_link(percent: int, a: str = "", b: str = "o_") -> Column:
@@ -200,7 +199,22 @@ def _can_link(percent: int, a: str = "", b: str = "o_") -> Column:
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(na - pa, nb - pb) >= overlap_col(na, nb, percent))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+def _plausible(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs that their heads don't rule out.
+
+    Of two heads one ends first in the order; whatever it has that the other lacks is
+    in that set alone.  The looser of the two bounds this gives on the common shingles
+    holds in any case, also where shortened shingles collide.
+    """
+    short = F.transform("head", lambda x: F.pmod(x, F.lit(1 << 31)).cast("int"))
+    heads = sets.select("doc", "n", short.alias("h"))
+    of = lambda side: heads.select(F.col("doc").alias(side), F.col("n").alias(f"n{side}"), F.col("h").alias(f"h{side}"))
+    both = F.size(F.array_intersect("ha", "hb"))
+    most = F.greatest(F.col("na") - F.size("ha") + both, F.col("nb") - F.size("hb") + both)
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(most >= overlap_col(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
+
+
+def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs ``a``, ``b`` whose whole sets reach the threshold."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -215,7 +229,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFr
                 good.append(bool(len(held)) and 100 * both >= percent * (len(held) + len(other) - both))
             yield part.loc[good, ["a", "b"]]
 
-    pairs = written(pairs, "pairs")
+    pairs = written(_plausible(sets, pairs, percent), "pairs")
     ids = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
     texts = written(docs.join(ids, "doc", "left_semi"), "texts")
     rows = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
@@ -224,7 +238,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFr
 
 def _large_links(docs: DataFrame, sets: DataFrame, small: DataFrame, n: int, percent: int, most: int) -> DataFrame:
     """Links with at least one set above ``most``, enough of them for the components."""
-    lists = _prefixes(docs, sets, n, percent, -(-percent * (most + 1) // 100))
+    lists = _prefixes(sets, percent, -(-percent * (most + 1) // 100))
     first = F.min(F.struct("pos", "doc", "n"))
     opened = lambda df: df.select("tok", "doc", "n", "pos", F.col("pivot.doc").alias("o_doc"), F.col("pivot.n").alias("o_n"), F.col("pivot.pos").alias("o_pos"))
     large = (F.col("n") > most) | (F.col("o_n") > most)
@@ -233,7 +247,7 @@ def _large_links(docs: DataFrame, sets: DataFrame, small: DataFrame, n: int, per
     shared = lists.groupBy("tok").agg(first.alias("pivot"), F.count("*").alias("c")).where("c > 1").drop("c")
     listed = written(opened(lists.join(shared, "tok")), "lists")
     pairs = named(listed.where((F.col("doc") != F.col("o_doc")) & large & _can_link(percent))).distinct()
-    links = _verified(docs, pairs, n, percent)
+    links = _verified(docs, sets, pairs, n, percent)
     for last in (False, True):
         comp = components(links.union(small))
         at = listed.select("tok", "doc", "n", "pos").join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
@@ -250,7 +264,7 @@ def _large_links(docs: DataFrame, sets: DataFrame, small: DataFrame, n: int, per
             other = alive.select("tok", *[F.col(c).alias(f"o_{c}") for c in ("doc", "n", "pos", "comp")])
             once = (F.col("o_comp") == F.col("main")) | (F.col("o_doc") < F.col("doc"))
             pairs = named(rest.join(other, "tok").where((F.col("comp") != F.col("o_comp")) & once & large & _can_link(percent))).distinct()
-        links = written(links.union(_verified(docs, pairs, n, percent)).distinct(), "links")
+        links = written(links.union(_verified(docs, sets, pairs, n, percent)).distinct(), "links")
     return links
 
 
