@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from textloom.operators import reports, timelines  # noqa: F401
+from textloom.operators import reports, texts, timelines  # noqa: F401
