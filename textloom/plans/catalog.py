@@ -1,3 +1,4 @@
 """Importing this module registers every query."""
 
-from textloom.operators import reports, texts, timelines  # noqa: F401
+from textloom.operators import graphs, reports, retrieval, texts, timelines  # noqa: F401
+from textloom.streaming import events  # noqa: F401
