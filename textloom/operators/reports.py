@@ -200,12 +200,12 @@ def chunk_change_set(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("search_log_facets", """
-SELECT event_type, date_part('hour', ts)::INT AS hour, count(*) AS n, round(avg(value), 6) AS avg_value, grouping(event_type, date_part('hour', ts)::INT)::BIGINT AS gid
+SELECT coalesce(event_type, 'all') AS event_type, coalesce(date_part('hour', ts)::INT, -1) AS hour, count(*) AS n, round(avg(value), 6) AS avg_value, grouping(event_type, date_part('hour', ts)::INT)::BIGINT AS gid
 FROM events GROUP BY GROUPING SETS ((event_type), (date_part('hour', ts)::INT), ())""")
 def search_log_facets(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("hour", F.hour("ts"))
     return e.groupingSets([["event_type"], ["hour"], []], "event_type", "hour").agg(
-        F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("avg_value"), F.grouping_id("event_type", "hour").alias("gid")).select("event_type", "hour", "n", "avg_value", "gid")
+        F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("avg_value"), F.grouping_id("event_type", "hour").alias("gid")).select(F.coalesce("event_type", F.lit("all")).alias("event_type"), F.coalesce("hour", F.lit(-1)).alias("hour"), "n", "avg_value", "gid")
 
 
 @query("retention_orphans", """
