@@ -73,3 +73,11 @@ def test_log_reader(spark, tmp_path):
     (tmp_path / "l.log").write_text('{"ts": "t", "level": "ERROR", "message": "m", "service": "s"}\n2024-01-01 10:00:00 INFO started\nfree text\n')
     got = [tuple(r) for r in knowledge.read_log(spark, str(tmp_path / "l.log")).collect()]
     assert got == [("t", "ERROR", "m", "s"), ("2024-01-01 10:00:00", "INFO", "started", None), (None, "INFO", "free text", None)]
+
+
+def test_budget_groups(spark):
+    from textloom.operators.signals import budget_groups
+
+    rows = [("a", i, n) for i, n in enumerate([300, 200, 1, 600, 10, 490, 1])] + [("b", 0, 5)]
+    got = {(r.k, r.i): r.group for r in budget_groups(spark.createDataFrame(rows, "k string, i int, n int"), "k", "i", "n", 500).collect()}
+    assert [got["a", i] for i in range(7)] == [0, 0, 1, 2, 3, 3, 4] and got["b", 0] == 0
