@@ -81,3 +81,12 @@ def test_budget_groups(spark):
     rows = [("a", i, n) for i, n in enumerate([300, 200, 1, 600, 10, 490, 1])] + [("b", 0, 5)]
     got = {(r.k, r.i): r.group for r in budget_groups(spark.createDataFrame(rows, "k string, i int, n int"), "k", "i", "n", 500).collect()}
     assert [got["a", i] for i in range(7)] == [0, 0, 1, 2, 3, 3, 4] and got["b", 0] == 0
+
+
+def test_sentence_chunks():
+    from textloom.operators.chunking import sentence_chunks
+
+    text = " ".join(" ".join(f"w{i}" for i in range(n)) + "." for n in (100, 100, 100, 700, 30))
+    got = sentence_chunks(text)
+    assert [w for c in got for w in c] == text.split()
+    assert [len(c) for c in got] == [200, 100, 256, 256, 218] and sentence_chunks(None) == sentence_chunks(" \n") == []

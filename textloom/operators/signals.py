@@ -22,13 +22,13 @@ def hybrid_facets(spark: SparkSession, d: str) -> DataFrame:
 
 @query("boost_merge", """
 WITH a AS (SELECT doc_id AS id, n_chars / 40000.0::DOUBLE AS score FROM documents WHERE lang = 'en'), b AS (SELECT doc_id AS id, least(1.0::DOUBLE, n_chars / 40000.0::DOUBLE * 1.15::DOUBLE) * 0.9::DOUBLE AS score FROM documents WHERE n_chars > 2000)
-SELECT id, round(score, 6) AS score, origin FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY origin) AS i FROM (SELECT id, score, 'original' AS origin FROM a UNION ALL SELECT id, score, 'variant' FROM b)) WHERE i = 1""")
+SELECT id, round(score, 10) AS score, origin FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY origin) AS i FROM (SELECT id, score, 'original' AS origin FROM a UNION ALL SELECT id, score, 'variant' FROM b)) WHERE i = 1""")
 def boost_merge(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", (F.col("n_chars") / 40000).alias("score"), "n_chars")
     a = docs.where("lang = 'en'").select("id", "score", F.lit("original").alias("origin"))
     b = docs.where("n_chars > 2000").select("id", (F.least(F.lit(1.0), F.col("score") * 1.15) * 0.9).alias("score"), F.lit("variant").alias("origin"))
     both = a.unionByName(b).groupBy("id").agg(F.min_by(F.struct("score", "origin"), "origin").alias("s"))  # originals win
-    return both.select("id", F.round("s.score", 6).alias("score"), "s.origin")
+    return both.select("id", F.round("s.score", 10).alias("score"), "s.origin")
 
 
 @query("relevance_verdict", """

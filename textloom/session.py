@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 import zipfile
@@ -45,8 +44,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}"
+    """A new path below this application's part of the shared folder."""
+    return f"{shared_dir(spark)}/textloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder; call it when its results have been stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/textloom/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -57,11 +62,6 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def local_path(uri: str) -> str:
-    """A file URI as a path."""
-    return uri[len("file:"):].replace("//", "/", 1) if uri.startswith("file:") else uri
-
-
 def free_name(taken: list[str], name: str) -> str:
     """``name``, with underscores in front until no column has it (Spark compares without case)."""
     low = {c.lower() for c in taken}
@@ -69,6 +69,3 @@ def free_name(taken: list[str], name: str) -> str:
         name = "_" + name
     return name
 
-
-def is_local(uri: str) -> bool:
-    return uri.startswith("file:") or "://" not in uri and os.path.isabs(uri)
