@@ -31,6 +31,8 @@ SMALL_MAX = 24
 #: A shingle in more prefixes than this is frequent and goes behind all others in the order.
 FREQUENT = 100
 FREQUENT_MOST = 500_000
+#: Keys (8 bytes each) that are broadcast at most.
+SENT_KEYS = 1_000_000
 #: Cost of comparing two sets against that of shuffling a row.
 COMPARE_COST = 20.0
 
@@ -199,6 +201,15 @@ def _can_link(percent: int, a: str = "", b: str = "o_") -> Column:
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(na - pa, nb - pb) >= overlap_col(na, nb, percent))
 
 
+def _sent(keys: DataFrame) -> DataFrame:
+    """A table of distinct keys, sent to all executors where it has been counted to be small, else left to a shuffle join."""
+    return F.broadcast(keys) if keys.count() <= SENT_KEYS else keys
+
+
+def _docs_of(pairs: DataFrame) -> DataFrame:
+    return written(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "ids")
+
+
 def _plausible(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs that their heads don't rule out.
 
@@ -207,7 +218,8 @@ def _plausible(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     holds in any case, also where shortened shingles collide.
     """
     short = F.transform("head", lambda x: F.pmod(x, F.lit(1 << 31)).cast("int"))
-    heads = sets.select("doc", "n", short.alias("h"))
+    pairs = written(pairs, "candidates")
+    heads = sets.join(_sent(_docs_of(pairs)), "doc", "left_semi").select("doc", "n", short.alias("h"))
     of = lambda side: heads.select(F.col("doc").alias(side), F.col("n").alias(f"n{side}"), F.col("h").alias(f"h{side}"))
     both = F.size(F.array_intersect("ha", "hb"))
     most = F.greatest(F.col("na") - F.size("ha") + both, F.col("nb") - F.size("hb") + both)
@@ -230,8 +242,7 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, percen
             yield part.loc[good, ["a", "b"]]
 
     pairs = written(_plausible(sets, pairs, percent), "pairs")
-    ids = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-    texts = written(docs.join(ids, "doc", "left_semi"), "texts")
+    texts = written(docs.join(_sent(_docs_of(pairs)), "doc", "left_semi"), "texts")
     rows = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
     return written(rows.mapInPandas(run, "a long, b long").distinct(), "links")
 
@@ -248,14 +259,16 @@ def _large_links(docs: DataFrame, sets: DataFrame, small: DataFrame, n: int, per
     listed = written(opened(lists.join(shared, "tok")), "lists")
     pairs = named(listed.where((F.col("doc") != F.col("o_doc")) & large & _can_link(percent))).distinct()
     links = _verified(docs, sets, pairs, n, percent)
+    open_lists = listed.select("tok", "doc", "n", "pos")
     for last in (False, True):
         comp = components(links.union(small))
-        at = listed.select("tok", "doc", "n", "pos").join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+        at = open_lists.join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
         # lists that are within one component are done with; so is an entry that no size in its list could be linked with
         state = at.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least_n"), F.min(F.struct("pos", "doc", "n", "comp")).alias("main")).where("lo <> hi")
         fewest = F.greatest(F.col("least_n"), F.ceil(F.col("n") * percent / 100 - 1e-9))
         alive = at.join(state, "tok").where(F.col("n") - F.col("pos") >= overlap_col(F.col("n"), fewest, percent))
         alive = written(alive.select("tok", "doc", "n", "pos", "comp", F.col("main.comp").alias("main")), "alive")
+        open_lists = alive.select("tok", "doc", "n", "pos")
         rest = alive.where("comp <> main")
         if not last:  # a second pivot among those that the first has not reached
             second = rest.groupBy("tok").agg(first.alias("pivot"), F.min_by("comp", F.struct("pos", "doc")).alias("o_comp"))
