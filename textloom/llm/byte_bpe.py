@@ -29,21 +29,21 @@ from textloom.session import free_name, ship
 LONGEST_WORD = 200
 WORDS_A_QUERY = 10_000
 
+#: x and y are 256 * word + position, of a token and of the one behind it.  The smallest k of
+#: a word names its pair: rank of the merge, both positions and the one behind, 8 bits each.
 _ENCODE = """
-WITH RECURSIVE step(w, p, q, t, round) AS (
-  SELECT w, p, p + 1, t, 0 FROM bytes
+WITH RECURSIVE step(x, y, t, round) AS (
+  SELECT x, x + 1, t, 0 FROM bytes
   UNION ALL
-  (WITH pairs AS (
-     SELECT a.w, a.p, b.q, b.p AS gone, m.id, m.id * 256 + a.p AS k
-     FROM step a JOIN step b ON a.w = b.w AND a.q = b.p JOIN merges m ON m.pair = a.t * 65536 + b.t),
-   best AS (SELECT w, min(k) AS k FROM pairs GROUP BY w),
-   hit AS (SELECT pairs.* FROM pairs JOIN best ON pairs.w = best.w AND pairs.k = best.k)
-   SELECT s.w, s.p, CASE WHEN s.p = h.p THEN h.q ELSE s.q END, CASE WHEN s.p = h.p THEN h.id ELSE s.t END, s.round + 1
-   FROM step s JOIN hit h ON s.w = h.w WHERE s.p <> h.gone)
-), last AS (SELECT w, max(round) AS round FROM step GROUP BY w)
-SELECT s.w, string_agg(v.id_hex, '' ORDER BY s.p) AS ids, string_agg(v.hex, '' ORDER BY s.p) AS decoded
-FROM step s JOIN last l ON s.w = l.w AND s.round = l.round JOIN vocab v ON v.id = s.t
-GROUP BY s.w ORDER BY s.w
+  (WITH best AS (
+     SELECT a.x >> 8 AS w, min((m.id << 24) + ((a.x & 255) << 16) + ((b.x & 255) << 8) + (b.y & 255)) AS k
+     FROM step a JOIN step b ON a.y = b.x JOIN merges m ON m.pair = a.t * 65536 + b.t GROUP BY w)
+   SELECT s.x, CASE WHEN s.x & 255 = (k >> 16) & 255 THEN (w << 8) + (k & 255) ELSE s.y END, CASE WHEN s.x & 255 = (k >> 16) & 255 THEN k >> 24 ELSE s.t END, s.round + 1
+   FROM step s JOIN best ON s.x >> 8 = w WHERE s.x & 255 <> (k >> 8) & 255)
+), last AS (SELECT x >> 8 AS w, max(round) AS round FROM step GROUP BY w)
+SELECT l.w, string_agg(v.id_hex, '' ORDER BY s.x) AS ids, string_agg(v.hex, '' ORDER BY s.x) AS decoded
+FROM step s JOIN last l ON s.x >> 8 = l.w AND s.round = l.round JOIN vocab v ON v.id = s.t
+GROUP BY l.w ORDER BY l.w
 """
 
 
@@ -54,6 +54,7 @@ class WordCoder:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pattern = regex.compile(pattern)
+        self.known = ChunkCache(self.words, 200_000)
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         self.tokens = {i: t for t, i in self.ranks.items()}
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "150MB", "temp_directory": ""})
@@ -80,7 +81,7 @@ class WordCoder:
             part = queued[k:k + WORDS_A_QUERY]
             lengths = np.array([len(w) for w in part])
             first = np.repeat(np.cumsum(lengths) - lengths, lengths)
-            rows = pa.table({"w": np.repeat(np.arange(len(part)), lengths), "p": np.arange(lengths.sum()) - first, "t": self.byte_ids[np.frombuffer(b"".join(part), np.uint8)]})
+            rows = pa.table({"x": (np.repeat(np.arange(len(part)), lengths) << 8) + np.arange(lengths.sum()) - first, "t": self.byte_ids[np.frombuffer(b"".join(part), np.uint8)]})
             self.con.register("bytes", rows)
             got = self.con.sql(_ENCODE).to_arrow_table()
             self.con.unregister("bytes")
@@ -115,8 +116,7 @@ class WordCoder:
     def chunks(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
         """Ids and decoded bytes of each chunk, all its words joined."""
         split = [[m.encode() for m in self.pattern.findall(c)] for c in chunks]
-        distinct = sorted({w for ws in split for w in ws})
-        coded = dict(zip(distinct, self.words(distinct)))
+        coded = self.known.need(w for ws in split for w in ws)
         return [(b"".join([coded[w][0] for w in ws]), b"".join([coded[w][1] for w in ws])) for ws in split]
 
 

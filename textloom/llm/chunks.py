@@ -25,6 +25,18 @@ def spaced_chunks(text: str) -> list[str]:
     return [first, *map(" ".__add__, rest)]
 
 
+_PLAIN = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def plain_parts(chunk: str) -> list[str]:
+    """A space-free chunk as parts that a caseless tokenizer of words and punctuation treats one by one.
+
+    Only ASCII letters with punctuation behind (no apostrophe) are taken apart.
+    """
+    m = _PLAIN.fullmatch(chunk)
+    return [p for p in (m[1].lower(), m[2]) if p] if m else [chunk]
+
+
 def blank_chunks(text: str) -> list[str]:
     """Chunks between spaces and line ends, for tokenizers that drop white space."""
     return [x for x in text.replace("\n", " ").split(" ") if x]
@@ -42,7 +54,7 @@ class ChunkCache:
         self.now: dict[str, object] = {}
         self.old: dict[str, object] = {}
 
-    def need(self, chunks: Iterable[str]) -> dict[str, object]:
+    def need(self, chunks: Iterable) -> dict:
         """A dict that has at least these chunks."""
         chunks = set(chunks)
         if len(self.now) > self.size:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from textloom.llm import perfect_hash
-from textloom.llm.chunks import ChunkCache, blank_chunks, slices
+from textloom.llm.chunks import ChunkCache, blank_chunks, plain_parts, slices
 from textloom.session import scratch, ship, written
 
 MAGIC = b"TLIDS001"
@@ -55,7 +55,13 @@ def _encoder(path: str) -> tuple[ChunkCache, np.dtype]:
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True  # their strings in a text are ordinary text
     dtype = np.dtype("<u2" if t.get_vocab_size() <= 1 << 16 else "<u4")
-    make = lambda chunks: (np.array(e.ids, dtype).tobytes() for e in t.encode_batch_fast(chunks, add_special_tokens=False))
+    parts = ChunkCache(lambda parts: (np.array(e.ids, dtype).tobytes() for e in t.encode_batch_fast(parts, add_special_tokens=False)), 200_000)
+
+    def make(chunks: list[str]) -> Iterator[bytes]:
+        cut = [plain_parts(c) for c in chunks]
+        known = parts.need(p for ps in cut for p in ps)
+        return (b"".join([known[p] for p in ps]) for ps in cut)
+
     return ChunkCache(make), dtype
 
 
