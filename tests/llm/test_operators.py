@@ -15,7 +15,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from textloom.llm import automaton, byte_bpe, chat_format, chunks, decontamination, exact_dedup, license_scan, ngram_join, perfect_hash, quality_rules, secret_scan, sharding, token_files
+from textloom.llm import automaton, byte_bpe, chat_format, decontamination, exact_dedup, license_scan, ngram_join, perfect_hash, quality_rules, secret_scan, sharding, token_files
 
 DOCS = "doc_id long, text string"
 EDGES = [(None, None), (1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "one two"), (5, "one two"), (6, "é ü　中"), (7, "word " * 30_000)]
@@ -261,11 +261,6 @@ def test_bpe_matches_library(reference_bpe):
         assert decoded == t.encode()
 
 
-def test_chunks_join_to_the_text():
-    for t in ("", " a", "a  b", "a \n b", "x  y", "plain words here"):
-        assert "".join(chunks.spaced_chunks(t)) == t
-
-
 def test_bpe_rows(spark, reference_bpe):
     got = byte_bpe.bpe_digest(docs(spark, EDGES), path=RANKS, pattern=P.PATTERN).collect()
     want = Counter((k, len(reference_bpe.encode_ordinary(t or "")), hashlib.sha256((t or "").encode()).hexdigest()) for k, t in EDGES)

@@ -14,6 +14,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -22,23 +23,25 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from textloom.llm.chunks import ChunkCache, slices, spaced_chunks
+from textloom.llm.chunks import ChunkCache, slices
 from textloom.session import free_name, ship
 
 #: Rounds of the recursion follow a word's length; words of more bytes are merged by a heap instead.
 LONGEST_WORD = 200
 WORDS_A_QUERY = 10_000
+KNOWN_WORDS = 400_000
+SLICE_CHARS = 3_000_000
 
 #: x and y are 256 * word + position, of a token and of the one behind it.  The smallest k of
 #: a word names its pair: rank of the merge, both positions and the one behind, 8 bits each.
 _ENCODE = """
 WITH RECURSIVE step(x, y, t, round) AS (
-  SELECT x, x + 1, t, 0 FROM bytes
+  SELECT x::INTEGER, (x + 1)::INTEGER, t::INTEGER, 0::INTEGER FROM bytes
   UNION ALL
   (WITH best AS (
-     SELECT a.x >> 8 AS w, min((m.id << 24) + ((a.x & 255) << 16) + ((b.x & 255) << 8) + (b.y & 255)) AS k
-     FROM step a JOIN step b ON a.y = b.x JOIN merges m ON m.pair = a.t * 65536 + b.t GROUP BY w)
-   SELECT s.x, CASE WHEN s.x & 255 = (k >> 16) & 255 THEN (w << 8) + (k & 255) ELSE s.y END, CASE WHEN s.x & 255 = (k >> 16) & 255 THEN k >> 24 ELSE s.t END, s.round + 1
+     SELECT a.x >> 8 AS w, min((m.id::BIGINT << 24) + ((a.x & 255) << 16) + ((b.x & 255) << 8) + (b.y & 255)) AS k
+     FROM step a JOIN step b ON a.y = b.x JOIN merges m ON m.pair = (a.t::BIGINT * 65536 + b.t)::UINTEGER GROUP BY w)
+   SELECT s.x, (CASE WHEN s.x & 255 = (k >> 16) & 255 THEN (w << 8) + (k & 255) ELSE s.y END)::INTEGER, (CASE WHEN s.x & 255 = (k >> 16) & 255 THEN k >> 24 ELSE s.t END)::INTEGER, s.round + 1
    FROM step s JOIN best ON s.x >> 8 = w WHERE s.x & 255 <> (k >> 8) & 255)
 ), last AS (SELECT x >> 8 AS w, max(round) AS round FROM step GROUP BY w)
 SELECT l.w, string_agg(v.id_hex, '' ORDER BY s.x) AS ids, string_agg(v.hex, '' ORDER BY s.x) AS decoded
@@ -54,19 +57,21 @@ class WordCoder:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pattern = regex.compile(pattern)
-        self.known = ChunkCache(self.words, 200_000)
+        self.known = ChunkCache(self.words, KNOWN_WORDS)
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         self.tokens = {i: t for t, i in self.ranks.items()}
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "150MB", "temp_directory": ""})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "150MB", "temp_directory": "", "preserve_insertion_order": False})
         pairs = [(self.ranks[a] * 65536 + self.ranks[b], i) for t, i in self.ranks.items() for c in range(1, len(t)) if (a := t[:c]) in self.ranks and (b := t[c:]) in self.ranks]
         known = pa.table({"id": pa.array(self.tokens, pa.int64()), "hex": [t.hex() for t in self.tokens.values()], "id_hex": [i.to_bytes(4, "little").hex() for i in self.tokens]})
-        for name, rows in (("merges", pa.table({"pair": [p for p, _ in pairs], "id": [i for _, i in pairs]})), ("vocab", known)):
+        merges = pa.table({"pair": [p for p, _ in pairs], "id": [i for _, i in pairs]})
+        for name, rows, columns in (("merges", merges, "pair::UINTEGER AS pair"), ("vocab", known, "hex, id_hex")):
             self.con.register("rows", rows)
-            self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM rows")
+            self.con.execute(f"CREATE TABLE {name} AS SELECT id::INTEGER AS id, {columns} FROM rows")
             self.con.unregister("rows")
 
-    def words(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
+    def words(self, words: list[str]) -> list[tuple[bytes, bytes]]:
         """Ids (little-endian, 32 bits each) and decoded bytes of each word."""
+        words = list(map(str.encode, words))
         out: dict[bytes, tuple[bytes, bytes]] = {}
         queued = []
         for w in words:
@@ -113,26 +118,20 @@ class WordCoder:
             offer(i)
         return [self.ranks[p] for p in parts if p]
 
-    def chunks(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
-        """Ids and decoded bytes of each chunk, all its words joined."""
-        split = [[m.encode() for m in self.pattern.findall(c)] for c in chunks]
-        coded = self.known.need(w for ws in split for w in ws)
-        return [(b"".join([coded[w][0] for w in ws]), b"".join([coded[w][1] for w in ws])) for ws in split]
-
 
 @cache
-def _worker(path: str, pattern: str) -> ChunkCache:
-    return ChunkCache(WordCoder(path, pattern).chunks)
+def _worker(path: str, pattern: str) -> WordCoder:
+    return WordCoder(path, pattern)
 
 
 def encode_texts(texts: list[str], path: str, pattern: str) -> Iterator[tuple[bytes, bytes]]:
     """Ids and decoded bytes of each whole text; None counts as empty."""
     worker = _worker(path, pattern)
-    for part in slices(texts):
-        cut = [spaced_chunks(t) for t in part]
-        known = worker.need(c for cs in cut for c in cs)
-        for cs in cut:
-            got = [known[c] for c in cs]
+    for part in slices(texts, SLICE_CHARS):
+        split = list(map(worker.pattern.findall, part))
+        known = worker.known.need(chain.from_iterable(split))
+        for words in split:
+            got = [known[w] for w in words]
             yield b"".join([g[0] for g in got]), b"".join([g[1] for g in got])
 
 

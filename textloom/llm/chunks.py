@@ -5,26 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 
-#: The characters with Unicode's White_Space property.
-SPACE = "\t-\r \x85\xa0  -     　"
-_RARE = re.compile(f"[{SPACE}]".replace("\t-\r ", "\t\x0b-\r"))
-_RUNS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-
-
-def spaced_chunks(text: str) -> list[str]:
-    """Chunks that join to the text, cut only where white space follows another character.
-
-    No match of a pattern in which white space can only lead a match, or be all of
-    it, crosses such a cut.
-    """
-    if not text:
-        return []
-    if text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or _RARE.search(text):
-        return _RUNS.findall(text)
-    first, *rest = text.split(" ")
-    return [first, *map(" ".__add__, rest)]
-
-
 _PLAIN = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
 
 
