@@ -5,21 +5,17 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 
-_PLAIN = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
+#: A run between spaces and line ends that has any character but printable ASCII, whole;
+#: of the other runs the words, digits and punctuation.
+_PARTS = re.compile(r"[!-~]*+[^!-~ \n][^ \n]*|'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])|[A-Za-z]+|[0-9]|[!-/:-@\[-`{-~]+")
 
 
-def plain_parts(chunk: str) -> list[str]:
-    """A space-free chunk as parts that a caseless tokenizer of words and punctuation treats one by one.
+def word_parts(text: str) -> list[str]:
+    """Parts that a caseless tokenizer of words, single digits and punctuation treats one by one.
 
-    Only ASCII letters with punctuation behind (no apostrophe) are taken apart.
+    It drops white space, and no character composes with a space or line end before it.
     """
-    m = _PLAIN.fullmatch(chunk)
-    return [p for p in (m[1].lower(), m[2]) if p] if m else [chunk]
-
-
-def blank_chunks(text: str) -> list[str]:
-    """Chunks between spaces and line ends, for tokenizers that drop white space."""
-    return [x for x in text.replace("\n", " ").split(" ") if x]
+    return _PARTS.findall(text)
 
 
 class ChunkCache:

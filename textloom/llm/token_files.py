@@ -14,6 +14,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from textloom.llm import perfect_hash
-from textloom.llm.chunks import ChunkCache, blank_chunks, plain_parts, slices
+from textloom.llm.chunks import ChunkCache, slices, word_parts
 from textloom.session import scratch, ship, written
 
 MAGIC = b"TLIDS001"
@@ -55,27 +56,19 @@ def _encoder(path: str) -> tuple[ChunkCache, np.dtype]:
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True  # their strings in a text are ordinary text
     dtype = np.dtype("<u2" if t.get_vocab_size() <= 1 << 16 else "<u4")
-    parts = ChunkCache(lambda parts: (np.array(e.ids, dtype).tobytes() for e in t.encode_batch_fast(parts, add_special_tokens=False)), 200_000)
-
-    def make(chunks: list[str]) -> Iterator[bytes]:
-        cut = [plain_parts(c) for c in chunks]
-        known = parts.need(p for ps in cut for p in ps)
-        return (b"".join([known[p] for p in ps]) for ps in cut)
-
-    return ChunkCache(make), dtype
+    return ChunkCache(lambda parts: (np.array(e.ids, dtype).tobytes() for e in t.encode_batch_fast(parts, add_special_tokens=False)), 400_000), dtype
 
 
 def token_bytes(texts: list[str | None], tokenizer: str, end_id: int) -> Iterator[bytes]:
     """Packed ids of each whole text and the end id; None counts as empty.
 
-    The tokenizer drops white space and no match of its pattern crosses it, so texts
-    are encoded by their distinct space-free chunks.
+    Texts are encoded by their distinct parts, see ``word_parts``.
     """
     cache_, dtype = _encoder(tokenizer)
     end = np.array([end_id], dtype).tobytes()
     for part in slices(texts):
-        cut = [blank_chunks(t) for t in part]
-        known = cache_.need(c for cs in cut for c in cs)
+        cut = list(map(word_parts, part))
+        known = cache_.need(chain.from_iterable(cut))
         for cs in cut:
             yield b"".join([*map(known.__getitem__, cs), end])
 
