@@ -283,7 +283,7 @@ def test_token_parts_match_the_whole_text():
     path = P.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
     rnd = random.Random(5)
-    parts = ["The", "don't", "IT'S", "we'LL", "''s", "'", "!", "?'", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x7f", "é", "e\u0301", "\u0301", "Σ", "ΑΣ", "İ", "12", "²", "中", "🙂", "\xa0", "x_y", "[CLS]", "</s>", "a.b", "\x00"]
+    parts = ["The", "don't", "IT'S", "we'LL", "''s", "'", "!", "?'", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x7f", "é", "e\u0301", "\u0301", "Σ", "ΑΣ", "İ", "12", "²", "中", "🙂", "\xa0", "x_y", "<|endoftext|>", "<|startoftext|", "</s>", "a.b", "\x00"]
     texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 20))) for _ in range(3000)]
     for t, packed in zip(texts, token_files.token_bytes(texts, path, 2)):
         assert np.frombuffer(packed, "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids + [2], repr(t)

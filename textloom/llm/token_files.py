@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -51,26 +52,31 @@ def _publish(path: str, name: str, pieces: Iterator[bytes]) -> None:
 
 
 @cache
-def _encoder(path: str) -> tuple[ChunkCache, np.dtype]:
+def _encoder(path: str) -> tuple[ChunkCache, np.dtype, Tokenizer, re.Pattern]:
+    """Encoder of parts, width of an id, the tokenizer and a pattern of the added tokens, which it finds anywhere in a text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
+    added = re.compile("|".join(re.escape(a.content) for a in t.get_added_tokens_decoder().values()) or r"(?!)")
     dtype = np.dtype("<u2" if t.get_vocab_size() <= 1 << 16 else "<u4")
-    return ChunkCache(lambda parts: (np.array(e.ids, dtype).tobytes() for e in t.encode_batch_fast(parts, add_special_tokens=False)), 400_000), dtype
+    return ChunkCache(lambda parts: (np.array(e.ids, dtype).tobytes() for e in t.encode_batch_fast(parts, add_special_tokens=False)), 400_000), dtype, t, added
 
 
 def token_bytes(texts: list[str | None], tokenizer: str, end_id: int) -> Iterator[bytes]:
     """Packed ids of each whole text and the end id; None counts as empty.
 
-    Texts are encoded by their distinct parts, see ``word_parts``.
+    Texts are encoded by their distinct parts, see ``word_parts``; a text that spells
+    an added token goes to the tokenizer whole.
     """
-    cache_, dtype = _encoder(tokenizer)
+    cache_, dtype, whole, added = _encoder(tokenizer)
     end = np.array([end_id], dtype).tobytes()
     for part in slices(texts):
-        cut = list(map(word_parts, part))
-        known = cache_.need(chain.from_iterable(cut))
-        for cs in cut:
-            yield b"".join([*map(known.__getitem__, cs), end])
+        cut = [None if added.search(t) else word_parts(t) for t in part]
+        known = cache_.need(chain.from_iterable(cs for cs in cut if cs))
+        for t, cs in zip(part, cut):
+            if cs is None:
+                yield np.array(whole.encode(t, add_special_tokens=False).ids, dtype).tobytes() + end
+            else:
+                yield b"".join([*map(known.__getitem__, cs), end])
 
 
 @dataclass
@@ -97,7 +103,7 @@ def write_tokens(df: DataFrame, *, tokenizer: str, end_id: int = 2, text: str =
     spark = df.sparkSession
     ship(spark)
     path = path or scratch(spark, "tokens")
-    _, dtype = _encoder(tokenizer)
+    dtype = _encoder(tokenizer)[1]
     rows = df.select(F.col(f"`{key}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
