@@ -360,3 +360,28 @@ def test_license_scan(spark):
 def test_wording_differences():
     t = license_scan.words("licensed under the apache license version 2.0")
     assert license_scan.wording(license_scan.words("it is licensed under apache licence version 2.0 now"), t)[3] == "-the license>licence"
+
+
+WRAPPED = {
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal",
+    "BSD-3-Clause": " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:",
+    "MPL-2.0": "# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy",
+}
+
+
+def test_wrapped_notices_are_found(spark):
+    for name, text in WRAPPED.items():
+        found = license_scan.scan_licenses(docs(spark, [(1, "İ Head line\n" + text + "\nint main;")])).first().licenses
+        own = next(license_scan.words(t.text) for t in license_scan.TEMPLATES if t.license == name and len(license_scan.words(t.text)) > 12)
+        assert [(f.license, f.similarity, f.differences) for f in found] == [(name, 1.0, "")]
+        assert license_scan.words(("İ Head line\n" + text)[found[0].start:found[0].end]) == own
+    both = "Released under the MIT License.\nSome parts:\nLicensed under CC BY-SA\n4.0."
+    assert [f.license for f in license_scan.scan_licenses(docs(spark, [(1, both)])).first().licenses] == ["MIT", "CC-BY-SA-4.0"]
+
+
+def test_edits_are_those_of_wording():
+    rnd = random.Random(4)
+    for _ in range(400):
+        block, own = ([rnd.choice("abcd") for _ in range(rnd.randint(1, n))] for n in (30, 12))
+        got = license_scan.edits(block, own)
+        assert max(0.0, 1 - min(*got, len(own)) / len(own)) == license_scan.wording(block, own)[0]

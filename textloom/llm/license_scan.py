@@ -1,16 +1,18 @@
 """License scans by conditional compression.
 
-A candidate block is compressed on its own and again with each template as the raw
-zstandard dictionary.  The template that saves most is the likeliest source; it is
-confirmed by the exact differences in wording.
+The words around each trigger word are searched for every template, with a bounded
+number of edits and whatever the line ends are.  A place that agrees is compressed on
+its own and again with the template as the raw zstandard dictionary: of places that
+overlap the closest wording stays, then the larger saving.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,9 +22,9 @@ from pyspark.sql import DataFrame, functions as F
 from textloom.session import ship
 
 FOUND = "array<struct<license:string,start:int,end:int,saved:double,similarity:double,differences:string>>"
-#: Least share of a template's words that a block has in order.
+#: Least share of a template's words that a place has in order.
 SIMILARITY = 0.8
-#: Templates that save less than this share of a block's own size aren't compared word by word.
+#: Places of which a template saves less than this share of their own size aren't taken.
 LEAST_SAVED = 0.1
 
 
@@ -50,15 +52,22 @@ TEMPLATES = (
 )
 #: Words of which at least one stands in each template.
 TRIGGER = r"(?i)licen[sc]|permission|redistribution|cc0"
-_TRIGGER, _SENTENCE, _WORD = re.compile(TRIGGER), re.compile(r"\S[^\n]*?(?:[.!?](?=\s)|(?=\n)|\Z)"), re.compile(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*")
+_TRIGGER, _WORD = re.compile(TRIGGER), re.compile(r"[A-Za-z0-9]+(?:[.+-][A-Za-z0-9]+)*")
 _SPACE = re.compile(r"\s+")
 
 
-def blocks(text: str) -> Iterator[tuple[int, int]]:
-    """Spans of the sentences (or lines) that have a trigger word."""
-    for m in _SENTENCE.finditer(text):
-        if _TRIGGER.search(m[0]):
-            yield m.start(), m.end()
+def stretches(text: str, reach: int) -> Iterator[list[tuple[str, int, int]]]:
+    """Words, with their spans, that have a trigger word among the ``reach`` words before or after them."""
+    found = [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(text)]
+    starts = [w[1] for w in found]
+    a = e = 0
+    for m in _TRIGGER.finditer(text):
+        i = max(0, bisect_right(starts, m.start()) - 1)
+        if i - reach > e:
+            yield found[a:e]
+            a = i - reach
+        e = i + reach + 1
+    yield found[a:e]
 
 
 def normal(text: str) -> str:
@@ -69,7 +78,27 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def wording(block: list[str], template: list[str]) -> tuple[float, int, int, str]:
+def edits(block: list[str], template: list[str]) -> list[int]:
+    """The least edits with which a template's words end at each word of a block, column by column in bits (Myers)."""
+    m = len(template)
+    top, full = 1 << m - 1, (1 << m) - 1
+    at: dict[str, int] = {}
+    for i, w in enumerate(template):
+        at[w] = at.get(w, 0) | 1 << i
+    more, less, score, out = full, 0, m, []
+    for w in block:
+        eq = at.get(w, 0)
+        down = eq | less
+        across = ((eq & more) + more ^ more) | eq
+        up, low = less | full & ~(across | more), more & across
+        score += bool(up & top) - bool(low & top)
+        up, low = up << 1 & full, low << 1 & full
+        more, less = low | full & ~(down | up), up & down
+        out.append(score)
+    return out
+
+
+def wording(block: Sequence[str], template: Sequence[str]) -> tuple[float, int, int, str]:
     """Best place of a template's words in a block: similarity, first and last word, and the differences.
 
     An edit is one word left out, put in or replaced; what stands before and after
@@ -103,33 +132,52 @@ def wording(block: list[str], template: list[str]) -> tuple[float, int, int, str
 class Scanner:
     def __init__(self, templates: tuple[Template, ...]):
         params = zstandard.ZstdCompressionParameters.from_level(3, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
-        self.templates = [(t, words(t.text)) for t in templates]
+        templates = tuple(t for t in templates if words(t.text))
+        self.templates = [(t, own, set(own), next(e for e in range(len(own), -1, -1) if 1 - e / len(own) >= SIMILARITY)) for t in templates for own in [words(t.text)]]
+        self.reach = max((len(own) + most for _, own, _, most in self.templates), default=0)
         self.alone = zstandard.ZstdCompressor(compression_params=params)
         self.given = [zstandard.ZstdCompressor(compression_params=params, dict_data=zstandard.ZstdCompressionDict(normal(t.text).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for t in templates]
-
-    def rank(self, block: str) -> list[tuple[float, int]]:
-        """Templates by the share of the block's compressed size that they save, most first; ties in their order."""
-        data = normal(block).encode("utf-8", "surrogatepass")
-        own = len(self.alone.compress(data))
-        saved = [(1 - len(c.compress(data)) / own, k) for k, c in enumerate(self.given)]
-        return sorted((s for s in saved if s[0] >= LEAST_SAVED), key=lambda s: (-s[0], s[1]))
+        self.wording = lru_cache(1 << 12)(wording)
+
+    def sizes(self, place: str, k: int) -> tuple[int, int]:
+        """Compressed size of a place on its own, and with a template as the dictionary."""
+        data = normal(place).encode("utf-8", "surrogatepass")
+        return len(self.alone.compress(data)), len(self.given[k].compress(data))
+
+    def places(self, text: str, stretch: list[tuple[str, int, int]]) -> Iterator[tuple]:
+        """All places that agree with a template: how close, bytes saved, template, first and last word, and what is told of it."""
+        body = [w for w, _, _ in stretch]
+        have = set(body)
+        for k, (t, own, distinct, most) in enumerate(self.templates):
+            if len(distinct & have) < len(distinct) - most:  # an edit takes one word at most
+                continue
+            cost = edits(body, own)
+            seen = set()
+            for j, c in enumerate(cost):
+                if c > most or c > min(cost[max(0, j - 1) : j + 2]):
+                    continue
+                from_ = max(0, j + 1 - len(own) - most)
+                similarity, i, n, diffs = self.wording(tuple(body[from_ : j + 1]), tuple(own))
+                i, n = from_ + i, from_ + n
+                if (i, n) in seen:
+                    continue
+                seen.add((i, n))
+                a, e = stretch[i][1], stretch[n - 1][2]
+                e += text[e : e + 1] in (".", "!", "?")
+                size, given = self.sizes(text[a:e], k)
+                if 1 - given / size >= LEAST_SAVED:
+                    yield similarity, size - given, k, i, n, {"license": t.license, "start": a, "end": e, "saved": 1 - given / size, "similarity": similarity, "differences": diffs}
 
     def scan(self, text: str) -> list[dict]:
         out = []
-        for a, e in blocks(text):
-            best = None
-            body = words(text[a:e])
-            for saved, k in self.rank(text[a:e]):
-                t, own = self.templates[k]
-                similarity, _, _, diffs = wording(body, own)
-                # of confirmed winners the closest wording, then the larger saving
-                if similarity >= SIMILARITY and (best is None or similarity > best["similarity"]):
-                    best = {"license": t.license, "start": a, "end": e, "saved": saved, "similarity": similarity, "differences": diffs}
-                    if similarity == 1 and len(own) >= len(body):
-                        break
-            if best:
-                out.append(best)
-        return out
+        for stretch in stretches(text, self.reach):
+            free = [True] * len(stretch)
+            # of places that overlap the closest wording, then the larger saving
+            for _, _, _, i, n, found in sorted(self.places(text, stretch), key=lambda p: (-p[0], -p[1], p[2], p[3])):
+                if all(free[i:n]):
+                    free[i:n] = [False] * (n - i)
+                    out.append(found)
+        return sorted(out, key=lambda f: f["start"])
 
 
 @cache
@@ -138,10 +186,11 @@ def _scanner(templates: tuple[Template, ...]) -> Scanner:
 
 
 def scan_licenses(df: DataFrame, *, templates: tuple[Template, ...] = TEMPLATES, text: str = "text", into: str = "licenses") -> DataFrame:
-    """``df`` with an array ``into``: license, span of the block in code points, saving, similarity and differences.
+    """``df`` with an array ``into``: license, span of the place in code points, saving, similarity and differences.
 
-    Blocks are sentences or lines with a trigger word, of whole texts.  Each is given
-    to one template at most: of those that save at least a tenth and whose words
+    Searched are the words of whole texts that have a trigger word at most one
+    template's length before or after them, across line ends.  A place is given to
+    one template at most: of those that save at least a tenth of it and whose words
     agree in 80 %, the one of the closest wording, then of the larger saving.  Texts
     that are null, empty or without a trigger word have none and skip the Python
     step's work.  Rows aren't moved.  A column named ``into`` is replaced.
