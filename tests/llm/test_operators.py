@@ -385,3 +385,14 @@ def test_edits_are_those_of_wording():
         block, own = ([rnd.choice("abcd") for _ in range(rnd.randint(1, n))] for n in (30, 12))
         got = license_scan.edits(block, own)
         assert max(0.0, 1 - min(*got, len(own)) / len(own)) == license_scan.wording(block, own)[0]
+
+
+@pytest.mark.parametrize("size", [0, 100, 300, 600, 2200, 50_000])
+def test_notices_in_long_lines_are_found(spark, size):
+    rnd = random.Random(size)
+    half = " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(size // 14))
+    text = f"{half} Released under the MIT License {half}".strip()
+    found = license_scan.scan_licenses(docs(spark, [(1, text)])).first().licenses
+    assert [(f.license, f.similarity, text[f.start:f.end]) for f in found] == [("MIT", 1.0, "Released under the MIT License")]
+    blob = "x" * size + '{"k":"' + "Released under the MIT License" + '"}' + "y" * size
+    assert [f.license for f in license_scan.scan_licenses(docs(spark, [(1, blob)])).first().licenses] == ["MIT"]

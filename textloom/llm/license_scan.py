@@ -24,8 +24,6 @@ from textloom.session import ship
 FOUND = "array<struct<license:string,start:int,end:int,saved:double,similarity:double,differences:string>>"
 #: Least share of a template's words that a place has in order.
 SIMILARITY = 0.8
-#: Places of which a template saves less than this share of their own size aren't taken.
-LEAST_SAVED = 0.1
 
 
 @dataclass(frozen=True)
@@ -165,8 +163,7 @@ class Scanner:
                 a, e = stretch[i][1], stretch[n - 1][2]
                 e += text[e : e + 1] in (".", "!", "?")
                 size, given = self.sizes(text[a:e], k)
-                if 1 - given / size >= LEAST_SAVED:
-                    yield similarity, size - given, k, i, n, {"license": t.license, "start": a, "end": e, "saved": 1 - given / size, "similarity": similarity, "differences": diffs}
+                yield similarity, size - given, k, i, n, {"license": t.license, "start": a, "end": e, "saved": 1 - given / size, "similarity": similarity, "differences": diffs}
 
     def scan(self, text: str) -> list[dict]:
         out = []
@@ -190,10 +187,11 @@ def scan_licenses(df: DataFrame, *, templates: tuple[Template, ...] = TEMPLATES,
 
     Searched are the words of whole texts that have a trigger word at most one
     template's length before or after them, across line ends.  A place is given to
-    one template at most: of those that save at least a tenth of it and whose words
-    agree in 80 %, the one of the closest wording, then of the larger saving.  Texts
-    that are null, empty or without a trigger word have none and skip the Python
-    step's work.  Rows aren't moved.  A column named ``into`` is replaced.
+    one template at most: of those whose words agree in 80 %, the one of the closest
+    wording, then of the larger saving.  The saving decides nothing else, so the
+    length of what stands around a notice doesn't matter.  Texts that are null, empty
+    or without a trigger word have none and skip the Python step's work.  Rows aren't
+    moved.  A column named ``into`` is replaced.
     """
     ship(df.sparkSession)
 
