@@ -90,3 +90,11 @@ def test_sentence_chunks():
     got = sentence_chunks(text)
     assert [w for c in got for w in c] == text.split()
     assert [len(c) for c in got] == [200, 100, 256, 256, 218] and sentence_chunks(None) == sentence_chunks(" \n") == []
+
+
+def test_common_names_make_edges(spark):
+    from textloom.operators.chunking import name_edges
+
+    rows = [(i, f"hot name only{i}") for i in range(30)] + [(30, "other words and hot name"), (31, "alone here"), (32, "hot"), (33, None), (34, "")]
+    got = {(r.a, r.b): r.n for r in name_edges(spark.createDataFrame(rows, "doc_id long, text string"), block=4).collect()}
+    assert got == {(a, b): 1 for b in range(31) for a in range(b)}
