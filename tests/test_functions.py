@@ -98,3 +98,39 @@ def test_common_names_make_edges(spark):
     rows = [(i, f"hot name only{i}") for i in range(30)] + [(30, "other words and hot name"), (31, "alone here"), (32, "hot"), (33, None), (34, "")]
     got = {(r.a, r.b): r.n for r in name_edges(spark.createDataFrame(rows, "doc_id long, text string"), block=4).collect()}
     assert got == {(a, b): 1 for b in range(31) for a in range(b)}
+
+
+def test_similar_names_lose_none(spark):
+    import random
+
+    from textloom.operators.signals import similar_names
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rnd = random.Random(2)
+    seeds = ["".join(rnd.choice("abc") for _ in range(n)) for n in (1, 4, 5, 6, 9, 10, 11, 16, 21, 30)]
+    names = set(seeds) | {"", "é" * 6, "é" * 5 + "a"}
+    for s in seeds * 12:
+        t = list(s)
+        for _ in range(rnd.randint(0, 6)):
+            i = rnd.randrange(len(t) + 1)
+            t[i:i + rnd.randint(0, 1)] = rnd.choice(["", "a", "b", "c"])
+        names.add("".join(t))
+    got = {frozenset((r.name, r.other)): r.similarity for r in similar_names(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    want = {frozenset((a, b)): 1 - distance(a, b) / max(len(a), len(b)) for a in names for b in names if a < b and 5 * distance(a, b) < max(len(a), len(b))}
+    assert len(want) > 100 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_names_are_alike_across_brands(spark, tmp_path):
+    from textloom.operators.signals import fuzzy_pairs_all
+
+    rows = [(1, "blue steel", "A", "x", 1), (2, "blue steel", "B", "y", 2), (3, "blue steal", "C", "z", 3), (4, "red", "A", "x", 1), (5, None, "A", "x", 1)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = {(r.p_partkey, r.other): (r.similarity, r.n_other) for r in fuzzy_pairs_all(spark, str(tmp_path)).collect()}
+    assert got == {(1, "blue steel"): (1.0, 2), (2, "blue steel"): (1.0, 2), (1, "blue steal"): (0.9, 1), (2, "blue steal"): (0.9, 1), (3, "blue steel"): (0.9, 2)}

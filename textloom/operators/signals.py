@@ -137,6 +137,49 @@ def fuzzy_pairs(spark: SparkSession, d: str) -> DataFrame:
     return p.join(other, ["p_brand", "p_type", "p_size"]).where(F.col("p_partkey") < F.col("b")).where(s > 0.8).select(F.col("p_partkey").alias("a"), "b", F.round(s, 6).alias("similarity"))
 
 
+@query("fuzzy_pairs_all", """
+WITH n AS (SELECT p_name AS name, count(*) AS c FROM part WHERE p_name IS NOT NULL GROUP BY 1),
+s AS (SELECT a.name, b.name AS other, b.c AS n_other, round(1 - levenshtein(a.name, b.name) * 1.0 / greatest(length(a.name), length(b.name)), 6) AS similarity FROM n a, n b
+WHERE 5 * levenshtein(a.name, b.name) < greatest(length(a.name), length(b.name)) AND (a.name <> b.name OR a.c > 1)) SELECT p_partkey, name, other, similarity, n_other FROM part JOIN s ON p_name = name""")
+def fuzzy_pairs_all(spark: SparkSession, d: str) -> DataFrame:
+    """Each part with every name that is like its own, and how many parts bear that: whatever brand, type and size.
+
+    A part's own name is among them if other parts bear it too.  Parts of a name aren't
+    paired row by row: joining ``other`` to the parts' names gives those pairs.
+    """
+    p = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("name")).where("name IS NOT NULL")
+    n = written(p.groupBy("name").agg(F.count("*").alias("c")), "names")
+    near = similar_names(n.select("name"))
+    both = near.union(near.select(F.col("other").alias("name"), F.col("name").alias("other"), "similarity"))
+    same = n.where("c > 1").where(F.length("name") > 0).select("name", F.col("name").alias("other"), F.lit(1.0).alias("similarity"))
+    s = both.union(same).join(n.select(F.col("name").alias("other"), F.col("c").alias("n_other")), "other")
+    return p.join(s, "name").select("p_partkey", "name", "other", F.round("similarity", 6).alias("similarity"), "n_other")
+
+
+def similar_names(names: DataFrame) -> DataFrame:
+    """All pairs of distinct names with a similarity over 0.8, each once, the shorter (or lesser) as ``other``.
+
+    Of a longer name of L characters at most ``k = (L - 1) // 5`` edits are allowed, so of
+    its k + 1 segments one stands unchanged in the other name, moved by k at most: pairs
+    meet in such a segment, and none is lost.
+    """
+    size = F.length("name")
+    most = lambda l: F.floor((l - 1) / 5)
+    cuts = names.where(size > 0).select("name", size.cast("int").alias("l"), most(size).cast("int").alias("k"))
+    begin = "cast(floor(i * l / (k + 1)) AS int)"
+    end = "cast(floor((i + 1) * l / (k + 1)) AS int)"
+    long = cuts.withColumn("i", F.explode(F.expr("sequence(0, k)"))).select("name", "l", "i", F.expr(f"substring(name, {begin} + 1, {end} - {begin})").alias("part"))
+    # lengths that a longer partner may have: L with L - l <= (L - 1) // 5
+    short = names.where(size > 0).select(F.col("name").alias("other"), size.cast("int").alias("s"))
+    short = short.withColumn("l", F.explode(F.expr("sequence(s, cast(s + s / 4 + 1 AS int))"))).withColumn("k", most(F.col("l")).cast("int")).where("l - s <= k")
+    short = short.withColumn("i", F.explode(F.expr("sequence(0, k)"))).withColumn("from", F.expr(begin)).withColumn("n", F.expr(f"{end} - {begin}"))
+    short = short.withColumn("at", F.explode(F.expr("sequence(greatest(0, from - k), least(greatest(s - n, greatest(0, from - k)), from + k))")))
+    short = short.select("other", "s", "l", "i", F.expr("substring(other, at + 1, n)").alias("part")).distinct()
+    pairs = long.join(short, ["l", "i", "part"]).where("l > s OR name > other").select("name", "other").distinct()
+    edits, longer = F.levenshtein("name", "other"), F.greatest(F.length("name"), F.length("other"))
+    return pairs.where(5 * edits < longer).select("name", "other", (1 - edits / longer).alias("similarity"))
+
+
 @query("message_format", """
 SELECT conv_id, turn, '[' || lpad(CAST(turn AS VARCHAR), 3, '0') || '] ' || upper(role) || ': ' || substr(text, 1, 60) AS line, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS so_far FROM conversations""")
 def message_format(spark: SparkSession, d: str) -> DataFrame:
