@@ -134,3 +134,17 @@ def test_names_are_alike_across_brands(spark, tmp_path):
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     got = {(r.p_partkey, r.other): (r.similarity, r.n_other) for r in fuzzy_pairs_all(spark, str(tmp_path)).collect()}
     assert got == {(1, "blue steel"): (1.0, 2), (2, "blue steel"): (1.0, 2), (1, "blue steal"): (0.9, 1), (2, "blue steal"): (0.9, 1), (3, "blue steel"): (0.9, 2)}
+
+
+def test_graphs_of_all_lines(spark, tmp_path):
+    from textloom.plans.registry import queries
+
+    rows = [(1, 1, 1.0), (1, 2, 5.0), (2, 2, 10.0), (2, 1, 3.0), (2, 3, 48.0), (3, 3, 2.0), (4, 4, 1.0), (1, 1, 50.0)]  # supplier, part, quantity
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    run = lambda name: sorted(map(tuple, queries()[name](spark, str(tmp_path)).collect()))
+    two = [("p1", 1), ("p2", 1), ("s1", 0), ("s2", 2)]
+    assert run("graph_two_hop_all") == two
+    assert run("graph_shortest_path_all") == sorted(two + [("p3", 3), ("s3", 4)])
+    assert run("ego_graph_all") == [("p1", "s1", 2), ("p2", "s1", 2), ("s1", "p1", 2), ("s1", "p2", 2)]
+    assert run("degree_top_all") == [("p1", 2), ("p2", 2), ("p3", 2), ("p4", 1), ("s1", 2), ("s2", 3), ("s3", 1), ("s4", 1)]
+    assert run("shared_concept_pairs_all") == [("s1", "s2", 2)]

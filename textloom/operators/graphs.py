@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -20,6 +21,25 @@ def sample_edges(spark: SparkSession, d: str) -> DataFrame:
     return lines.select(F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b")).distinct()
 
 
+#: The whole graph: every supplier and part of ``lineitem``.
+_ALL_EDGES = "edges AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem)"
+
+
+def all_edges(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b")).distinct()
+
+
+def graph_query(name: str, sql: str) -> Callable[[Callable[[DataFrame], DataFrame]], Callable[[DataFrame], DataFrame]]:
+    """Register a function of edges as ``name`` over the sample graph, and as ``name_all`` over the whole one."""
+
+    def add(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+        query(name, sql)(lambda spark, d: f(sample_edges(spark, d)))
+        query(f"{name}_all", sql.replace(_EDGES, _ALL_EDGES))(lambda spark, d: f(all_edges(spark, d)))
+        return f
+
+    return add
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     e = edges.select(F.col("a").alias("x"), F.col("b").alias("y"))
     return e.union(e.select("y", "x")).distinct()
@@ -37,28 +57,25 @@ def expand(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
-@query("graph_two_hop", f"""
+@graph_query("graph_two_hop", f"""
 WITH {_BOTH}, h1 AS (SELECT DISTINCT y FROM g WHERE x = (SELECT min(a) FROM edges)), h2 AS (SELECT DISTINCT y FROM g WHERE x IN (SELECT y FROM h1)),
 n AS (SELECT min(a) AS node, 0 AS distance FROM edges UNION ALL SELECT y, 1 FROM h1 UNION ALL SELECT y, 2 FROM h2) SELECT node, min(distance) AS distance FROM n GROUP BY 1""")
-def graph_two_hop(spark: SparkSession, d: str) -> DataFrame:
-    e = sample_edges(spark, d)
+def graph_two_hop(e: DataFrame) -> DataFrame:
     return expand(e, e.agg(F.min("a").alias("node")), 2)
 
 
-@query("graph_shortest_path", f"""
+@graph_query("graph_shortest_path", f"""
 WITH RECURSIVE {_BOTH}, walk(node, distance) AS (
   SELECT min(a), 0 FROM edges UNION SELECT y, distance + 1 FROM walk JOIN g ON x = node WHERE distance < 4)
 SELECT node, min(distance) AS distance FROM walk GROUP BY 1""")
-def graph_shortest_path(spark: SparkSession, d: str) -> DataFrame:
-    e = sample_edges(spark, d)
+def graph_shortest_path(e: DataFrame) -> DataFrame:
     return expand(e, e.agg(F.min("a").alias("node")), 4)
 
 
-@query("ego_graph", f"""
+@graph_query("ego_graph", f"""
 WITH {_BOTH}, f AS (SELECT min(a) AS x FROM edges), n AS (SELECT y AS node FROM g JOIN f USING (x) UNION SELECT x FROM f)
 SELECT g.x AS src, g.y AS dst, (SELECT count(*) FROM g k WHERE k.x = g.x) AS degree FROM g WHERE g.x IN (SELECT node FROM n) AND g.y IN (SELECT node FROM n)""")
-def ego_graph(spark: SparkSession, d: str) -> DataFrame:
-    e = sample_edges(spark, d)
+def ego_graph(e: DataFrame) -> DataFrame:
     g = written(undirected(e), "graph")
     focus = e.agg(F.min("a").alias("x"))
     nodes = g.join(F.broadcast(focus), "x").select(F.col("y").alias("node")).union(focus)
@@ -67,9 +84,9 @@ def ego_graph(spark: SparkSession, d: str) -> DataFrame:
     return inside.join(degree, "x").select(F.col("x").alias("src"), F.col("y").alias("dst"), "degree")
 
 
-@query("degree_top", f"WITH {_BOTH} SELECT x AS node, count(*) AS degree FROM g GROUP BY 1 ORDER BY degree DESC, node LIMIT 10")
-def degree_top(spark: SparkSession, d: str) -> DataFrame:
-    return undirected(sample_edges(spark, d)).groupBy(F.col("x").alias("node")).agg(F.count("*").alias("degree")).orderBy(F.desc("degree"), "node").limit(10)
+@graph_query("degree_top", f"WITH {_BOTH} SELECT x AS node, count(*) AS degree FROM g GROUP BY 1 ORDER BY degree DESC, node LIMIT 10")
+def degree_top(e: DataFrame) -> DataFrame:
+    return undirected(e).groupBy(F.col("x").alias("node")).agg(F.count("*").alias("degree")).orderBy(F.desc("degree"), "node").limit(10)
 
 
 #: Trade between nations: who buys from whom, with the number of lines.
@@ -117,9 +134,9 @@ def pagerank_query(spark: SparkSession, d: str) -> DataFrame:
     return pagerank(trade(spark, d), _ROUNDS).select("node", F.round("rank", 6).alias("rank"))
 
 
-@query("shared_concept_pairs", f"WITH {_EDGES} SELECT x.a AS a, y.a AS b, count(*) AS shared FROM edges x JOIN edges y ON x.b = y.b AND x.a < y.a GROUP BY 1, 2 HAVING count(*) >= 2")
-def shared_concept_pairs(spark: SparkSession, d: str) -> DataFrame:
-    e = written(sample_edges(spark, d), "edges")
+@graph_query("shared_concept_pairs", f"WITH {_EDGES} SELECT x.a AS a, y.a AS b, count(*) AS shared FROM edges x JOIN edges y ON x.b = y.b AND x.a < y.a GROUP BY 1, 2 HAVING count(*) >= 2")
+def shared_concept_pairs(e: DataFrame) -> DataFrame:
+    e = written(e, "edges")
     return e.join(e.select(F.col("a").alias("a2"), "b"), "b").where("a < a2").groupBy("a", F.col("a2").alias("b")).agg(F.count("*").alias("shared")).where("shared >= 2")
 
 
