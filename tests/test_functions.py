@@ -148,3 +148,27 @@ def test_graphs_of_all_lines(spark, tmp_path):
     assert run("ego_graph_all") == [("p1", "s1", 2), ("p2", "s1", 2), ("s1", "p1", 2), ("s1", "p2", 2)]
     assert run("degree_top_all") == [("p1", 2), ("p2", 2), ("p3", 2), ("p4", 1), ("s1", 2), ("s2", 3), ("s3", 1), ("s4", 1)]
     assert run("shared_concept_pairs_all") == [("s1", "s2", 2)]
+
+
+def test_pairs_seen_twice_are_collocations(spark, tmp_path):
+    from textloom.operators.texts import pmi_collocations_all
+
+    # 64 words and 63 pairs: "aaa bbb" twice, all else once
+    rest = [f"v{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    text = " ".join(["aaa", "bbb", *rest[:30], "aaa", "bbb", *rest[30:]])
+    spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [(r.a, r.b, r.n, r.pmi) for r in pmi_collocations_all(spark, str(tmp_path)).collect()] == [("aaa", "bbb", 2, 6.9773)]
+
+
+def test_collocations_at_the_border(spark, tmp_path):
+    from textloom.operators.texts import pmi_collocations_all
+
+    # 32 pairs, "aaa bbb" twice, and both words twice: 2 * 32 >= 8 * 2 * c holds up to c = 4
+    rest = [f"v{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40)]
+    for extra, n in ((2, 1), (3, 0)):
+        words = ["aaa", "bbb", rest[0], "aaa", "bbb"] + [x for i in range(extra) for x in (rest[1 + i], "bbb")]
+        words += rest[10:10 + 33 - len(words)]
+        path = f"{tmp_path}/{extra}"
+        spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+        got = pmi_collocations_all(spark, path).where("a = 'aaa'").collect()
+        assert [(r.n, r.pmi) for r in got] == [(2, 5.0)] * n

@@ -208,16 +208,31 @@ WITH w AS (SELECT {_KEYS.format('text')} AS w FROM documents), u AS (SELECT word
 p AS (SELECT unnest(list_zip(w[:len(w) - 1], w[2:])) AS p FROM w WHERE len(w) > 1), b AS (SELECT p[1] AS a, p[2] AS b, count(*) AS f FROM p GROUP BY 1, 2), t AS (SELECT CAST(sum(f) AS BIGINT) AS f FROM b)
 SELECT b.a, b.b, b.f AS n, round(log2((b.f * 1.0 / t.f) / ((x.c / (2.0 * t.f)) * (y.c / (2.0 * t.f)))), 4) AS pmi FROM b, t, u x, u y WHERE x.word = b.a AND y.word = b.b AND b.f >= 3 AND log2((b.f * 1.0 / t.f) / ((x.c / (2.0 * t.f)) * (y.c / (2.0 * t.f)))) >= 5.0001""")
 def pmi_collocations(spark: SparkSession, d: str) -> DataFrame:
-    w = table(spark, d, "documents").select(T.keywords(F.col("text")).alias("w"))
+    return collocations(table(spark, d, "documents"), 3).where("pmi_exact >= 5.0001").select("a", "b", "n", "pmi")
+
+
+@query("pmi_collocations_all", f"""
+WITH w AS (SELECT {_KEYS.format('text')} AS w FROM documents), u AS (SELECT word, count(*) AS c FROM (SELECT unnest(w) AS word FROM w) GROUP BY 1),
+p AS (SELECT unnest(list_zip(w[:len(w) - 1], w[2:])) AS p FROM w WHERE len(w) > 1), b AS (SELECT p[1] AS a, p[2] AS b, count(*) AS f FROM p GROUP BY 1, 2), t AS (SELECT CAST(sum(f) AS BIGINT) AS f FROM b)
+SELECT b.a, b.b, b.f AS n, round(log2((b.f * 1.0 / t.f) / ((x.c / (2.0 * t.f)) * (y.c / (2.0 * t.f)))), 4) AS pmi FROM b, t, u x, u y WHERE x.word = b.a AND y.word = b.b AND b.f >= 2 AND CAST(b.f AS HUGEINT) * t.f >= 8 * CAST(x.c AS HUGEINT) * y.c""")
+def pmi_collocations_all(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of neighbours that occur twice or more with a PMI of 5 at least: 4 n t / (c_a c_b) >= 32, in whole numbers."""
+    whole = lambda c: F.col(c).cast("decimal(18,0)")
+    return collocations(table(spark, d, "documents"), 2).where(whole("n") * whole("t") >= F.lit(8).cast("decimal(1,0)") * (whole("c_a") * whole("c_b"))).select("a", "b", "n", "pmi")
+
+
+def collocations(documents: DataFrame, least: int) -> DataFrame:
+    """Neighbouring keywords that occur ``least`` times or more: ``n``, the words' counts, the number of pairs and their PMI."""
+    w = documents.select(T.keywords(F.col("text")).alias("w"))
     u = w.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("c"))
     pairs = F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("a"), F.slice("w", F.lit(2), F.size("w")).alias("b"))
     b = w.where(F.size("w") > 1).select(F.explode(pairs).alias("p")).groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n"))
     total = b.agg(F.sum("n").alias("t"))
-    b = b.where("n >= 3").join(F.broadcast(total))  # one row
+    b = b.where(F.col("n") >= least).join(F.broadcast(total))  # one row
     side = lambda k: u.select(F.col("word").alias(k), F.col("c").alias(f"c_{k}"))
     share = lambda k: F.col(f"c_{k}") / (2 * F.col("t"))
     pmi = F.log2((F.col("n") / F.col("t")) / (share("a") * share("b")))
-    return b.join(side("a"), "a").join(side("b"), "b").where(pmi >= 5.0001).select("a", "b", "n", F.round(pmi, 4).alias("pmi"))
+    return b.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n", "c_a", "c_b", "t", pmi.alias("pmi_exact"), F.round(pmi, 4).alias("pmi"))
 
 
 @query("page_links", r"""
