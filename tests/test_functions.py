@@ -172,3 +172,11 @@ def test_collocations_at_the_border(spark, tmp_path):
         spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
         got = pmi_collocations_all(spark, path).where("a = 'aaa'").collect()
         assert [(r.n, r.pmi) for r in got] == [(2, 5.0)] * n
+
+
+def test_content_upsert_keeps_all_contents_once(spark):
+    docs = lambda rows: spark.createDataFrame(rows, "doc_id long, source string, text string, lang string, n_chars long")
+    old = docs([(1, "s", "x", "en", 1), (5, "s", "x", "de", 1), (7, "t", "x", "en", 1), (None, "s", None, "en", 0), (11, "s", "", "fr", 0)])
+    new = docs([(9, "s", "x", "en", 2), (3, "s", "y", "en", 1)])
+    got = {(r.source, r.content_hash[:4], r.doc_id, r.lang, r.n_chars) for r in reports.content_upsert(old, new).collect()}
+    assert got == {("s", "2d71", 9, "en", 2), ("t", "2d71", 7, "en", 1), ("s", "e3b0", 11, "fr", 0), ("s", "a1fc", 3, "en", 1)}

@@ -143,6 +143,27 @@ def chunk_dedup_upsert(spark: SparkSession, d: str) -> DataFrame:
     return upsert(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 3 = 0").withColumn("n_chars", F.col("n_chars") + 1), ["doc_id"])
 
 
+@query("chunk_dedup_upsert_all", """
+WITH v AS (SELECT 0 AS version, doc_id, source, text, lang, n_chars FROM documents UNION ALL SELECT 1, doc_id, source, text, lang, n_chars + 1 FROM documents WHERE doc_id % 3 = 0),
+r AS (SELECT source, sha256(coalesce(text, '')) AS content_hash, doc_id, lang, n_chars, row_number() OVER (PARTITION BY source, sha256(coalesce(text, '')) ORDER BY version DESC, doc_id NULLS LAST) AS i FROM v) SELECT source, content_hash, doc_id, lang, n_chars FROM r WHERE i = 1""")
+def chunk_dedup_upsert_all(spark: SparkSession, d: str) -> DataFrame:
+    """All documents, and newer versions of every third one, as one row for each source and content."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "text", "lang", "n_chars")
+    return content_upsert(docs, docs.where("doc_id % 3 = 0").withColumn("n_chars", F.col("n_chars") + 1))
+
+
+def content_upsert(old: DataFrame, new: DataFrame) -> DataFrame:
+    """One row for each ``source`` and hash of ``text``: of the new version where it has one, then of the least ``doc_id``.
+
+    Null counts as the empty text.  This is one aggregate, so copies meet on the map
+    side first.
+    """
+    v = old.withColumn("age", F.lit(1)).unionByName(new.withColumn("age", F.lit(0)))
+    first = F.min(F.struct("age", F.col("doc_id").isNull().alias("lost"), "doc_id", "lang", "n_chars")).alias("r")
+    r = v.groupBy("source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash")).agg(first)
+    return r.select("source", "content_hash", "r.doc_id", "r.lang", "r.n_chars")
+
+
 @query("active_user_popular_events", """
 SELECT event_type, count(*) AS n FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY 1 HAVING count(*) > 5) GROUP BY 1 ORDER BY n DESC, event_type LIMIT 3""")
 def active_user_popular_events(spark: SparkSession, d: str) -> DataFrame:
