@@ -396,3 +396,23 @@ def test_notices_in_long_lines_are_found(spark, size):
     assert [(f.license, f.similarity, text[f.start:f.end]) for f in found] == [("MIT", 1.0, "Released under the MIT License")]
     blob = "x" * size + '{"k":"' + "Released under the MIT License" + '"}' + "y" * size
     assert [f.license for f in license_scan.scan_licenses(docs(spark, [(1, blob)])).first().licenses] == ["MIT"]
+
+
+@pytest.mark.parametrize("bits", [64, 100, 1 << 9, 1 << 12])
+def test_filter_is_kept_beyond_its_bits_a_row(spark, bits):
+    rows = [(i, f"copy {i % 7}") for i in range(60)] + [(i, f"alone {i}") for i in range(100, 400)]
+    hashes = exact_dedup.digests(docs(spark, rows))
+    found = exact_dedup.find_repeats(hashes, bits)
+    assert found.words is not None and found.bits <= bits and len(found.words.first().words) == found.bits // 64
+    if bits >= 1 << 9:
+        assert 60 <= hashes.where(found.possible(F.col("text_sha256"))).count() < len(rows)
+    groups = brute_dedup(rows)
+    for r in exact_dedup.dedup_digests(docs(spark, rows), max_filter_bits=bits).collect():
+        assert r.group_size == len(groups[r.text_sha256]) and r.keep_id == min(groups[r.text_sha256]) and r.kept == (r.doc_id == r.keep_id)
+
+
+def test_shortened_shingles_that_collide_rule_no_pair_out(spark):
+    head = [5, 5 + (1 << 31), 9]
+    sets = spark.createDataFrame([(1, 3, head), (2, 3, head), (3, 3, [6, 7, 8])], "doc long, n int, head array<long>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    assert [tuple(r) for r in ngram_join._plausible(sets, pairs, 100).collect()] == [(1, 2)]

@@ -33,7 +33,7 @@ def digests(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
 
 @dataclass
 class Repeats:
-    """What pass one found: the filter's bits (None: too many rows for one) and the groups with repeats."""
+    """What pass one found: the filter's bits (None: no filter) and the groups with repeats."""
 
     bits: int | None
     words: DataFrame | None
@@ -53,8 +53,8 @@ def find_repeats(hashes: DataFrame, max_filter_bits: int = MAX_FILTER_BITS) -> R
     spark = hashes.sparkSession
     n = hashes.count()
     bits, words = None, None
-    if n * BITS_PER_ROW <= max_filter_bits:
-        bits = max(1 << 12, 1 << (n * BITS_PER_ROW - 1).bit_length())
+    if max_filter_bits >= 64:
+        bits = min(max(1 << 12, 1 << (n * BITS_PER_ROW - 1).bit_length()), 1 << max_filter_bits.bit_length() - 1)
         slots = hashes.groupBy(F.pmod(F.xxhash64("text_sha256"), F.lit(bits)).alias("slot")).count().where("count > 1")
         set_bits = slots.select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("bits"))
         empty = spark.range(bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
@@ -96,8 +96,9 @@ def exact_dedup(df: DataFrame, *, text: str = "text", key: str = "doc_id", max_f
     (the key and text columns are read before that).  An empty table gives an
     empty result.
 
-    The filter has 16 bits a row, up to ``max_filter_bits``.  Where that is not
-    enough, no filter is sent out, and all rows meet the groups in a shuffle join.
+    The filter has 16 bits a row, up to ``max_filter_bits``.  Of more rows each has
+    fewer bits: the filter then lets more of them pass as possible repeats, which
+    meet the groups in a shuffle join.  Under 64 bits no filter is made.
     """
     found = find_repeats(digests(df, text, key), max_filter_bits)
     k = free_name(df.columns, "key__")

@@ -221,8 +221,8 @@ def _plausible(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     pairs = written(pairs, "candidates")
     heads = sets.join(_sent(_docs_of(pairs)), "doc", "left_semi").select("doc", "n", short.alias("h"))
     of = lambda side: heads.select(F.col("doc").alias(side), F.col("n").alias(f"n{side}"), F.col("h").alias(f"h{side}"))
-    both = F.size(F.array_intersect("ha", "hb"))
-    most = F.greatest(F.col("na") - F.size("ha") + both, F.col("nb") - F.size("hb") + both)
+    # array_except counts those that collide within a head once, which only loosens the bounds
+    most = F.greatest(F.col("na") - F.size(F.array_except("ha", "hb")), F.col("nb") - F.size(F.array_except("hb", "ha")))
     return pairs.join(of("a"), "a").join(of("b"), "b").where(most >= overlap_col(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
 
 
