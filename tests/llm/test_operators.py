@@ -117,6 +117,23 @@ def test_exact_dedup(spark, bits):
     assert all(r.doc_id == r.keep_id for r in got if r.kept)
 
 
+def test_exact_dedup_by_ranges_with_clashing_columns(spark):
+    schema = DOCS + ", gk__ int, gn__ int, rn__ int, hash__ int, key__ int, TEXT_SHA256 string, keep_id int"
+    df = docs(spark, [(i, f"t{i % 50}", 1, 2, 3, 4, 5, "x", 6) for i in range(90)] + [(7, "t7", 1, 2, 3, 4, 5, "x", 6), (None, None, *[None] * 7)], schema)
+    for bits in (64, exact_dedup.MAX_FILTER_BITS):
+        got = exact_dedup.exact_dedup(df, max_filter_bits=bits)
+        assert sorted(got.columns) == sorted(["doc_id", "text", "gk__", "gn__", "rn__", "hash__", "key__", "text_sha256", "keep_id", "group_size", "kept"])
+        got = got.collect()
+        assert len(got) == 92 and sum(r.kept for r in got) == 51 and all((r.gk__, r.hash__) == (1, 4) for r in got if r.doc_id is not None)
+        assert sorted(r.group_size for r in got if r.text == "t7") == [3, 3, 3]
+
+
+def test_hash_ranges_cover_all_numbers():
+    for n in (1, 2, 7, 1000):
+        r = list(exact_dedup.hash_ranges(n))
+        assert len(r) == n and r[0][0] == -(1 << 63) and r[-1][1] == (1 << 63) - 1 and all(a[1] + 1 == b[0] for a, b in zip(r, r[1:]))
+
+
 def test_exact_dedup_keeps_columns(spark):
     df = docs(spark, [(1, "a", "x"), (2, "a", "y"), (3, "b", None)], DOCS + ", Kept string")
     out = exact_dedup.exact_dedup(df)
@@ -191,8 +208,15 @@ def test_decontamination_matches_brute_force(spark):
 # n-gram join
 
 
+def word_sets(text, n):
+    """Shingles as tuples of words, without the module's numbers."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = [x for x in re.split("[ \t-\r]+", low) if x]
+    return {tuple(w)} if 0 < len(w) < n else {tuple(w[i:i + n]) for i in range(len(w) - n + 1)}
+
+
 def brute_components(rows, n, percent):
-    sets = [set(ngram_join.shingles(t, n).tolist()) for _, t in rows]
+    sets = [word_sets(t, n) for _, t in rows]
     parent = {k: k for k, _ in rows}
 
     def root(x):
@@ -230,6 +254,52 @@ def test_components_match_brute_force(spark, monkeypatch, n, percent, most):
     assert {tuple(r) for r in got} == brute_components(rows, n, percent) and len(got) == len(rows)
 
 
+def test_signatures_never_differ_in_more_bits_than_shingles():
+    rnd = np.random.default_rng(3)
+    for _ in range(200):
+        a = rnd.integers(-(1 << 62), 1 << 62, rnd.integers(1, 400))
+        b = np.unique(np.concatenate([a[rnd.random(len(a)) < 0.9], rnd.integers(-(1 << 62), 1 << 62, rnd.integers(0, 30))]))
+        bits = int(np.bitwise_count((ngram_join.signature(np.unique(a)) ^ ngram_join.signature(b)).view(np.uint64)).sum())
+        assert bits <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_chains_need_few_rounds(spark, monkeypatch):
+    from textloom.llm import components as C
+
+    names = []
+    plain = C.written
+    monkeypatch.setattr(C, "written", lambda df, name: names.append(name) or plain(df, name))
+    chain = [*range(2, 101), 1]
+    got = C.components(spark.createDataFrame(list(zip(chain, chain[1:])), "a long, b long")).collect()
+    assert {tuple(r) for r in got} == {(i, 1) for i in range(1, 101)} and names.count("grandparents") <= 8
+
+
+def test_shared_sentences_make_few_candidates(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FREQUENT", 20)
+    rnd = random.Random(9)
+    shared = [" ".join(f"s{i}w{j}" for j in range(12)) for i in range(60)]
+    seen = []
+    plain = ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda docs_, sets, pairs, n, percent: seen.append(pairs.count()) or plain(docs_, sets, pairs, n, percent))
+    rows = [(i, " ".join(rnd.sample(shared, 10))) for i in range(400)]
+    got = ngram_join.jaccard_components(docs(spark, rows), n=3, percent=90).collect()
+    assert {tuple(r) for r in got} == brute_components(rows, 3, 90)
+    # two passes over pivots, with fewer pairs than entries; of all pairs of a list none is left
+    assert len(seen) == 3 and max(seen) < 400 * 12 and seen[-1] == 0
+
+
+def test_large_keys_beside_a_null_one(spark):
+    big = 1 << 60
+    rows = [(big + 1, "one two three four"), (big + 2, "five six seven eight"), (None, "nine ten eleven twelve")]
+    got = ngram_join.jaccard_components(docs(spark, rows).coalesce(1), n=3, percent=90).collect()
+    assert {tuple(r) for r in got} == {(big + 1, 2, big + 1), (big + 2, 2, big + 2), (None, 2, None)}
+
+
+def test_keep_one_with_clashing_columns(spark):
+    df = docs(spark, [(1, "a b c d e f g", 5), (2, "a b c d e f g", 6)], DOCS + ", gone__ int")
+    assert [tuple(r) for r in ngram_join.keep_one(df).collect()] == [(1, "a b c d e f g", 5)]
+
+
 def test_components_edges(spark):
     got = ngram_join.jaccard_components(docs(spark, EDGES + [(None, "one two"), (None, "lost words here")]), n=3, percent=90).collect()
     assert len(got) == len(EDGES) + 2
@@ -296,22 +366,79 @@ def test_token_files(spark):
     files = token_files.write_tokens(docs(spark, rows), tokenizer=path, shard_bytes=2000)
     places = token_files.locate(files, token_files.keys_of(docs(spark, rows)))
     got = sorted(token_files.read_tokens(files, places).collect(), key=lambda r: r.start)
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    encoded = lambda t: tuple(tok.encode(t or "", add_special_tokens=False).ids + [2])
+    assert Counter((r.doc_id, tuple(r.ids)) for r in got) == Counter((k, encoded(t)) for k, t in rows)
+    assert [r.doc_id for r in got] == sorted((k for k, _ in rows), key=lambda k: (k is not None, k or 0))
     at = 0
-    for r, (k, t) in zip(got, order, strict=True):
-        ids = tok.encode(t or "", add_special_tokens=False).ids + [2]
-        assert (r.doc_id, r.start, list(r.ids)) == (k, at, ids)
-        at += len(ids)
+    for r in got:
+        assert r.start == at
+        at += len(r.ids)
+    assert len({(r.doc_id, r.copy) for r in got}) == len(rows)
     sums = {r.start: r.ids_crc32 for r in token_files.read_tokens(files, places, checksum_only=True).collect()}
     assert sums == {r.start: zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in got}
     strange = token_files.locate(files, spark.createDataFrame([(10**9, 0)], "doc_id long, copy long")).first()
     assert strange.n is None
+    with pytest.raises(Exception, match="isn't in the index"):
+        token_files.read_tokens(files, token_files.locate(files, spark.createDataFrame([(10**9, 0)], "doc_id long, copy long"))).collect()
     assert token_files.token_table(docs(spark, []), tokenizer=path).count() == 0
 
 
+def test_one_key_fills_many_shards(spark):
+    path = P.path("word_bpe_49k.json")
+    rows = [(7, f"copy number {i}") for i in range(200)] + [(None, "none")] * 40 + [(1 << 60, "big"), ((1 << 60) + 1, "big")]
+    files = token_files.write_tokens(docs(spark, rows), tokenizer=path, shard_bytes=200)
+    got = token_files.read_tokens(files, token_files.locate(files, token_files.keys_of(docs(spark, rows), block=7))).collect()
+    assert Counter(r.doc_id for r in got) == Counter(k for k, _ in rows)
+    assert sorted(r.copy for r in got if r.doc_id == 7) == list(range(200)) and sorted(r.copy for r in got if r.doc_id is None) == list(range(40))
+    assert len({r.shard for r in got if r.doc_id == 7}) > 2 and len({r.start for r in got}) == len(rows)
+
+
+def test_large_token_keys_beside_a_null_one(spark):
+    big = 1 << 60
+    got = token_files.token_table(docs(spark, [(big + 1, "a"), (big + 2, "b"), (None, "c")]).coalesce(1), tokenizer=P.path("word_bpe_49k.json")).collect()
+    assert {r.doc_id for r in got} == {big + 1, big + 2, None} and len(got) == 3
+
+
 # chat
 
 
+def turn_cost(state, role, label, merge=2, relabel=3, insert=4):
+    """The automaton in words: cheapest way to go from a state to a message of ``label``."""
+    allowed = {None: ["system", "user"], "system": ["user"], "user": ["assistant"], "assistant": ["user"]}
+    ways = [merge] if state == label and (state is not None) else []
+    if label in allowed[state]:
+        ways.append(0)
+    for mid in allowed[state]:  # one empty message between
+        if mid != "system" and label in allowed[mid]:
+            ways.append(insert)
+    return min(ways, default=10**9) + (relabel if role != label else 0)
+
+
+def chat_cost(roles, labels):
+    state, total = None, 0
+    for r, t in zip(roles, labels):
+        total, state = total + turn_cost(state, r, t), t
+    return total + {None: 0, "system": 8, "user": 4, "assistant": 0}[state]
+
+
+def test_chat_cost_by_brute_force(spark):
+    rnd = random.Random(11)
+    rows = [(c, t, rnd.choice(["user", "assistant", "system", None, "tool"]), "x") for c in range(60) for t in range(rnd.randint(1, 6))]
+    got = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    for c in range(60):
+        g = sorted((r for r in got if r.conv_id == c), key=lambda r: r.pos)
+        roles = [r.role for r in g]
+        best = min(chat_cost(roles, w) for w in itertools.product(["system", "user", "assistant"], repeat=len(g)))
+        assert chat_cost(roles, [r.new_role for r in g]) == best == sum(r.cost for r in g)
+
+
+def test_large_chat_keys_beside_a_null_one(spark):
+    big = 1 << 60
+    rows = [(big + 1, big + 1, "user", "a"), (big + 2, None, "user", "b"), (None, 0, "assistant", "c")]
+    got = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)).collect()
+    assert {(r.conv_id, r.turn, r.rendered.count("<|im_end|>")) for r in got} == {(big + 1, big + 1, 2), (big + 2, None, 2), (None, 0, 2)}
+
+
 def test_chat_repair_costs_least(spark):
     rnd = random.Random(3)
     costs = chat_format.Costs()
@@ -398,14 +525,17 @@ def test_notices_in_long_lines_are_found(spark, size):
     assert [f.license for f in license_scan.scan_licenses(docs(spark, [(1, blob)])).first().licenses] == ["MIT"]
 
 
-@pytest.mark.parametrize("bits", [64, 100, 1 << 9, 1 << 12])
-def test_filter_is_kept_beyond_its_bits_a_row(spark, bits):
+@pytest.mark.parametrize("bits", [1 << 9, 1 << 12])
+def test_filters_at_every_size(spark, bits):
     rows = [(i, f"copy {i % 7}") for i in range(60)] + [(i, f"alone {i}") for i in range(100, 400)]
     hashes = exact_dedup.digests(docs(spark, rows))
     found = exact_dedup.find_repeats(hashes, bits)
-    assert found.words is not None and found.bits <= bits and len(found.words.first().words) == found.bits // 64
-    if bits >= 1 << 9:
-        assert 60 <= hashes.where(found.possible(F.col("text_sha256"))).count() < len(rows)
+    assert len(found.filters) == -(-len(rows) * exact_dedup.LEAST_BITS_PER_ROW // bits)
+    passed = 0
+    for one in found.filters:
+        assert one.bits <= max(bits, 1 << 9) and len(one.words.first().words) == one.bits // 64
+        passed += hashes.where(one.within(F.col("hash__")) & one.possible(F.col("text_sha256"))).count()
+    assert 60 <= passed < len(rows) * 0.4
     groups = brute_dedup(rows)
     for r in exact_dedup.dedup_digests(docs(spark, rows), max_filter_bits=bits).collect():
         assert r.group_size == len(groups[r.text_sha256]) and r.keep_id == min(groups[r.text_sha256]) and r.kept == (r.doc_id == r.keep_id)
@@ -413,6 +543,6 @@ def test_filter_is_kept_beyond_its_bits_a_row(spark, bits):
 
 def test_shortened_shingles_that_collide_rule_no_pair_out(spark):
     head = [5, 5 + (1 << 31), 9]
-    sets = spark.createDataFrame([(1, 3, head), (2, 3, head), (3, 3, [6, 7, 8])], "doc long, n int, head array<long>")
+    sets = spark.createDataFrame([(1, 3, head), (2, 3, head), (3, 3, [6, 7, 8])], "doc long, n int, head array<long>").withColumn("sig", F.array_repeat(F.lit(0).cast("long"), 8))
     pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
     assert [tuple(r) for r in ngram_join._plausible(sets, pairs, 100).collect()] == [(1, 2)]

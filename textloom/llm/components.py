@@ -10,18 +10,23 @@ from textloom.session import written
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``comp`` (the smallest node reachable) for every node of ``edges``.
 
-    Each round takes the smallest label among neighbours and then the label of that
-    label, so rounds follow the logarithm of a component's diameter.  Labels are
-    written out each round; nothing is collected but a count of changes.
+    Each node has a parent, itself at first.  A round offers the grandparents of a
+    node's neighbours to the node and to its parent, so whole trees are hooked at their
+    roots and not node by node, and then halves the way to the root.  Rounds follow the
+    logarithm of a component's size.  Parents are written out each round; nothing is
+    collected but whether any has changed.
     """
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
     both = written(both.union(both.select("y", "x")).distinct(), "edges")
-    labels = written(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels")
+    parents = written(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("m")).select("node", F.least("node", "m").alias("comp")), "parents")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.min("comp").alias("m"))
-        low = labels.join(near.withColumnRenamed("x", "node"), "node").select("node", "comp", F.least("comp", "m").alias("to"))
-        of = labels.select(F.col("node").alias("to"), F.col("comp").alias("jump"))
-        moved = written(low.join(of, "to").select("node", F.least("to", "jump").alias("comp"), (F.least("to", "jump") < F.col("comp")).alias("changed")), "labels")
-        labels = moved.select("node", "comp")
+        above = parents.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+        known = written(parents.join(above, "comp").select("node", "comp", "top"), "grandparents")
+        near = both.join(known.select(F.col("node").alias("y"), "top"), "y").groupBy("x").agg(F.min("top").alias("m"))
+        found = known.join(near.withColumnRenamed("x", "node"), "node").select("node", "comp", F.least("top", "m").alias("m"))
+        # what a node finds goes to itself and to its parent; many children of one parent meet in partial minima
+        offers = found.select("node", "m").union(found.select("comp", "m")).groupBy("node").agg(F.min("m").alias("m"))
+        moved = written(parents.join(offers, "node").select("node", F.least("comp", "m").alias("comp"), (F.col("m") < F.col("comp")).alias("changed")), "parents")
+        parents = moved.select("node", "comp")
         if not moved.where("changed").head(1):
-            return labels
+            return parents

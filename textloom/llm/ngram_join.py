@@ -7,7 +7,8 @@ inverted lists over prefixes: each set's rarest shingles come first, and two lin
 sets share one of them.  The boundary is where enumeration begins to cost more.
 
 In a list every set is first compared with one pivot; only sets that this leaves in
-different components are compared further.
+different components are compared further, in bands of like sizes and in blocks where a
+list is long.  A pair is made only where bit arrays of the whole sets allow the link.
 """
 
 from __future__ import annotations
@@ -24,13 +25,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.llm.components import components
-from textloom.session import ship, written
+from textloom.session import free_name, ship, written
 
 #: Whole sets of up to this size are kept beside the prefixes, so the boundary can be chosen up to it.
 SMALL_MAX = 24
 #: A shingle in more prefixes than this is frequent and goes behind all others in the order.
 FREQUENT = 100
 FREQUENT_MOST = 500_000
+#: A shingle seen once in a batch counts with this weight for one of so many: else it is left out.
+SINGLE_WEIGHT = 16
+#: 64-bit words of a set's parity bits; comparisons of one block of a long list.
+SIG_WORDS = 8
+BLOCK_PAIRS = 1_000_000
 #: Keys (8 bytes each) that are broadcast at most.
 SENT_KEYS = 1_000_000
 #: Cost of comparing two sets against that of shuffling a row.
@@ -131,46 +137,66 @@ def subset_rows(doc: int, tokens: np.ndarray, percent: int, most: int) -> Iterat
             yield (su - sum(u[i] for i in out)) % top - (top >> 1), (sv - sum(v[i] for i in out)) % top - (top >> 1), min(n, m), max(n, m), n, doc
 
 
-def _frequent(docs: DataFrame, n: int) -> np.ndarray:
-    """Shingles that many documents have, sorted, at most FREQUENT_MOST of them (the most frequent).
+def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many documents have, sorted, with their ranks from the least frequent up; at most FREQUENT_MOST.
 
     They only decide the order in which a set's shingles are looked at, so any choice
-    gives the same links.  Parts count what they see twice or more; those counts meet.
+    gives the same links.  Batches count what they see; of shingles seen once in a batch
+    a fixed share stands for all, so one that is rare everywhere in a batch but common
+    in the corpus is found too.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             toks, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *(shingles(t, n) for t in part["text"])]), return_counts=True)
-            yield pd.DataFrame({"tok": toks[counts > 1], "c": counts[counts > 1]})
+            batch = toks.astype(np.uint64).sum(dtype=np.uint64)
+            drawn = (((toks.astype(np.uint64) ^ batch) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(SINGLE_WEIGHT) == 0
+            counts = np.where(counts > 1, counts, drawn * SINGLE_WEIGHT)
+            yield pd.DataFrame({"tok": toks[counts > 0], "c": counts[counts > 0]})
 
     seen = docs.select("text").mapInPandas(run, "tok long, c long").groupBy("tok").agg(F.sum("c").alias("c")).where(F.col("c") > FREQUENT)
-    return np.sort(np.array([r[0] for r in seen.orderBy(F.desc("c"), "tok").limit(FREQUENT_MOST).collect()], np.int64))
+    found = np.array([r[0] for r in seen.orderBy(F.desc("c"), "tok").limit(FREQUENT_MOST).collect()], np.int64)
+    order = np.argsort(found)
+    return found[order], (len(found) - order).astype(np.int32)
 
 
-def ordered(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """A set's shingles in the global order: as numbered, the frequent ones behind all others."""
-    if not len(frequent) or not len(tokens):
+def ordered(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A set's shingles in the global order: as numbered, then the frequent ones from the least frequent up."""
+    known, ranks = frequent
+    if not len(known) or not len(tokens):
         return tokens
-    often = frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens
-    return np.concatenate([tokens[~often], tokens[often]])
+    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+    often = known[at] == tokens
+    last = tokens[often][np.argsort(ranks[at[often]], kind="stable")]
+    return np.concatenate([tokens[~often], last])
+
+
+def signature(tokens: np.ndarray) -> np.ndarray:
+    """Parity bits of a set: each shingle turns one over, so two sets differ in at least as many shingles as bits."""
+    at = ((tokens.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - (64 * SIG_WORDS - 1).bit_length())).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=64 * SIG_WORDS).astype(np.uint8) & 1).view(np.int64)
+
+
+def _bits_allow(percent: int, a: tuple[str, str], b: tuple[str, str]) -> Column:
+    """False only where the signatures of two sets (columns of size and bits) differ too much for a link."""
+    differ = sum((F.bit_count(F.get(a[1], F.lit(i)).bitwiseXOR(F.get(b[1], F.lit(i)))) for i in range(SIG_WORDS)), F.lit(0))
+    na, nb = F.col(a[0]), F.col(b[0])
+    return differ <= na + nb - 2 * overlap_col(na, nb, percent)
 
 
 def _scan(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Size, fingerprint of the set, and its prefix (small sets: the set) for every row."""
+    """Size, fingerprint of the set, its prefix (small sets: the set) and its signature for every row; keys stay with Spark."""
     held = docs.sparkSession.sparkContext.broadcast(_frequent(docs, n))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frequent = held.value
-        for part in parts:
-            sizes, prints, heads = [], [], []
-            for t in part["text"]:
-                s = shingles(t, n)
-                sizes.append(len(s))
-                prints.append(hashlib.md5(s.tobytes(), usedforsecurity=False).digest())
-                heads.append(ordered(s, frequent)[:max(SMALL_MAX, prefix_length(len(s), percent))])
-            yield pd.DataFrame({"doc_id": part["doc_id"], "n": sizes, "fp": prints, "head": heads})
+    @F.pandas_udf("n long, fp binary, head array<long>, sig array<long>")
+    def scan(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            s = shingles(t, n)
+            rows.append((len(s), hashlib.md5(s.tobytes(), usedforsecurity=False).digest(), ordered(s, held.value)[:max(SMALL_MAX, prefix_length(len(s), percent))], signature(s)))
+        return pd.DataFrame(rows, columns=["n", "fp", "head", "sig"])
 
-    return docs.mapInPandas(run, "doc_id long, n long, fp binary, head array<long>")
+    return docs.select("doc_id", scan("text").alias("s")).select("doc_id", "s.n", "s.fp", "s.head", "s.sig")
 
 
 def _small_links(sets: DataFrame, percent: int, most: int) -> DataFrame:
@@ -219,11 +245,12 @@ def _plausible(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """
     short = F.transform("head", lambda x: F.pmod(x, F.lit(1 << 31)).cast("int"))
     pairs = written(pairs, "candidates")
-    heads = sets.join(_sent(_docs_of(pairs)), "doc", "left_semi").select("doc", "n", short.alias("h"))
-    of = lambda side: heads.select(F.col("doc").alias(side), F.col("n").alias(f"n{side}"), F.col("h").alias(f"h{side}"))
+    heads = sets.join(_sent(_docs_of(pairs)), "doc", "left_semi").select("doc", "n", short.alias("h"), "sig")
+    of = lambda side: heads.select(F.col("doc").alias(side), F.col("n").alias(f"n{side}"), F.col("h").alias(f"h{side}"), F.col("sig").alias(f"s{side}"))
     # array_except counts those that collide within a head once, which only loosens the bounds
     most = F.greatest(F.col("na") - F.size(F.array_except("ha", "hb")), F.col("nb") - F.size(F.array_except("hb", "ha")))
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(most >= overlap_col(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
+    both = pairs.join(of("a"), "a").join(of("b"), "b").where(_bits_allow(percent, ("na", "sa"), ("nb", "sb")))
+    return both.where(most >= overlap_col(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
 
 
 def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -274,13 +301,30 @@ def _large_links(docs: DataFrame, sets: DataFrame, small: DataFrame, n: int, per
             second = rest.groupBy("tok").agg(first.alias("pivot"), F.min_by("comp", F.struct("pos", "doc")).alias("o_comp"))
             pairs = named(_with_pivot(alive.join(second, "tok")).where((F.col("comp") != F.col("o_comp")) & large & _can_link(percent))).distinct()
         else:
-            other = alive.select("tok", *[F.col(c).alias(f"o_{c}") for c in ("doc", "n", "pos", "comp")])
-            once = (F.col("o_comp") == F.col("main")) | (F.col("o_doc") < F.col("doc"))
-            pairs = named(rest.join(other, "tok").where((F.col("comp") != F.col("o_comp")) & once & large & _can_link(percent))).distinct()
+            pairs = named(_left_pairs(sets, alive, percent).where(large & _can_link(percent))).distinct()
         links = written(links.union(_verified(docs, sets, pairs, n, percent)).distinct(), "links")
     return links
 
 
+def _left_pairs(sets: DataFrame, alive: DataFrame, percent: int) -> DataFrame:
+    """Pairs of entries of one list whose components differ and whose signatures allow a link.
+
+    Linked sets are in the same or neighbouring bands of size.  A long list is dealt
+    over a grid of blocks, so no task has all of it.
+    """
+    per = alive.groupBy("tok").agg(F.greatest(F.lit(1), F.ceil(F.sqrt(F.count("*") * F.count_if(F.col("comp") != F.col("main")) / BLOCK_PAIRS)).cast("int")).alias("blocks"))
+    bits = sets.join(_sent(written(alive.select("doc").distinct(), "ids")), "doc", "left_semi").select("doc", "sig")
+    # a little wider than the ratio of linked sizes, so rounding can't move one a band further
+    band = (F.floor(F.log("n") / F.log(F.lit(100.1 / percent))) if percent < 100 else F.col("n")).cast("long")
+    entries = alive.join(per, "tok").join(bits, "doc").withColumn("band", band)
+    own, each = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"), F.explode(F.expr("sequence(0, blocks - 1)"))
+    rest = entries.where("comp <> main").withColumn("i", own).withColumn("j", each).withColumn("near", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])))
+    rest = rest.select("tok", "i", "j", "near", "doc", "n", "pos", "comp", "main", "sig")
+    other = entries.withColumn("j", own).withColumn("i", each).select("tok", "i", "j", F.col("band").alias("near"), *[F.col(c).alias(f"o_{c}") for c in ("doc", "n", "pos", "comp", "sig")])
+    once = (F.col("o_comp") == F.col("main")) | (F.col("o_doc") < F.col("doc"))
+    return rest.join(other, ["tok", "i", "j", "near"]).where((F.col("comp") != F.col("o_comp")) & once & _bits_allow(percent, ("n", "sig"), ("o_n", "o_sig")))
+
+
 def _with_pivot(df: DataFrame) -> DataFrame:
     return df.select("tok", "doc", "n", "pos", "comp", "o_comp", F.col("pivot.doc").alias("o_doc"), F.col("pivot.n").alias("o_n"), F.col("pivot.pos").alias("o_pos"))
 
@@ -301,7 +345,7 @@ def jaccard_components(df: DataFrame, *, n: int = 5, percent: int = 80, text: st
     scanned = written(_scan(docs, n, percent), "sets")
     keyed = docs.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "doc")
     classes = written(scanned.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc")), "classes")
-    sets = scanned.join(classes.withColumnRenamed("doc", "doc_id"), ["fp", "doc_id"]).select(F.col("doc_id").alias("doc"), "n", "head")
+    sets = scanned.join(classes.withColumnRenamed("doc", "doc_id"), ["fp", "doc_id"]).select(F.col("doc_id").alias("doc"), "n", "head", "sig")
     if most is None:
         # other sets in a list, over the shingles of the small sets: their number and their lists'
         spread = sets.where(F.col("n") <= SMALL_MAX).select(F.explode("head").alias("tok")).groupBy("tok").count()
@@ -320,7 +364,8 @@ def keep_one(df: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
     Rows without a key stay only where no row with an equal set has one.
     """
     names = jaccard_components(df, n=n, percent=percent)
-    gone = names.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone__")).distinct()
-    left = df.join(gone, F.col("doc_id").eqNullSafe(F.col("gone__")), "left_anti")
+    id_ = free_name(df.columns, "gone__")
+    gone = names.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(id_)).distinct()
+    left = df.join(gone, F.col("doc_id").eqNullSafe(F.col(id_)), "left_anti")
     again = names.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     return left.dropDuplicates(["doc_id"]) if again.head(1) else left

@@ -17,7 +17,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textloom.session import ship, written
+from textloom.session import free_name, ship, written
 
 STATS = (
     "log_chars", "log_words", "mean_word", "longest_word", "letters", "upper", "digits", "spaces", "stops", "marks", "symbols", "pipes", "bangs", "non_ascii",
@@ -60,7 +60,7 @@ def text_stats(text: str | None) -> tuple[float, ...]:
 
 
 def with_stats(df: DataFrame, *, text: str = "text", into: str = "stats__") -> DataFrame:
-    """``df`` with a struct of the statistics."""
+    """``df`` with a struct of the statistics; a column of that name is replaced."""
     ship(df.sparkSession)
 
     @F.pandas_udf(", ".join(f"{k} double" for k in STATS))
@@ -126,7 +126,9 @@ def fit(labelled: DataFrame, *, label: str = "y", stats: str = "stats__", trees:
     if not paths:
         return RuleModel(float(np.log(ones / (n - ones))))
     fired = rows.select("y", F.struct(*STATS).alias(stats)).select("y", F.array(*[conjunction(p, stats).cast("double") for p in paths]).alias("r"))
-    lasso = LogisticRegression(featuresCol="x", labelCol="y", elasticNetParam=1.0, regParam=penalty, standardization=False, maxIter=60).fit(fired.select("y", array_to_vector("r").alias("x")).coalesce(4).cache())
+    held = fired.select("y", array_to_vector("r").alias("x")).cache()
+    lasso = LogisticRegression(featuresCol="x", labelCol="y", elasticNetParam=1.0, regParam=penalty, standardization=False, maxIter=60).fit(held)
+    held.unpersist()
     weights = lasso.coefficients.toArray()
     return RuleModel(float(lasso.intercept), tuple((float(w), p) for w, p in zip(weights, paths) if w))
 
@@ -139,7 +141,8 @@ def training_rows(documents: DataFrame, labels: DataFrame, *, label: str = "qual
     votes = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     chosen = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``bound`` rows are broadcast
-    return written(with_stats(texts).select("y", "stats__").coalesce(8), "quality-training")
+    # the scan keeps its tasks; of the rows chosen only the statistics move
+    return written(with_stats(texts).select("y", "stats__").repartition(8), "quality-training")
 
 
 def held_out(key: Column) -> Column:
@@ -153,7 +156,8 @@ def score_quality(df: DataFrame, model: RuleModel, *, text: str = "text", score:
     Null and empty texts have statistics of 0 and are scored like others.  Nothing
     shuffles.  Columns named like the results are replaced.
     """
-    scored = with_stats(df, text=text).withColumn(score, model.column()).drop("stats__")
+    stats = free_name(df.columns, "stats__")
+    scored = with_stats(df, text=text, into=stats).withColumn(score, model.column(stats)).drop(stats)
     return scored.withColumn(predicted, (F.col(score) >= threshold).cast("int"))
 
 

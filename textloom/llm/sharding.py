@@ -74,7 +74,8 @@ def numbered(df: DataFrame, order: list[str], name: str = "row__") -> DataFrame:
     """``df`` with gapless global row numbers in the given order, without one sorting task.
 
     Rows are range-partitioned and sorted, written once, and each part's number of
-    rows (one small row a part) gives the offsets.
+    rows (one small row a part) gives the offsets.  The range partitioner samples its
+    input first: give it a written table or a plain scan, not a costly plan.
     """
     pid, at, off = (free_name(df.columns, x) for x in ("pid__", "at__", "off__"))
     spark = df.sparkSession
@@ -111,7 +112,7 @@ def shard_rows(df: DataFrame, *, shards: int, seed: int = 17, order: list[str],
         return pd.Series(permute(r.to_numpy(), n, seed))
 
     p = free_name(rows.columns, "place__")
-    return rows.withColumn(p, place(F.col(row))).withColumn("shard", F.pmod(p, F.lit(shards)).cast("int")).withColumn("slot", F.floor(F.col(p) / shards).cast("long")).drop(p)
+    return rows.withColumn(p, place(F.col(row))).withColumn("shard", F.pmod(p, F.lit(shards)).cast("int")).withColumn("slot", F.expr(f"`{p}` div {shards}")).drop(p)
 
 
 def write_shards(df: DataFrame, path: str | None = None) -> str:
