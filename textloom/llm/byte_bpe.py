@@ -2,17 +2,20 @@
 
 Each distinct word of a slice of texts becomes rows (word, position, token).  A
 recursive query joins neighbouring rows with the merge table and contracts each
-word's leftmost pair of the smallest rank until no pair is left.  An ordered
-aggregation over the surviving rows gives the ids, and over their vocabulary
-entries the decoded bytes.
+word's leftmost pair of the smallest rank until no pair is left; an ordered
+aggregation over the surviving rows gives the ids.  Decoding knows ids only: they are
+joined with the vocabulary and put together by another ordered aggregation.
+
+Words of up to 200 bytes, nearly all, keep word and place in one number.  Longer ones
+have a recursion of their own, which contracts all places of a word's smallest rank in
+one round where that can't matter, and holds one row for each byte.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import chain
 
@@ -26,8 +29,10 @@ from pyspark.sql import DataFrame, functions as F
 from textloom.llm.chunks import ChunkCache, slices
 from textloom.session import free_name, ship
 
-#: Rounds of the recursion follow a word's length; words of more bytes are merged by a heap instead.
+#: Bytes of a word whose places fit into 8 bits.
 LONGEST_WORD = 200
+#: Bytes of longer words, and ids to decode, that one query takes (or one word or text of more).
+BYTES_A_QUERY, IDS_A_QUERY = 100_000, 500_000
 WORDS_A_QUERY = 10_000
 KNOWN_WORDS = 400_000
 SLICE_CHARS = 3_000_000
@@ -40,15 +45,38 @@ WITH RECURSIVE step(x, y, t, round) AS (
   UNION ALL
   (WITH best AS (
      SELECT a.x >> 8 AS w, min((m.id::BIGINT << 24) + ((a.x & 255) << 16) + ((b.x & 255) << 8) + (b.y & 255)) AS k
-     FROM step a JOIN step b ON a.y = b.x JOIN merges m ON m.pair = (a.t::BIGINT * 65536 + b.t)::UINTEGER GROUP BY w)
+     FROM step a JOIN step b ON a.y = b.x JOIN merges m ON m.pair = (a.t::BIGINT << 32) + b.t GROUP BY w)
    SELECT s.x, (CASE WHEN s.x & 255 = (k >> 16) & 255 THEN (w << 8) + (k & 255) ELSE s.y END)::INTEGER, (CASE WHEN s.x & 255 = (k >> 16) & 255 THEN k >> 24 ELSE s.t END)::INTEGER, s.round + 1
    FROM step s JOIN best ON s.x >> 8 = w WHERE s.x & 255 <> (k >> 8) & 255)
 ), last AS (SELECT x >> 8 AS w, max(round) AS round FROM step GROUP BY w)
-SELECT l.w, string_agg(v.id_hex, '' ORDER BY s.x) AS ids, string_agg(v.hex, '' ORDER BY s.x) AS decoded
+SELECT l.w, string_agg(v.id_hex, '' ORDER BY s.x) AS ids
 FROM step s JOIN last l ON s.x >> 8 = l.w AND s.round = l.round JOIN vocab v ON v.id = s.t
 GROUP BY l.w ORDER BY l.w
 """
 
+#: x and y are places in all words; a row is replaced by its key, and a token that was
+#: merged into the one before it has t = -1.  Of places that overlap in a chain every
+#: second one is left out; a token that some pair of a smaller rank may take up at once
+#: is merged at one place a round.
+_ENCODE_LONG = """
+WITH RECURSIVE step(x, w, y, t) USING KEY (x) AS (
+  SELECT x::BIGINT, w::BIGINT, (x + 1)::BIGINT, t::BIGINT FROM bytes
+  UNION
+  (WITH live AS (SELECT * FROM recurring.step WHERE t >= 0),
+   found AS (SELECT a.w, a.x, b.x AS mid, b.y AS past, m.id, m.alone FROM live a JOIN live b ON a.y = b.x AND a.w = b.w JOIN merges m ON m.pair = (a.t << 32) + b.t),
+   best AS (SELECT w, min(id) AS id, min_by(x, (id::BIGINT << 32) + x) AS x FROM found GROUP BY w),
+   mine AS (SELECT f.* FROM found f JOIN best ON f.w = best.w AND f.id = best.id WHERE NOT f.alone OR f.x = best.x),
+   chain AS (SELECT *, lag(mid) OVER (PARTITION BY w ORDER BY x) IS DISTINCT FROM x AS fresh FROM mine),
+   run AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY w ORDER BY x) AS r FROM chain),
+   placed AS (SELECT *, row_number() OVER (PARTITION BY w, r ORDER BY x) % 2 = 1 AS taken FROM run)
+   SELECT x, w, past, id FROM placed WHERE taken UNION ALL SELECT mid, w, past, -1 FROM placed WHERE taken))
+SELECT w, string_agg(v.id_hex, '' ORDER BY x) AS ids FROM step JOIN vocab v ON v.id = t GROUP BY w ORDER BY w
+"""
+
+_DECODE = """
+SELECT d, string_agg(v.hex, '' ORDER BY p) AS decoded, count(v.id) = count(*) AS known FROM pieces LEFT JOIN vocab v ON v.id = pieces.id GROUP BY d ORDER BY d
+"""
+
 
 class WordCoder:
     """Encoder and decoder of words for one vocabulary file of ranks."""
@@ -59,64 +87,80 @@ class WordCoder:
         self.pattern = regex.compile(pattern)
         self.known = ChunkCache(self.words, KNOWN_WORDS)
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
-        self.tokens = {i: t for t, i in self.ranks.items()}
+        self.bytes_of = ChunkCache(self._decoded, KNOWN_WORDS)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "150MB", "temp_directory": "", "preserve_insertion_order": False})
-        pairs = [(self.ranks[a] * 65536 + self.ranks[b], i) for t, i in self.ranks.items() for c in range(1, len(t)) if (a := t[:c]) in self.ranks and (b := t[c:]) in self.ranks]
-        known = pa.table({"id": pa.array(self.tokens, pa.int64()), "hex": [t.hex() for t in self.tokens.values()], "id_hex": [i.to_bytes(4, "little").hex() for i in self.tokens]})
-        merges = pa.table({"pair": [p for p, _ in pairs], "id": [i for _, i in pairs]})
-        for name, rows, columns in (("merges", merges, "pair::UINTEGER AS pair"), ("vocab", known, "hex, id_hex")):
+        pairs = np.array([(self.ranks[a], self.ranks[b], i) for t, i in self.ranks.items() for c in range(1, len(t)) if (a := t[:c]) in self.ranks and (b := t[c:]) in self.ranks], np.int64).reshape(-1, 3)
+        first, second, made = pairs.T
+        # tokens that a pair of a smaller rank takes up
+        alone = np.isin(made, np.concatenate([first[made < first], second[made < second]]))
+        known = pa.table({"id": pa.array(self.ranks.values(), pa.int64()), "hex": [t.hex() for t in self.ranks], "id_hex": [i.to_bytes(4, "little").hex() for i in self.ranks.values()]})
+        merges = pa.table({"pair": (first << 32) + second, "id": made, "alone": alone})
+        for name, rows, columns in (("merges", merges, "pair, alone"), ("vocab", known, "hex, id_hex")):
             self.con.register("rows", rows)
             self.con.execute(f"CREATE TABLE {name} AS SELECT id::INTEGER AS id, {columns} FROM rows")
             self.con.unregister("rows")
 
-    def words(self, words: list[str]) -> list[tuple[bytes, bytes]]:
-        """Ids (little-endian, 32 bits each) and decoded bytes of each word."""
+    def _run(self, query: str, name: str, rows: pa.Table) -> pa.Table:
+        self.con.register(name, rows)
+        try:
+            return self.con.sql(query).to_arrow_table()
+        finally:
+            self.con.unregister(name)
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids (little-endian, 32 bits each) of each word."""
         words = list(map(str.encode, words))
-        out: dict[bytes, tuple[bytes, bytes]] = {}
-        queued = []
+        out: dict[bytes, bytes] = {}
+        short, long = [], []
         for w in words:
             if (i := self.ranks.get(w)) is not None:  # a word that is a token is that token
-                out[w] = i.to_bytes(4, "little"), self.tokens[i]
-            elif len(w) > LONGEST_WORD:
-                ids = self._by_heap(w)
-                out[w] = np.array(ids, "<u4").tobytes(), b"".join(self.tokens[i] for i in ids)
+                out[w] = i.to_bytes(4, "little")
             else:
-                queued.append(w)
-        for k in range(0, len(queued), WORDS_A_QUERY):
-            part = queued[k:k + WORDS_A_QUERY]
-            lengths = np.array([len(w) for w in part])
-            first = np.repeat(np.cumsum(lengths) - lengths, lengths)
-            rows = pa.table({"x": (np.repeat(np.arange(len(part)), lengths) << 8) + np.arange(lengths.sum()) - first, "t": self.byte_ids[np.frombuffer(b"".join(part), np.uint8)]})
-            self.con.register("bytes", rows)
-            got = self.con.sql(_ENCODE).to_arrow_table()
-            self.con.unregister("bytes")
-            out.update(zip(part, zip(map(bytes.fromhex, got["ids"].to_pylist()), map(bytes.fromhex, got["decoded"].to_pylist()))))
+                (short if len(w) <= LONGEST_WORD else long).append(w)
+        for k in range(0, len(short), WORDS_A_QUERY):
+            part = short[k:k + WORDS_A_QUERY]
+            word, place, ids = self._bytes(part)
+            got = self._run(_ENCODE, "bytes", pa.table({"x": (word << 8) + place, "t": ids}))
+            out.update(zip(part, map(bytes.fromhex, got["ids"].to_pylist())))
+        for part in _portions(long, BYTES_A_QUERY):
+            word, _, ids = self._bytes(part)
+            # a gap of one place between words
+            got = self._run(_ENCODE_LONG, "bytes", pa.table({"x": np.arange(len(ids)) + word, "w": word, "t": ids}))
+            out.update(zip(part, map(bytes.fromhex, got["ids"].to_pylist())))
         return [out[w] for w in words]
 
-    def _by_heap(self, word: bytes) -> list[int]:
-        """The same contraction for one very long word, in n log n."""
-        parts = [word[i:i + 1] for i in range(len(word))]
-        after, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
-        heap: list[tuple[int, int, bytes]] = []
-
-        def offer(i: int) -> None:
-            if i >= 0 and after[i] < len(word) and (r := self.ranks.get(t := parts[i] + parts[after[i]])) is not None:
-                heapq.heappush(heap, (r, i, t))
-
-        for i in range(len(word)):
-            offer(i)
-        while heap:
-            _, i, t = heapq.heappop(heap)
-            j = after[i]
-            if not parts[i] or j >= len(word) or parts[i] + parts[j] != t:
-                continue  # one of its sides has been merged since
-            parts[i], parts[j] = t, b""
-            after[i] = after[j]
-            if after[i] < len(word):
-                before[after[i]] = i
-            offer(before[i])
-            offer(i)
-        return [self.ranks[p] for p in parts if p]
+    def _bytes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word, place in it and id of every byte."""
+        lengths = np.array([len(w) for w in words])
+        first = np.repeat(np.cumsum(lengths) - lengths, lengths)
+        return np.repeat(np.arange(len(words)), lengths), np.arange(lengths.sum()) - first, self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+
+    def decode(self, sequences: list[np.ndarray | None]) -> list[bytes | None]:
+        """Bytes of each sequence of ids; None where it is None or has an id that isn't in the vocabulary."""
+        out: list[bytes | None] = [None if s is None else b"" for s in sequences]
+        for part in _portions([k for k, s in enumerate(sequences) if s is not None and len(s)], IDS_A_QUERY, lambda k: len(sequences[k])):
+            lengths = np.array([len(sequences[k]) for k in part])
+            ids = np.concatenate([np.asarray(sequences[k], np.int64) for k in part])
+            got = self._run(_DECODE, "pieces", pa.table({"d": np.repeat(np.arange(len(part)), lengths), "p": np.arange(len(ids)), "id": ids}))
+            for k, text, known in zip(part, got["decoded"].to_pylist(), got["known"].to_pylist()):
+                out[k] = bytes.fromhex(text) if known else None
+        return out
+
+    def _decoded(self, ids: list[bytes]) -> list[bytes]:
+        return self.decode([np.frombuffer(i, "<u4") for i in ids])
+
+
+def _portions(items: list, limit: int, size: Callable = len) -> Iterator[list]:
+    """Runs of items of about ``limit`` in all."""
+    held, n = [], 0
+    for x in items:
+        held.append(x)
+        n += size(x)
+        if n >= limit:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
 
 
 @cache
@@ -125,14 +169,15 @@ def _worker(path: str, pattern: str) -> WordCoder:
 
 
 def encode_texts(texts: list[str], path: str, pattern: str) -> Iterator[tuple[bytes, bytes]]:
-    """Ids and decoded bytes of each whole text; None counts as empty."""
+    """Ids of each whole text, and the bytes decoded from them word by word; None counts as empty."""
     worker = _worker(path, pattern)
     for part in slices(texts, SLICE_CHARS):
         split = list(map(worker.pattern.findall, part))
         known = worker.known.need(chain.from_iterable(split))
-        for words in split:
-            got = [known[w] for w in words]
-            yield b"".join([g[0] for g in got]), b"".join([g[1] for g in got])
+        coded = [list(map(known.__getitem__, words)) for words in split]
+        back = worker.bytes_of.need(chain.from_iterable(coded))
+        for ids in coded:
+            yield b"".join(ids), b"".join(map(back.__getitem__, ids))
 
 
 def encode(df: DataFrame, *, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -153,8 +198,25 @@ def encode(df: DataFrame, *, path: str, pattern: str, text: str = "text", ids: s
     return df.withColumn(tmp, coded(F.col(f"`{text}`"))).withColumns({ids: F.col(f"{tmp}.ids"), decoded: F.col(f"{tmp}.decoded")}).drop(tmp)
 
 
+def decode(df: DataFrame, *, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``df`` with ``decoded``, the bytes of its array ``ids``, whoever made them.
+
+    No ids give no bytes.  Null, and an array with a null or with an id that isn't in
+    the vocabulary, give null.  Rows are not moved.  A column named like the result is
+    replaced.
+    """
+    ship(df.sparkSession)
+
+    @F.pandas_udf("binary")
+    def whole(arrays: pd.Series) -> pd.Series:
+        return pd.Series(_worker(path, pattern).decode([None if a is None else np.asarray(a, np.int64) for a in arrays]), dtype=object)
+
+    numbers = F.transform(F.col(f"`{ids}`").cast("array<long>"), lambda x: F.coalesce(x, F.lit(-1).cast("long")))
+    return df.withColumn(decoded, whole(numbers))
+
+
 def bpe_digest(df: DataFrame, *, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Number of ids, digest of the ids and digest of the decoded bytes of every row, made beside the encoder."""
+    """``doc_id``, number of ids, digest of the ids and of the bytes decoded from them, for every row; see ``encode``."""
     ship(df.sparkSession)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -120,7 +120,8 @@ def _solved(rows: DataFrame, costs: Costs, block: int) -> DataFrame:
     dealt = lambda x, *more: x.repartition(parts, "chat", "block").sortWithinPartitions("chat", "block", *more)
     keys = ["chat", "block"]
     long = rows.where(F.col("n") > block)
-    known = spark.createDataFrame([], "chat long, block long, entry array<long>, leave int")
+    turns = rows.select(*keys, "row", "code")
+    known = turns.withColumns({"entry": F.lit(None).cast("array<long>"), "leave": F.lit(None).cast("int")})
     if long.head(1):
 
         def matrices(frames):
@@ -161,7 +162,8 @@ def _solved(rows: DataFrame, costs: Costs, block: int) -> DataFrame:
         m = written(dealt(slim, "row").mapInPandas(matrices, "chat long, block long, m array<long>"), "matrices")
         e = m.repartition(parts, "chat").sortWithinPartitions("chat", "block").mapInPandas(entries, "chat long, block long, entry array<long>")
         w = written(dealt(slim.join(written(e, "entries"), keys), "row").mapInPandas(ways, "chat long, block long, entry array<long>, back array<int>, best int"), "ways")
-        known = written(w.repartition(parts, "chat").sortWithinPartitions("chat", F.desc("block")).mapInPandas(exits, "chat long, block long, entry array<long>, leave int"), "exits")
+        ends = written(w.repartition(parts, "chat").sortWithinPartitions("chat", F.desc("block")).mapInPandas(exits, "chat long, block long, entry array<long>, leave int"), "exits")
+        known = turns.join(ends, keys, "left")
 
     def states(frames):
         solve = lru_cache(1 << 16)(lambda roles: repair_states(roles, costs))  # short conversations have few orders of roles
@@ -176,7 +178,7 @@ def _solved(rows: DataFrame, costs: Costs, block: int) -> DataFrame:
                 out.append(pd.DataFrame({"row": g["row"].to_numpy(), "before": s[:-1], "after": s[1:]}))
             yield pd.concat(out, ignore_index=True)
 
-    return dealt(rows.select(*keys, "row", "code").join(known, keys, "left"), "row").mapInPandas(states, "row long, before int, after int")
+    return dealt(known, "row").mapInPandas(states, "row long, before int, after int")
 
 
 def _joined(groups: Iterator[pd.DataFrame], rows: int = 10_000) -> Iterator[list[pd.DataFrame]]:

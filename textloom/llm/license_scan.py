@@ -1,9 +1,11 @@
 """License scans by conditional compression.
 
-The words around each trigger word are searched for every template, with a bounded
-number of edits and whatever the line ends are.  A place that agrees is compressed on
-its own and again with the template as the raw zstandard dictionary: of places that
-overlap the closest wording stays, then the larger saving.
+The words around each trigger word are cut into blocks that overlap by the longest
+template's length.  A block is compressed on its own and again with each template that
+it could hold as the raw zstandard dictionary; templates are taken in order of the
+bytes that they save.  A winner is confirmed by its wording: most of its words must
+stand there in order, and no difference may touch a word that tells licenses apart, as
+names, versions and conditions do.
 """
 
 from __future__ import annotations
@@ -32,24 +34,46 @@ class Template:
     text: str
 
 
-#: Customary short notices of public licenses.
-TEMPLATES = (
-    Template("MIT", "Released under the MIT License."),
+#: Paragraphs of public licenses.
+PARAGRAPHS = (
+    Template("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"""),
     Template("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    Template("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    Template("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
-    Template("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    Template("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    Template("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    Template("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    Template("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"""),
+    Template("BSL-1.0", """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software"""),
+    Template("Zlib", """Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"""),
+    Template("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    Template("BSD-3-Clause", """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"""),
+    Template("BSD-4-Clause", "All advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    Template("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License"""),
     Template("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    Template("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    Template("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    Template("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    Template("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    Template("Unlicense", "This is free and unencumbered software released into the public domain"),
     Template("CC0-1.0", "Released into the public domain under CC0 1.0."),
 )
+#: Ways to name a license in a short notice.
+FORMS = ("Released under the {}.", "Licensed under the {}.", "Distributed under the {}.", "This work is licensed under the {}.", "This library is licensed under the {}.", "Available under the terms of the {}.")
+#: Names of licenses as short notices have them.
+NAMES = {
+    "MIT": ("MIT License",), "ISC": ("ISC License",), "BSD": ("BSD License",), "BSD-2-Clause": ("BSD 2-Clause License",), "BSD-3-Clause": ("BSD 3-Clause License",), "Zlib": ("zlib License",),
+    "BSL-1.0": ("Boost Software License, Version 1.0",), **{f"Apache-{v}": (f"Apache License, Version {v}",) for v in ("1.0", "1.1", "2.0")},
+    **{f"GPL-{v}.0": (f"GNU General Public License, version {v}", f"GNU GPL version {v}") for v in (1, 2, 3)},
+    **{f"LGPL-{v}": (f"GNU Lesser General Public License, version {n}",) for v, n in (("2.1", "2.1"), ("3.0", "3"))}, "LGPL-2.0": ("GNU Library General Public License, version 2",),
+    "AGPL-3.0": ("GNU Affero General Public License, version 3",), **{f"MPL-{v}": (f"Mozilla Public License, version {v}",) for v in ("1.1", "2.0")}, "EPL-2.0": ("Eclipse Public License, version 2.0",),
+}
+#: Conditions and versions of the Creative Commons licenses.
+CC = tuple((c, v) for c in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND") for v in ("2.0", "2.5", "3.0", "4.0"))
+TEMPLATES = (
+    *PARAGRAPHS, *(Template(k, form.format(n)) for k, ns in NAMES.items() for n in ns for form in FORMS),
+    *(Template(f"CC-{c}-{v}", text) for c, v in CC for text in (f"Licensed under CC {c} {v}.", f"Released under the CC {c} {v} license.")),
+)
+#: Words that tell licenses apart; a difference in one of them, or in a version, refuses a template.
+TELLING = frozenset("""mit isc bsd zlib boost apache gnu gpl lgpl agpl general lesser library affero mozilla mpl eclipse epl public domain cc cc0 creative commons attribution
+noncommercial noderivatives sharealike by by-sa by-nc by-nd by-nc-sa by-nc-nd by-nd-nc x11 artistic proprietary clear not no""".split())
+_VERSION = re.compile(r"v?[0-9]+(\.[0-9]+)*\+?(-clause)?")
 #: Words of which at least one stands in each template.
-TRIGGER = r"(?i)licen[sc]|permission|redistribution|cc0"
+TRIGGER = r"(?i)licen[sc]|permission|redistribution|cc0|advertising|public domain"
+#: Templates of so many words at most are sought in short blocks, longer ones in long blocks before them.
+SHORT = 24
 _TRIGGER, _WORD = re.compile(TRIGGER), re.compile(r"[A-Za-z0-9]+(?:[.+-][A-Za-z0-9]+)*")
 _SPACE = re.compile(r"\s+")
 
@@ -96,84 +120,121 @@ def edits(block: list[str], template: list[str]) -> list[int]:
     return out
 
 
-def wording(block: Sequence[str], template: Sequence[str]) -> tuple[float, int, int, str]:
+def wording(block: Sequence[str], template: Sequence[str]) -> tuple[float, int, int, tuple[tuple[str, str], ...]]:
     """Best place of a template's words in a block: similarity, first and last word, and the differences.
 
     An edit is one word left out, put in or replaced; what stands before and after
-    the place is free.
+    the place is free.  A difference is (template's word, block's word), either empty.
     """
     n, m = len(block), len(template)
+    at: dict[str, list[int]] = {}
+    for j, w in enumerate(block):
+        at.setdefault(w, []).append(j)
     cost = np.zeros((m + 1, n + 1), np.int32)
-    cost[:, 0] = np.arange(m + 1)
+    steps = np.arange(n + 1, dtype=np.int32)
     for i in range(1, m + 1):
-        swap = cost[i - 1, :-1] + np.array([w != template[i - 1] for w in block], np.int32)
-        best = np.minimum(swap, cost[i - 1, 1:] + 1)
-        for j in range(1, n + 1):
-            cost[i, j] = min(best[j - 1], cost[i, j - 1] + 1)
+        row = cost[i]
+        row[0] = i
+        row[1:] = cost[i - 1, :-1] + 1
+        if template[i - 1] in at:
+            j = np.array(at[template[i - 1]])
+            row[j + 1] -= 1
+        np.minimum(row[1:], cost[i - 1, 1:] + 1, out=row[1:])
+        # words put in: the least so far, one more a step
+        row[:] = np.minimum.accumulate(row - steps) + steps
     end = j = int(cost[m].argmin())
     i, diffs = m, []
     while i:
         here = cost[i, j]
         if j and here == cost[i - 1, j - 1] + (block[j - 1] != template[i - 1]):
             if block[j - 1] != template[i - 1]:
-                diffs.append(f"{template[i - 1]}>{block[j - 1]}")
+                diffs.append((template[i - 1], block[j - 1]))
             i, j = i - 1, j - 1
         elif here == cost[i - 1, j] + 1:
-            diffs.append(f"-{template[i - 1]}")
+            diffs.append((template[i - 1], ""))
             i -= 1
         else:
-            diffs.append(f"+{block[j - 1]}")
+            diffs.append(("", block[j - 1]))
             j -= 1
-    return max(0.0, 1 - int(cost[m, end]) / max(1, m)), j, end, " ".join(reversed(diffs))
+    return max(0.0, 1 - int(cost[m, end]) / max(1, m)), j, end, tuple(reversed(diffs))
+
+
+def told(differences: Sequence[tuple[str, str]]) -> str:
+    return " ".join(f"{a}>{b}" if a and b else f"-{a}" if a else f"+{b}" for a, b in differences)
+
+
+def refused(differences: Sequence[tuple[str, str]]) -> bool:
+    """Whether a difference touches a name, a condition or a version (a year is none)."""
+    tells = lambda w: w in TELLING or bool(_VERSION.fullmatch(w)) and not (w.isdigit() and len(w) == 4)
+    return any(tells(w) for pair in differences for w in pair if w)
+
+
+@dataclass(frozen=True)
+class Prepared:
+    """A template's words, what it may differ in, and the compressor that has it as its dictionary."""
+
+    template: Template
+    own: tuple[str, ...]
+    distinct: frozenset[str]
+    most: int
+    given: zstandard.ZstdCompressor
 
 
 class Scanner:
     def __init__(self, templates: tuple[Template, ...]):
         params = zstandard.ZstdCompressionParameters.from_level(3, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
-        templates = tuple(t for t in templates if words(t.text))
-        self.templates = [(t, own, set(own), next(e for e in range(len(own), -1, -1) if 1 - e / len(own) >= SIMILARITY)) for t in templates for own in [words(t.text)]]
-        self.reach = max((len(own) + most for _, own, _, most in self.templates), default=0)
         self.alone = zstandard.ZstdCompressor(compression_params=params)
-        self.given = [zstandard.ZstdCompressor(compression_params=params, dict_data=zstandard.ZstdCompressionDict(normal(t.text).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for t in templates]
+        prepared = []
+        for t in templates:
+            own = tuple(words(t.text))
+            if own:
+                most = next(e for e in range(len(own), -1, -1) if 1 - e / len(own) >= SIMILARITY)
+                given = zstandard.ZstdCompressor(compression_params=params, dict_data=zstandard.ZstdCompressionDict(normal(t.text).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+                prepared.append(Prepared(t, own, frozenset(own), most, given))
+        longest = lambda ts: max((len(t.own) + t.most for t in ts), default=0)
+        # long templates first: a short notice may be the beginning of a paragraph
+        kinds = [[t for t in prepared if len(t.own) > SHORT], [t for t in prepared if len(t.own) <= SHORT]]
+        self.kinds = [(ts, longest(ts)) for ts in kinds if ts]
+        self.reach = longest(prepared)
         self.wording = lru_cache(1 << 12)(wording)
 
-    def sizes(self, place: str, k: int) -> tuple[int, int]:
-        """Compressed size of a place on its own, and with a template as the dictionary."""
-        data = normal(place).encode("utf-8", "surrogatepass")
-        return len(self.alone.compress(data)), len(self.given[k].compress(data))
-
-    def places(self, text: str, stretch: list[tuple[str, int, int]]) -> Iterator[tuple]:
-        """All places that agree with a template: how close, bytes saved, template, first and last word, and what is told of it."""
-        body = [w for w, _, _ in stretch]
-        have = set(body)
-        for k, (t, own, distinct, most) in enumerate(self.templates):
-            if len(distinct & have) < len(distinct) - most:  # an edit takes one word at most
-                continue
-            cost = edits(body, own)
-            seen = set()
-            for j, c in enumerate(cost):
-                if c > most or c > min(cost[max(0, j - 1) : j + 2]):
-                    continue
-                from_ = max(0, j + 1 - len(own) - most)
-                similarity, i, n, diffs = self.wording(tuple(body[from_ : j + 1]), tuple(own))
-                i, n = from_ + i, from_ + n
-                if (i, n) in seen:
-                    continue
-                seen.add((i, n))
-                a, e = stretch[i][1], stretch[n - 1][2]
-                e += text[e : e + 1] in (".", "!", "?")
-                size, given = self.sizes(text[a:e], k)
-                yield similarity, size - given, k, i, n, {"license": t.license, "start": a, "end": e, "saved": 1 - given / size, "similarity": similarity, "differences": diffs}
+    def ranked(self, block: str, having: set[str], templates: list[Prepared]) -> list[tuple[int, int, Prepared]]:
+        """Templates that a block could hold, by the bytes that they save of it, and its size with them."""
+        possible = [t for t in templates if len(t.distinct & having) >= len(t.distinct) - t.most]  # an edit takes one word at most
+        if not possible:
+            return []
+        data = normal(block).encode("utf-8", "surrogatepass")
+        size = len(self.alone.compress(data))
+        sizes = [(len(t.given.compress(data)), t) for t in possible]
+        return sorted(((size - s, s, t) for s, t in sizes), key=lambda r: (-r[0], -len(r[2].own), r[2].template.license))
+
+    def places(self, body: list[str], t: Prepared) -> Iterator[tuple[float, int, int, tuple]]:
+        """Places of a block that agree with a template, the closest first."""
+        cost = edits(body, list(t.own))
+        ends = [j for j, c in enumerate(cost) if c <= t.most and c <= min(cost[max(0, j - 1) : j + 2])]
+        for j in sorted(ends, key=lambda j: (cost[j], j)):
+            from_ = max(0, j + 1 - len(t.own) - t.most)
+            similarity, i, n, differences = self.wording(tuple(body[from_ : j + 1]), t.own)
+            yield similarity, from_ + i, from_ + n, differences
 
     def scan(self, text: str) -> list[dict]:
         out = []
         for stretch in stretches(text, self.reach):
-            free = [True] * len(stretch)
-            # of places that overlap the closest wording, then the larger saving
-            for _, _, _, i, n, found in sorted(self.places(text, stretch), key=lambda p: (-p[0], -p[1], p[2], p[3])):
-                if all(free[i:n]):
-                    free[i:n] = [False] * (n - i)
-                    out.append(found)
+            body = [w for w, _, _ in stretch]
+            free = [True] * len(body)
+            for templates, reach in self.kinds:
+                # a block is answerable for places that begin in its first ``reach`` words, and sees ``reach`` words more
+                for a in range(0, len(body), reach):
+                    part = body[a : a + 2 * reach]
+                    block = text[stretch[a][1] : stretch[a + len(part) - 1][2]]
+                    for saved, given, t in self.ranked(block, set(part), templates):
+                        for similarity, i, n, differences in self.places(part, t):
+                            if i >= reach or not all(free[a + i : a + n]) or refused(differences) or body[a + i - 1 : a + i] == ["not"]:
+                                continue
+                            free[a + i : a + n] = [False] * (n - i)
+                            first, end = stretch[a + i][1], stretch[a + n - 1][2]
+                            end += text[end : end + 1] in (".", "!", "?")
+                            out.append({"license": t.template.license, "start": first, "end": end, "saved": saved / max(1, saved + given), "similarity": similarity, "differences": told(differences)})
         return sorted(out, key=lambda f: f["start"])
 
 
@@ -186,12 +247,14 @@ def scan_licenses(df: DataFrame, *, templates: tuple[Template, ...] = TEMPLATES,
     """``df`` with an array ``into``: license, span of the place in code points, saving, similarity and differences.
 
     Searched are the words of whole texts that have a trigger word at most one
-    template's length before or after them, across line ends.  A place is given to
-    one template at most: of those whose words agree in 80 %, the one of the closest
-    wording, then of the larger saving.  The saving decides nothing else, so the
-    length of what stands around a notice doesn't matter.  Texts that are null, empty
-    or without a trigger word have none and skip the Python step's work.  Rows aren't
-    moved.  A column named ``into`` is replaced.
+    template's length before or after them, across line ends.  ``saved`` is the share
+    of the block's compressed size that the template as a dictionary takes off; of
+    templates that claim the same words the one that saves most is named, if 80 % of
+    its words stand there in order, no telling word differs and no "not" stands before
+    them, else the next.  Saving
+    orders and never rejects, so what stands around a notice doesn't matter.  Texts
+    that are null, empty or without a trigger word have none and skip the Python
+    step's work.  Rows aren't moved.  A column named ``into`` is replaced.
     """
     ship(df.sparkSession)
 
