@@ -66,7 +66,17 @@ def _encoder(path: str) -> tuple[ChunkCache, np.dtype, Tokenizer, re.Pattern]:
     t = Tokenizer.from_file(path)
     added = re.compile("|".join(re.escape(a.content) for a in t.get_added_tokens_decoder().values()) or r"(?!)")
     dtype = np.dtype("<u2" if t.get_vocab_size() <= 1 << 16 else "<u4")
-    return ChunkCache(lambda parts: (np.array(e.ids, dtype).tobytes() for e in t.encode_batch_fast(parts, add_special_tokens=False)), 400_000), dtype, t, added
+    return ChunkCache(lambda parts: _encoded(t, dtype, parts), 400_000), dtype, t, added
+
+
+def _encoded(t: Tokenizer, dtype: np.dtype, parts: list[str], at_once: int = 2_000) -> Iterator[bytes]:
+    """Packed ids of each part; many parts go to the tokenizer as the words of one text, which it keeps apart."""
+    for k in range(0, len(parts), at_once):
+        some = parts[k:k + at_once]
+        got = t.encode(some, is_pretokenized=True, add_special_tokens=False)
+        packed = np.array(got.ids, dtype).tobytes()
+        cuts = (np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(some) + 1)) * dtype.itemsize).tolist()
+        yield from (packed[a:b] for a, b in zip(cuts, cuts[1:]))
 
 
 def token_bytes(texts: list[str | None], tokenizer: str, end_id: int) -> Iterator[bytes]:
