@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
@@ -93,12 +94,37 @@ def alert_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("alert_cooldown", """
-WITH e AS (SELECT event_id, user_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events WHERE event_type = 'error') SELECT event_id, user_id FROM e WHERE gap IS NULL OR gap >= 3600000000""")
+WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE event_type = 'error'),
+s AS (SELECT user_id, event_id, us, i FROM e WHERE i = 1 UNION ALL
+  SELECT n.user_id, n.event_id, n.us, n.i FROM (SELECT e.*, row_number() OVER (PARTITION BY e.user_id ORDER BY e.i) AS k FROM s JOIN e ON e.user_id = s.user_id AND e.i > s.i AND e.us - s.us >= 3600000000) n WHERE n.k = 1)
+SELECT event_id, user_id FROM s""")
 def alert_cooldown(spark: SparkSession, d: str) -> DataFrame:
+    """Errors that raise an alert: no alert of the user in the hour before.  Errors that raised none don't count."""
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    e = table(spark, d, "events").where("event_type = 'error'").select("event_id", "user_id", "ts", us.alias("us"))
-    gap = F.col("us") - F.lag("us").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return e.withColumn("gap", gap).where("gap IS NULL OR gap >= 3600000000").select("event_id", "user_id")
+    e = table(spark, d, "events").where("event_type = 'error'").select("event_id", "user_id", us.alias("us"))
+    return sent_alerts(e, "user_id", "us", "event_id", 3_600_000_000).select("event_id", "user_id")
+
+
+def sent_alerts(df: DataFrame, key: str, at: str, id_: str, cooldown: int) -> DataFrame:
+    """Rows, in order of ``at`` and ``id_`` per key, that come ``cooldown`` or more after the last such row.
+
+    What was sent last decides, so this is a fold: sorted rows stream through one small
+    state.  Keys are numbered, so a null key is a key of its own.
+    """
+
+    def fold(parts):
+        last, sent = None, 0
+        for part in parts:
+            keep = []
+            for k, t in zip(part["k__"], part[at]):
+                keep.append(k != last or t - sent >= cooldown)
+                if keep[-1]:
+                    last, sent = k, t
+            yield part.loc[keep, [id_]]
+
+    slim = df.select(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("\0"))).alias("k__"), at, id_)
+    kept = slim.repartition("k__").sortWithinPartitions("k__", at, id_).mapInPandas(fold, f"{id_} {dict(df.dtypes)[id_]}")
+    return df.join(kept, id_, "left_semi")
 
 
 @query("cache_hit_rates", """
@@ -128,20 +154,10 @@ def lookup_priority(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("fuzzy_pairs", """
-SELECT a.p_partkey AS a, b.p_partkey AS b, round(1 - levenshtein(a.p_name, b.p_name) * 1.0 / greatest(length(a.p_name), length(b.p_name)), 6) AS similarity FROM part a JOIN part b
-ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE 1 - levenshtein(a.p_name, b.p_name) * 1.0 / greatest(length(a.p_name), length(b.p_name)) > 0.8""")
-def fuzzy_pairs(spark: SparkSession, d: str) -> DataFrame:
-    p = written(table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "parts")
-    other = p.select("p_brand", "p_type", "p_size", F.col("p_partkey").alias("b"), F.col("p_name").alias("other"))
-    s = 1 - F.levenshtein("p_name", "other") / F.greatest(F.length("p_name"), F.length("other"))
-    return p.join(other, ["p_brand", "p_type", "p_size"]).where(F.col("p_partkey") < F.col("b")).where(s > 0.8).select(F.col("p_partkey").alias("a"), "b", F.round(s, 6).alias("similarity"))
-
-
-@query("fuzzy_pairs_all", """
 WITH n AS (SELECT p_name AS name, count(*) AS c FROM part WHERE p_name IS NOT NULL GROUP BY 1),
 s AS (SELECT a.name, b.name AS other, b.c AS n_other, round(1 - levenshtein(a.name, b.name) * 1.0 / greatest(length(a.name), length(b.name)), 6) AS similarity FROM n a, n b
 WHERE 5 * levenshtein(a.name, b.name) < greatest(length(a.name), length(b.name)) AND (a.name <> b.name OR a.c > 1)) SELECT p_partkey, name, other, similarity, n_other FROM part JOIN s ON p_name = name""")
-def fuzzy_pairs_all(spark: SparkSession, d: str) -> DataFrame:
+def fuzzy_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Each part with every name that is like its own, and how many parts bear that: whatever brand, type and size.
 
     A part's own name is among them if other parts bear it too.  Parts of a name aren't
@@ -181,9 +197,9 @@ def similar_names(names: DataFrame) -> DataFrame:
 
 
 @query("message_format", """
-SELECT conv_id, turn, '[' || lpad(CAST(turn AS VARCHAR), 3, '0') || '] ' || upper(role) || ': ' || substr(text, 1, 60) AS line, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS so_far FROM conversations""")
+SELECT conv_id, turn, '[' || lpad(CAST(turn AS VARCHAR), 3, '0') || '] ' || upper(role) || ': ' || text AS line, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS so_far FROM conversations""")
 def message_format(spark: SparkSession, d: str) -> DataFrame:
-    line = F.concat(F.lit("["), F.lpad(F.col("turn").cast("string"), 3, "0"), F.lit("] "), F.upper("role"), F.lit(": "), F.substring("text", 1, 60))
+    line = F.concat(F.lit("["), F.lpad(F.col("turn").cast("string"), 3, "0"), F.lit("] "), F.upper("role"), F.lit(": "), "text")
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     return table(spark, d, "conversations").select("conv_id", "turn", line.alias("line"), F.sum(F.length("text")).over(w).alias("so_far"))
 
@@ -223,24 +239,27 @@ def budget_groups(df: DataFrame, key: str, order: str, size: str, budget: int) -
     """``group`` numbers per key: rows in order, a new group where the running size would pass the budget.
 
     The reset makes this a fold, so each partition's sorted rows stream through one
-    small state; nothing of a key is held.
+    small state; nothing of a key is held.  Keys and orders pass through as Arrow
+    columns, so a null changes no large number; rows with a null key are one key's.  A
+    row without a size counts 0.
     """
 
     def fold(parts):
         last, total, group = object(), 0, 0
         for part in parts:
             out = []
-            for k, n in zip(part[key], part[size]):
+            for k, n in zip(part[key].to_pylist(), part[size].to_pylist()):
+                n = n or 0
                 if k != last:
                     last, total, group = k, 0, 0
                 elif total + n > budget:
                     total, group = 0, group + 1
                 total += n
                 out.append(group)
-            yield part[[key, order]].assign(group=out)
+            yield pa.RecordBatch.from_arrays([part[key], part[order], pa.array(out, pa.int64())], [key, order, "group"])
 
     kinds = dict(df.dtypes)
-    return df.repartition(key).sortWithinPartitions(key, order).mapInPandas(fold, f"{key} {kinds[key]}, {order} {kinds[order]}, group long")
+    return df.repartition(key).sortWithinPartitions(key, order).mapInArrow(fold, f"{key} {kinds[key]}, {order} {kinds[order]}, group long")
 
 
 @query("kmeans_groups", None)

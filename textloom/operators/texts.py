@@ -11,7 +11,7 @@ from textloom.session import table
 
 _STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 _WORDS = r"list_filter(regexp_split_to_array(lower({}), '[ \t\n\r\f\x0B]+'), lambda w: w <> '')"
-_KEYS = r"list_filter(list_transform(list_filter(" + _WORDS + r", lambda w: length(w) > 2 AND w NOT IN (" + _STOPS + r")), lambda w: regexp_replace(w, '^[.,!?;:|]+|[.,!?;:|]+$', '', 'g')), lambda w: w <> '')"
+_KEYS = r"list_filter(list_transform(list_filter(" + _WORDS + r", lambda w: length(w) > 2 AND w NOT IN (" + _STOPS + r")), lambda w: regexp_replace(w, '^" + T.STRIPPED.replace("{", "{{").replace("}", "}}") + "|" + T.STRIPPED.replace("{", "{{").replace("}", "}}") + r"$', '', 'g')), lambda w: w <> '')"
 
 
 @query("keyword_top", f"SELECT word, count(*) AS n FROM (SELECT unnest({_KEYS.format('text')}) AS word FROM documents) GROUP BY 1 ORDER BY n DESC, word LIMIT 50")
@@ -36,26 +36,42 @@ def doc_quality_coverage(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").agg(F.count("*").alias("n"), share(F.length("text") > 500).alias("long_share"), share(F.col("text").contains("\n")).alias("multi_line_share"))
 
 
+_TOKENS = r"list_filter(regexp_split_to_array({}, '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '')"
+
+
 @query("text_complexity", rf"""
-WITH w AS (SELECT doc_id, {_WORDS.format('text')} AS w, list_filter(regexp_split_to_array(text, '[.!?]+'), lambda s: trim(s) <> '') AS s, regexp_matches(text, '(?m)^[ ]*[-*] ') AS bullets FROM documents),
-f AS (SELECT doc_id, least(1.0, len(w) * 1.0 / greatest(1, len(s)) / 30) AS a, CASE WHEN len(w) = 0 THEN 0 ELSE len(list_distinct(w)) * 1.0 / len(w) END AS u,
-  CASE WHEN len(w) = 0 THEN 0 ELSE len(list_filter(w, lambda x: length(x) > 8)) * 1.0 / len(w) END AS t, CASE WHEN bullets THEN 1.0 ELSE 0.0 END AS b FROM w)
-SELECT doc_id, round(0.25 * a + 0.25 * u + 0.25 * least(1.0, t) + 0.15 * b, 6) AS complexity FROM f""")
+WITH w AS (SELECT doc_id, {_WORDS.format('text')} AS w, {_TOKENS.format('text')} AS k, list_filter(regexp_split_to_array(text, '[.!?]+'), lambda s: regexp_matches(s, '\S')) AS s,
+  len(regexp_extract_all(text, '\n\s+')) * 1.0 / len(string_split(text, chr(10))) AS indented FROM documents),
+f AS (SELECT doc_id, CASE WHEN len(s) = 0 THEN 0 ELSE least(1.0, len(w) * 1.0 / len(s) / 30) END AS a, CASE WHEN len(w) = 0 THEN 0 ELSE len(list_distinct(w)) * 1.0 / len(w) END AS u,
+  CASE WHEN len(w) = 0 THEN 0 ELSE least(1.0, (len(list_filter(k, lambda x: regexp_matches(x, '.tion$'))) + len(list_filter(k, lambda x: regexp_matches(x, '.ment$'))) + len(list_filter(k, lambda x: regexp_matches(x, '.ness$')))
+    + len(list_filter(k, lambda x: length(x) >= 10)) + len(list_filter(k, lambda x: regexp_matches(x, '^[A-Z]{{2,}}$')))) * 1.0 / len(w)) END AS t, least(1.0, indented) AS i FROM w)
+SELECT doc_id, round(0.25 * a + 0.25 * u + 0.25 * t + 0.15 * i, 6) AS complexity FROM f""")
 def text_complexity(spark: SparkSession, d: str) -> DataFrame:
-    w = table(spark, d, "documents").select("doc_id", T.words(F.col("text")).alias("w"), F.filter(F.split("text", "[.!?]+"), lambda s: F.trim(s) != "").alias("s"), F.col("text").rlike(r"(?m)^[ ]*[-*] ").alias("b"))
+    """Sentence length, vocabulary, technical words and indented lines; these texts have no media, the fifth part."""
+    t = F.col("text")
+    w = table(spark, d, "documents").select("doc_id", T.words(t).alias("w"), T.tokens(t).alias("k"), F.filter(F.split(t, "[.!?]+"), lambda s: s.rlike(r"\S")).alias("s"),
+                                            (F.regexp_count(t, F.lit(r"\n\s+")) / F.size(F.split(t, "\n"))).alias("i"))
     n = F.size("w")
     share = lambda c: F.when(n == 0, 0.0).otherwise(c / n)
-    f = 0.25 * F.least(F.lit(1.0), n / F.greatest(F.lit(1), F.size("s")) / 30) + 0.25 * share(F.size(F.array_distinct("w"))) + 0.25 * F.least(F.lit(1.0), share(F.size(F.filter("w", lambda x: F.length(x) > 8)))) + 0.15 * F.when(F.col("b"), 1.0).otherwise(0.0)
+    # a word counts once for each pattern that it fits
+    technical = F.aggregate("k", F.lit(0), lambda a, x: a + sum((x.rlike(p).cast("int") for p in (".ment$", ".ness$", "^[A-Z]{2,}$")), x.rlike(".tion$").cast("int")) + (F.length(x) >= 10).cast("int"))
+    least1 = lambda c: F.least(F.lit(1.0), c)
+    f = 0.25 * F.when(F.size("s") == 0, 0.0).otherwise(least1(n / F.size("s") / 30)) + 0.25 * share(F.size(F.array_distinct("w"))) + 0.25 * least1(share(technical)) + 0.15 * least1(F.col("i"))
     return w.select("doc_id", F.round(f, 6).alias("complexity"))
 
 
-_XREF = r"(?i)\b(see|refer to|as shown in|section|chapter|figure|table)\s+[0-9]+"
+#: Patterns of references within a text.
+XREFS = (
+    r"(?i)see\s+(?:section|chapter|page|figure|table)\s+[0-9]+", r"(?i)(?:section|chapter|page|figure|table)\s+[0-9]+", r"(?i)above|below|previously|later|aforementioned", r"(?i)\(see\s+[^)]+\)",
+    r"(?i)as\s+(?:mentioned|discussed|shown|described)\s+(?:above|below|earlier|later)",
+)
+_XREF = " + ".join(f"len(regexp_extract_all(text, '{p}'))" for p in XREFS)
 
 
 @query("xref_density", rf"""
-SELECT doc_id, len(regexp_extract_all(text, '{_XREF}')) AS n_refs, round(least(1.0, len(regexp_extract_all(text, '{_XREF}')) * 1000.0 / greatest(1, len({_WORDS.format('text')})) / 50), 6) AS density FROM documents""")
+SELECT doc_id, {_XREF} AS n_refs, round(least(1.0, ({_XREF}) * 1000.0 / greatest(1, len({_WORDS.format('text')})) / 50), 6) AS density FROM documents""")
 def xref_density(spark: SparkSession, d: str) -> DataFrame:
-    n = F.regexp_count("text", F.lit(_XREF))
+    n = sum((F.regexp_count("text", F.lit(p)) for p in XREFS), F.lit(0))
     return table(spark, d, "documents").select("doc_id", n.cast("long").alias("n_refs"), F.round(F.least(F.lit(1.0), n * 1000.0 / F.greatest(F.lit(1), F.size(T.words(F.col("text")))) / 50), 6).alias("density"))
 
 
@@ -69,15 +85,49 @@ def structure_flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Patterns of each content type, in the order in which ties are decided.
-CONTENT_TYPES = {"technical": r"(?i)\b(api|function|code|token|system)\b", "legal": r"(?i)\b(licen[sc]e|agreement|public|version)\b", "academic": r"(?i)\b(study|research|analysis)\b", "narrative": r"(?i)\b(he|she|they|was|were)\b"}
+CONTENT_TYPES = {
+    "technical": (
+        r"(?i)\b(?:algorithm|software|hardware|programming|computer|system|network|database|API|protocol)\b",
+        r"(?i)\b(?:implementation|architecture|framework|library|module|function|class|method)\b",
+        r"(?i)\b(?:performance|optimization|scalability|efficiency|throughput|latency)\b",
+    ),
+    "medical": (
+        r"(?i)\b(?:patient|diagnosis|treatment|therapy|medication|disease|symptom|clinical|medical)\b",
+        r"(?i)\b(?:anatomy|physiology|pathology|pharmacology|surgery|hospital|doctor|nurse)\b",
+        r"(?i)\b(?:health|healthcare|medicine|pharmaceutical|therapeutic|diagnostic)\b",
+        r"(?i)\b(?:orthopaedic|orthopedic|cardiology|oncology|neurology|radiology|pediatric)\b",
+        r"(?i)\b(?:epidemiology|prognosis|comorbidity|etiology|chronic|acute|benign|malignant)\b",
+        r"(?i)\b(?:pharmacopoeia|pharmacopeia|monograph|excipient|formulation|dosage|potency|purity)\b",
+        r"(?i)\b(?:assay|titration|chromatography|spectrophotometry|dissolution|bioavailability)\b",
+        r"(?i)\b(?:drug|substance|compound|active\s+ingredient|API|impurity|degradation)\b",
+        r"(?i)\b(?:herbal|botanical|extract|tincture|decoction|infusion|herb|plant\s+medicine)\b",
+        r"(?i)\b(?:contraindication|interaction|adverse|toxicity|efficacy|indication)\b",
+    ),
+    "legal": (
+        r"(?i)\b(?:law|legal|court|judge|attorney|lawyer|contract|agreement|statute|regulation)\b",
+        r"(?i)\b(?:plaintiff|defendant|litigation|jurisdiction|precedent|ruling|verdict)\b",
+        r"(?i)\b(?:constitutional|criminal|civil|administrative|commercial|intellectual property)\b",
+    ),
+    "academic": (
+        r"(?i)\b(?:research|study|analysis|methodology|hypothesis|theory|experiment|data)\b",
+        r"(?i)\b(?:literature|review|citation|reference|bibliography|journal|publication)\b",
+        r"(?i)\b(?:academic|scholarly|peer-reviewed|empirical|statistical|quantitative|qualitative)\b",
+    ),
+    "narrative": (
+        r"(?i)\b(?:story|character|plot|narrative|fiction|novel|chapter|scene|dialogue)\b",
+        r"(?i)\b(?:protagonist|antagonist|setting|theme|metaphor|symbolism|literary)\b",
+        r"(?i)\b(?:biography|autobiography|memoir|historical|personal|experience)\b",
+    ),
+}
 
 
 @query("content_type_classify", f"""
-WITH c AS (SELECT doc_id, greatest(1, len({_WORDS.format('text')})) AS n, {', '.join(f"len(regexp_extract_all(text, '{p}')) AS {k}" for k, p in CONTENT_TYPES.items())} FROM documents),
+WITH c AS (SELECT doc_id, greatest(1, len({_WORDS.format('text')})) AS n, {', '.join(' + '.join(f"len(regexp_extract_all(lower(text), '{p}'))" for p in ps) + f" AS {k}" for k, ps in CONTENT_TYPES.items())} FROM documents),
 m AS (SELECT *, greatest({', '.join(CONTENT_TYPES)}) AS top FROM c)
 SELECT doc_id, CASE WHEN top * 1.0 / n < 0.01 THEN 'general' {' '.join(f"WHEN {k} = top THEN '{k}'" for k in CONTENT_TYPES)} END AS content_type FROM m""")
 def content_type_classify(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "documents").select("doc_id", F.greatest(F.lit(1), F.size(T.words(F.col("text")))).alias("n"), *[F.regexp_count("text", F.lit(p)).alias(k) for k, p in CONTENT_TYPES.items()])
+    hits = lambda ps: sum((F.regexp_count(F.lower("text"), F.lit(p)) for p in ps), F.lit(0))
+    c = table(spark, d, "documents").select("doc_id", F.greatest(F.lit(1), F.size(T.words(F.col("text")))).alias("n"), *[hits(ps).alias(k) for k, ps in CONTENT_TYPES.items()])
     c = c.withColumn("top", F.greatest(*CONTENT_TYPES))
     kind = F.when(F.col("top") / F.col("n") < 0.01, "general")
     for k in CONTENT_TYPES:
@@ -104,7 +154,7 @@ _CHUNKS = r"""w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t
 k AS (SELECT doc_id, w, unnest(range(0, (len(w) + 255) // 256)) AS chunk FROM w), chunks AS (SELECT doc_id, chunk, array_to_string(w[chunk * 256 + 1 : chunk * 256 + 256], ' ') AS content FROM k)"""
 
 
-@query("chunk_fixed", f"WITH {_CHUNKS} SELECT doc_id, chunk, md5(content) AS digest, substr(sha256(doc_id || ':' || content), 1, 16) AS chunk_id FROM chunks")
+@query("chunk_fixed", f"WITH {_CHUNKS} SELECT doc_id, chunk, md5(content) AS digest, h[1:8] || '-' || h[9:12] || '-4' || h[14:16] || '-' || ('89ab')[CAST('0x' || h[17] AS INTEGER) % 4 + 1] || h[18:20] || '-' || h[21:32] AS chunk_id FROM (SELECT *, sha256(doc_id || ':' || content) AS h FROM chunks)")
 def chunk_fixed(spark: SparkSession, d: str) -> DataFrame:
     return fixed_chunks(table(spark, d, "documents")).select("doc_id", "chunk", F.md5("content").alias("digest"), T.chunk_id(F.col("doc_id"), F.col("content")).alias("chunk_id"))
 
@@ -125,8 +175,10 @@ def chunk_gap_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 _RED = "text"
-for _p, _r in T.REDACTIONS:
-    _RED = f"regexp_replace({_RED}, '{_p}', '{_r}', 'g')"
+for _n, _p, _r in T.REDACTIONS:
+    if _n not in T.OFF:
+        _RED = f"regexp_replace({_RED}, '{_p}', '{_r.replace('$1', chr(92) + '1')}', 'g')"
+_HIT = " OR ".join(f"regexp_matches(text, '{_p}')" for _n, _p, _ in T.REDACTIONS if _n not in T.OFF)
 
 
 @query("redact_pii", f"SELECT doc_id, md5({_RED}) AS digest, {_RED} <> text AS changed FROM documents")
@@ -134,16 +186,16 @@ def redact_pii(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "text", T.redact(F.col("text")).alias("r")).select("doc_id", F.md5("r").alias("digest"), (F.col("r") != F.col("text")).alias("changed"))
 
 
-@query("sensitive_flags", r"SELECT conv_id, turn, regexp_matches(lower(text), 'password|secret|token|@|[0-9]{3}-[0-9]{2}-[0-9]{4}') AS sensitive FROM conversations")
+@query("sensitive_flags", f"SELECT conv_id, turn, {_HIT} AS sensitive FROM conversations")
 def sensitive_flags(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").select("conv_id", "turn", F.lower("text").rlike(r"password|secret|token|@|[0-9]{3}-[0-9]{2}-[0-9]{4}").alias("sensitive"))
+    return table(spark, d, "conversations").select("conv_id", "turn", T.is_sensitive(F.col("text")).alias("sensitive"))
 
 
 _MSG = "'error ' || event_id || ' at /srv/app/' || event_type || '.py: ''' || user_id || '''  failed'"
 
 
 @query("error_patterns", r"""
-WITH m AS (SELECT event_type, regexp_replace(regexp_replace(regexp_replace(regexp_replace(""" + _MSG + r""", '/[A-Za-z0-9_./-]+', 'PATH', 'g'), '[0-9]+', 'N', 'g'), '''[^'']*''', '''S''', 'g'), '\s+', ' ', 'g') AS pattern FROM events)
+WITH m AS (SELECT event_type, regexp_replace(regexp_replace(""" + _MSG + r""", '/[^\s]+', '<path>', 'g'), '\b[0-9]+\b', '<number>', 'g') AS pattern FROM events)
 SELECT event_type, pattern, count(*) AS n, round(count(*) / 720.0, 6) AS per_hour, CASE WHEN count(*) / 720.0 > 1 OR count(*) > 10 THEN 'high' WHEN count(*) / 720.0 > 0.5 OR count(*) > 5 THEN 'medium' ELSE 'low' END AS severity
 FROM m GROUP BY 1, 2 HAVING count(*) >= 2""")
 def error_patterns(spark: SparkSession, d: str) -> DataFrame:
@@ -153,7 +205,7 @@ def error_patterns(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("sql_fingerprint", r"""
-SELECT upper(trim(regexp_replace(regexp_replace(regexp_replace('select * from t where id = ' || (event_id % 7) || ' and kind = ''' || event_type || '''  limit 5', '''[^'']*''', 'STRING', 'g'), '\b[0-9]+\b', 'NUMBER', 'g'), '\s+', ' ', 'g'))) AS fingerprint, count(*) AS n FROM events GROUP BY 1""")
+SELECT upper(regexp_replace(regexp_replace(regexp_replace('select * from t where id = ' || (event_id % 7) || ' and kind = ''' || event_type || '''  limit 5', '\s+', ' ', 'g'), '''[^'']*''', '''STRING''', 'g'), '\b[0-9]+\b', 'NUMBER', 'g')) AS fingerprint, count(*) AS n FROM events GROUP BY 1""")
 def sql_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     q = F.concat(F.lit("select * from t where id = "), F.col("event_id") % 7, F.lit(" and kind = '"), "event_type", F.lit("'  limit 5"))
     return table(spark, d, "events").groupBy(T.sql_fingerprint(q).alias("fingerprint")).agg(F.count("*").alias("n"))
@@ -206,16 +258,8 @@ def acronym_concepts(spark: SparkSession, d: str) -> DataFrame:
 @query("pmi_collocations", f"""
 WITH w AS (SELECT {_KEYS.format('text')} AS w FROM documents), u AS (SELECT word, count(*) AS c FROM (SELECT unnest(w) AS word FROM w) GROUP BY 1),
 p AS (SELECT unnest(list_zip(w[:len(w) - 1], w[2:])) AS p FROM w WHERE len(w) > 1), b AS (SELECT p[1] AS a, p[2] AS b, count(*) AS f FROM p GROUP BY 1, 2), t AS (SELECT CAST(sum(f) AS BIGINT) AS f FROM b)
-SELECT b.a, b.b, b.f AS n, round(log2((b.f * 1.0 / t.f) / ((x.c / (2.0 * t.f)) * (y.c / (2.0 * t.f)))), 4) AS pmi FROM b, t, u x, u y WHERE x.word = b.a AND y.word = b.b AND b.f >= 3 AND log2((b.f * 1.0 / t.f) / ((x.c / (2.0 * t.f)) * (y.c / (2.0 * t.f)))) >= 5.0001""")
-def pmi_collocations(spark: SparkSession, d: str) -> DataFrame:
-    return collocations(table(spark, d, "documents"), 3).where("pmi_exact >= 5.0001").select("a", "b", "n", "pmi")
-
-
-@query("pmi_collocations_all", f"""
-WITH w AS (SELECT {_KEYS.format('text')} AS w FROM documents), u AS (SELECT word, count(*) AS c FROM (SELECT unnest(w) AS word FROM w) GROUP BY 1),
-p AS (SELECT unnest(list_zip(w[:len(w) - 1], w[2:])) AS p FROM w WHERE len(w) > 1), b AS (SELECT p[1] AS a, p[2] AS b, count(*) AS f FROM p GROUP BY 1, 2), t AS (SELECT CAST(sum(f) AS BIGINT) AS f FROM b)
 SELECT b.a, b.b, b.f AS n, round(log2((b.f * 1.0 / t.f) / ((x.c / (2.0 * t.f)) * (y.c / (2.0 * t.f)))), 4) AS pmi FROM b, t, u x, u y WHERE x.word = b.a AND y.word = b.b AND b.f >= 2 AND CAST(b.f AS HUGEINT) * t.f >= 8 * CAST(x.c AS HUGEINT) * y.c""")
-def pmi_collocations_all(spark: SparkSession, d: str) -> DataFrame:
+def pmi_collocations(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of neighbours that occur twice or more with a PMI of 5 at least: 4 n t / (c_a c_b) >= 32, in whole numbers."""
     whole = lambda c: F.col(c).cast("decimal(18,0)")
     return collocations(table(spark, d, "documents"), 2).where(whole("n") * whole("t") >= F.lit(8).cast("decimal(1,0)") * (whole("c_a") * whole("c_b"))).select("a", "b", "n", "pmi")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
@@ -110,12 +112,45 @@ def retry_window(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).select("event_id", F.count("*").over(w).alias("retries"))
 
 
-@query("rate_limit_window", """
-SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS in_window FROM events
-QUALIFY in_window > 3""")
+#: Calls that a user has in a window, and in a burst: (calls, seconds).
+LIMIT, BURST = (3, 86_400), (2, 3_600)
+
+
+@query("rate_limit_window", f"""
+WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+f AS (SELECT event_id, user_id, us, i, true AS allowed, 'ok' AS reason, [us] AS past FROM e WHERE i = 1 UNION ALL
+  SELECT e.event_id, e.user_id, e.us, e.i, r.reason = 'ok', r.reason, CASE WHEN r.reason = 'ok' THEN list_append(r.live, e.us) ELSE r.live END
+  FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1,
+  LATERAL (SELECT list_filter(f.past, lambda x: x > e.us - {LIMIT[1]}000000) AS live, CASE WHEN len(list_filter(f.past, lambda x: x > e.us - {LIMIT[1]}000000)) >= {LIMIT[0]} THEN 'limit'
+    WHEN len(list_filter(f.past, lambda x: x > e.us - {BURST[1]}000000)) >= {BURST[0]} THEN 'burst' ELSE 'ok' END AS reason) r)
+SELECT event_id, user_id, allowed, reason FROM f""")
 def rate_limit_window(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("us").rangeBetween(-86_400_000_000, 0)
-    return table(spark, d, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).select("event_id", "user_id", F.count("*").over(w).alias("in_window")).where("in_window > 3")
+    """Each call with its decision: a call passes if fewer passed in the window, and in the burst's; rejected calls don't count."""
+    e = table(spark, d, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return rate_limited(e, "user_id", "us", "event_id", LIMIT, BURST).select("event_id", "user_id", (F.col("reason") == "ok").alias("allowed"), "reason")
+
+
+def rate_limited(df: DataFrame, key: str, at: str, id_: str, limit: tuple[int, int], burst: tuple[int, int]) -> DataFrame:
+    """``df`` with ``reason``: ok, limit or burst.  The state of a key is the times of at most ``limit[0]`` calls that passed."""
+
+    def fold(parts):
+        last, past = None, deque()
+        for part in parts:
+            out = []
+            for k, t in zip(part["k__"].tolist(), part[at].tolist()):
+                if k != last:
+                    last, past = k, deque()
+                while past and past[0] <= t - limit[1] * 1_000_000:
+                    past.popleft()
+                near = sum(x > t - burst[1] * 1_000_000 for x in past)
+                out.append("limit" if len(past) >= limit[0] else "burst" if near >= burst[0] else "ok")
+                if out[-1] == "ok":
+                    past.append(t)
+            yield part[[id_]].assign(reason=out)
+
+    slim = df.select(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("\0"))).alias("k__"), at, id_)
+    told = slim.repartition("k__").sortWithinPartitions("k__", at, id_).mapInPandas(fold, f"{id_} {dict(df.dtypes)[id_]}, reason string")
+    return df.join(told, id_)
 
 
 @query("alert_correlation", """
@@ -158,15 +193,18 @@ def click_asof_query(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("search_ndcg", """
-WITH c AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS j,
-  count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE event_type = 'click' AND value > 0)
-SELECT user_id, round(sum(value / log2(i + 1)) / sum(value / log2(j + 1)), 6) AS ndcg FROM c WHERE n > 1 GROUP BY 1""")
+WITH k AS (SELECT user_id, ts, event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS position FROM events WHERE event_type = 'click'),
+c AS (SELECT user_id, 1.0::DOUBLE / position AS gain, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, row_number() OVER (PARTITION BY user_id ORDER BY position, event_id) AS j FROM k WHERE position > 0),
+s AS (SELECT user_id, sum(gain / log2(i + 1)) / sum(gain / log2(j + 1)) AS ndcg FROM c WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'click' GROUP BY 1 HAVING count(*) > 1) GROUP BY 1)
+SELECT count(*) AS sessions, round(avg(ndcg), 6) AS mean_ndcg, round(min(ndcg), 6) AS least FROM s""")
 def search_ndcg(spark: SparkSession, d: str) -> DataFrame:
+    """Mean NDCG of the sessions with more than one click: a click gains 1 over its position; clicks without one gain nothing."""
     w = Window.partitionBy("user_id")
-    c = table(spark, d, "events").where("event_type = 'click' AND value > 0").select(
-        "user_id", "value", F.row_number().over(w.orderBy("ts", "event_id")).alias("i"), F.row_number().over(w.orderBy(F.desc("value"), "event_id")).alias("j"), F.count("*").over(w).alias("n"))
-    gain = lambda r: F.sum(F.col("value") / F.log2(F.col(r) + 1))
-    return c.where("n > 1").groupBy("user_id").agg(F.round(gain("i") / gain("j"), 6).alias("ndcg"))
+    k = table(spark, d, "events").where("event_type = 'click'").select("user_id", "ts", "event_id", F.get_json_object("props", "$.k").cast("long").alias("position"), F.count("*").over(w).alias("n"))
+    c = k.where("position > 0 AND n > 1").select("user_id", (1 / F.col("position")).alias("gain"), F.row_number().over(w.orderBy("ts", "event_id")).alias("i"), F.row_number().over(w.orderBy("position", "event_id")).alias("j"))
+    total = lambda r: F.sum(F.col("gain") / F.log2(F.col(r) + 1))
+    s = c.groupBy("user_id").agg((total("i") / total("j")).alias("ndcg"))
+    return s.agg(F.count("*").alias("sessions"), F.round(F.avg("ndcg"), 6).alias("mean_ndcg"), F.round(F.min("ndcg"), 6).alias("least"))
 
 
 @query("reward_signal", """

@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from textloom.operators import chunking, graphs, reports, retrieval, signals, texts, timelines  # noqa: F401
+from textloom.operators import chunking, concepts, graphs, reports, retrieval, signals, texts, timelines  # noqa: F401
 from textloom.streaming import events  # noqa: F401
