@@ -25,6 +25,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def oracle(name: str) -> str:
+    """The SQL of a query that is registered already, for the SQL of another."""
+    return _SQL[name]
+
+
 def _load() -> None:
     from textloom.plans import catalog  # noqa: F401  registers on import
 
