@@ -180,3 +180,60 @@ def test_content_upsert_keeps_all_contents_once(spark):
     new = docs([(9, "s", "x", "en", 2), (3, "s", "y", "en", 1)])
     got = {(r.source, r.content_hash[:4], r.doc_id, r.lang, r.n_chars) for r in reports.content_upsert(old, new).collect()}
     assert got == {("s", "2d71", 9, "en", 2), ("t", "2d71", 7, "en", 1), ("s", "e3b0", 11, "fr", 0), ("s", "a1fc", 3, "en", 1)}
+
+
+def test_late_events_miss_their_window(spark, tmp_path):
+    import datetime as dt
+    import time
+
+    from textloom.streaming import events as E
+
+    folder = str(tmp_path / "in")
+    at = lambda *m: dt.datetime(2024, 1, 1, *m)
+    batches = [[(1, at(0, 5))], [(2, at(3, 0))], [(4, at(3, 1))], [(3, at(0, 50))], [(5, at(9, 0))], [(6, at(20, 0))]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame([(k, t, "view", 1.0) for k, t in rows], "event_id long, ts timestamp_ntz, event_type string, value double").coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(1.1)  # files are taken by their times of change
+    hours = E.stream_of(spark, folder, 1).groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")).select(F.hour("w.start").alias("h"), "n")
+    # event 3 comes when the first hour has closed; the last window is still open
+    assert sorted(map(tuple, E.run_to_end(hours).collect())) == [(0, 1), (3, 2), (9, 1)]
+
+
+def test_folds_keep_null_keys_apart_and_state_small(spark):
+    from textloom.functions.folds import fold
+
+    rows = [(None, 1, 10), (None, 2, 11), (1 << 60, 1, 12), ((1 << 60) + 1, 1, 13)]
+
+    def start():
+        total = [0]
+
+        def step(t):
+            total[0] += t
+            return (total[0],)
+
+        return step
+
+    got = fold(spark.createDataFrame(rows, "k long, t long, id long").coalesce(1), "k", ["t", "id"], ["t"], start, "total long")
+    assert {r.id: (r.k, r.total) for r in got.collect()} == {10: (None, 1), 11: (None, 3), 12: (1 << 60, 1), 13: ((1 << 60) + 1, 1)}
+
+
+def test_budget_groups_with_large_and_null_keys(spark):
+    from textloom.operators.signals import budget_groups
+
+    big = 1 << 60
+    df = spark.createDataFrame([(None, 1, 3), (None, 2, 3), (None, 3, 3), (big + 1, 1, 9), (big + 2, 1, None)], "k long, t long, n int").coalesce(1)
+    assert sorted(map(tuple, budget_groups(df, "k", "t", "n", 6).collect()), key=str) == sorted([(None, 1, 0), (None, 2, 0), (None, 3, 1), (big + 1, 1, 0), (big + 2, 1, 0)], key=str)
+
+
+def test_scratch_is_freed(spark):
+    import os
+
+    from textloom import session as S
+
+    with S.tidy(spark) as kept:
+        a, b = S.scratch(spark, "a"), S.scratch(spark, "b")
+        for p in (a, b):
+            spark.range(1).write.parquet(p)
+        kept.append(a)
+    there = lambda p: os.path.exists(p.replace("file://", ""))
+    assert there(a) and not there(b)

@@ -1,20 +1,33 @@
-"""Structured Streaming over the event log; each job has a batch twin."""
+"""Structured Streaming over the event log; each job has a batch twin.
 
-from __future__ import annotations
+Results are appended to files as their windows close, ten minutes of event time after
+their end: nothing is gathered in the driver, and state goes with its window.  A window
+that the stream's end leaves open isn't part of a result, and an event that comes after
+its window has closed is left out.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textloom.plans.registry import query
-from textloom.session import scratch, written
+from textloom.session import scratch
+
+#: How late an event may be.
+DELAY = "10 minutes"
+_CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a file stream with a watermark; times are UTC."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_folder(spark, sf_dir))
-    return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 minutes")
+    return stream_of(spark, _folder(spark, sf_dir))
+
+
+def stream_of(spark: SparkSession, folder: str, files_a_trigger: int | None = None) -> DataFrame:
+    """A folder of event files as a stream, by time of their arrival."""
+    source = spark.readStream.schema(spark.read.parquet(folder).schema).option("pathGlobFilter", "*.parquet")
+    source = source.option("maxFilesPerTrigger", files_a_trigger) if files_a_trigger else source
+    return source.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", DELAY)
 
 
 def _folder(spark: SparkSession, sf_dir: str) -> str:
@@ -24,17 +37,12 @@ def _folder(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over all that is there, into files where the mode appends, else into memory."""
+def run_to_end(stream: DataFrame) -> DataFrame:
+    """Run a stream over all that is there; closed windows are appended to files, which are read back."""
     spark = stream.sparkSession
-    check = scratch(spark, "stream-state")
-    if mode == "append":
-        out = scratch(spark, "stream-out")
-        stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", check).trigger(availableNow=True).start(out).awaitTermination()
-        return spark.read.schema(stream.schema).parquet(out)
-    name = f"out_{uuid.uuid4().hex}"
-    stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
-    return written(spark.table(name), "stream-out")
+    out = scratch(spark, "stream-out")
+    stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", scratch(spark, "stream-state")).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 def tumbling(events: DataFrame) -> DataFrame:
@@ -56,21 +64,21 @@ def _ntz(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in cols})
 
 
-@query("stream_tumbling", "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY 1, 2")
+@query("stream_tumbling", f"SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY 1, 2 HAVING day + INTERVAL 1 DAY <= {_CLOSED}")
 def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
-    return _ntz(run_to_end(tumbling(event_stream(spark, d)), "complete"), "day").withColumn("v", F.round("v", 4))
+    return _ntz(run_to_end(tumbling(event_stream(spark, d))), "day").withColumn("v", F.round("v", 4))
 
 
-@query("stream_error_rate", """
+@query("stream_error_rate", f"""
 WITH w AS (SELECT time_bucket(INTERVAL 3 HOUR, ts) - INTERVAL (h) HOUR AS started, event_type FROM events, (SELECT unnest([0, 3]) AS h))
-SELECT started, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM w GROUP BY 1""")
+SELECT started, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM w GROUP BY 1 HAVING started + INTERVAL 6 HOUR <= {_CLOSED}""")
 def stream_error_rate(spark: SparkSession, d: str) -> DataFrame:
-    return _ntz(run_to_end(error_rate(event_stream(spark, d)), "complete"), "started")
+    return _ntz(run_to_end(error_rate(event_stream(spark, d))), "started")
 
 
-@query("stream_sessions", """
+@query("stream_sessions", f"""
 WITH g AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 1800000000, false)::INT AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g)
-SELECT user_id, min(ts) AS started, count(*) AS n FROM s GROUP BY user_id, session""")
+SELECT user_id, min(ts) AS started, count(*) AS n FROM s GROUP BY user_id, session HAVING max(ts) + INTERVAL 30 MINUTE <= {_CLOSED}""")
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    return _ntz(run_to_end(user_sessions(event_stream(spark, d)), "complete"), "started")
+    return _ntz(run_to_end(user_sessions(event_stream(spark, d))), "started")
