@@ -37,6 +37,8 @@ LEAST_BITS, MOST_BITS = 16, 27
 PROBES, CHUNK = 4, 19
 #: Pairs that one join key may give; a seed of more is dealt over several.
 SEED_PAIRS = 200_000
+#: Odd multipliers, one a probe.
+_ODD = (0xD6E8FEB86659FD93, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F)
 _WORD = re.compile(r"\w+")
 
 
@@ -94,7 +96,9 @@ def _runs(h: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 
 def _slots(h: np.ndarray, bits: int, probe: int) -> np.ndarray:
-    x = (h ^ (h >> np.uint64(32))) * np.uint64((0xD6E8FEB86659FD93 * (2 * probe + 1)) % 2**64)
+    # mixed twice: multiples of one product would have their upper bits in common
+    x = (h ^ (h >> np.uint64(32))) * np.uint64(_ODD[probe])
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return (x >> np.uint64(64 - bits)).astype(np.int64)
 
 
