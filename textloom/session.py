@@ -56,7 +56,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def _delete(spark: SparkSession, where: str) -> None:
+def delete(spark: SparkSession, where: str) -> None:
+    """Delete a path and all below it, where it exists."""
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -73,12 +74,12 @@ def tidy(spark: SparkSession) -> Iterator[list[str]]:
         _SCOPES.pop()
         for path in made:
             if path not in kept:
-                _delete(spark, path)
+                delete(spark, path)
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete what this application has written to the shared folder; call it when its results have been stored."""
-    _delete(spark, f"{shared_dir(spark)}/textloom/{spark.sparkContext.applicationId}")
+    delete(spark, f"{shared_dir(spark)}/textloom/{spark.sparkContext.applicationId}")
 
 
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
