@@ -13,7 +13,7 @@ from textloom.llm.decontamination import drop_contaminated
 from textloom.llm.exact_dedup import RESULTS, exact_dedup
 from textloom.llm.ngram_join import keep_one
 from textloom.llm.quality_rules import fit, score_quality, training_rows
-from textloom.session import ship, table, written
+from textloom.session import delete, scratch, ship, table, tidy, written  # noqa: F401  written: for callers that run stages one by one
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +48,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; what a stage leaves in the shared folder goes with it, and its input when it is done."""
     ship(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with tidy(spark) as kept:
+            kept.append(scratch(spark, f"stage-{name}"))
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(kept[0])
+        docs = spark.read.schema(out.schema).parquet(kept[0])
+        if last:
+            delete(spark, last)
+        last = kept[0]
     return docs
