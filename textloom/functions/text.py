@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Words that carry no topic.
 STOP_WORDS = tuple("the a an and or but in on at to for of with by is are was were be been being have has had do does did will would could should".split())
 #: Characters that are stripped from a word's ends.
 STRIPPED = r'[.,!?;:"()\[\]{}]+'
+ENDS = '.,!?;:"()[]{}'
 
 
 def words(text: Column) -> Column:
@@ -25,7 +26,13 @@ def tokens(text: Column) -> Column:
 def keywords(text: Column) -> Column:
     """Words of three letters or more that aren't stop words; punctuation goes after that test."""
     kept = F.filter(words(text), lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS))
-    return F.filter(F.transform(kept, lambda w: F.regexp_replace(w, f"^{STRIPPED}|{STRIPPED}$", "")), lambda w: w != "")
+    return F.filter(F.transform(kept, lambda w: F.btrim(w, F.lit(ENDS))), lambda w: w != "")
+
+
+def each_keyword(df: DataFrame, *keep: str, text: str = "text", name: str = "word") -> DataFrame:
+    """``keep`` and one row for each of a text's ``keywords``: tests on rows are compiled, those in arrays are not."""
+    w = df.select(*keep, F.explode(F.split(F.lower(text), r"[ \t\n\r\f\x0B]+")).alias(name)).where((F.length(name) > 2) & ~F.col(name).isin(*STOP_WORDS))
+    return w.withColumn(name, F.btrim(name, F.lit(ENDS))).where(F.col(name) != "")
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions import text as T
+from textloom.operators.texts import _KEYS
 from textloom.plans.registry import query
-from textloom.session import table, written
+from textloom.session import scratch, table, written
 
 #: Query vectors that go to every task at once; larger query sets are taken block by block.
 QUERY_BLOCK = 2048
@@ -28,11 +29,12 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest vectors by cosine for each query (``query_id``, ``vec_id``, ``score``, ``rank``), without itself.
 
     Each part keeps ``k`` candidates a query, so a shuffle carries parts * queries * k rows.
+    Blocks of queries are taken one after the other, each written before the next is sent.
     """
     spark = vectors.sparkSession
     n = queries.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
-    found = None
+    found, path = None, scratch(spark, "nearest")
     for b in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).select("vec_id", "embedding").collect()
         if not rows:
@@ -54,9 +56,13 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 yield out[np.isfinite(out["score"])]
 
         one = vectors.select("vec_id", "embedding").mapInPandas(search, "query_id long, vec_id long, score double")
-        found = one if found is None else found.union(one)
+        if blocks > 1:
+            one.write.mode("append").parquet(path)
+        found = one
     if found is None:
         found = spark.createDataFrame([], "query_id long, vec_id long, score double")
+    elif blocks > 1:
+        found = spark.read.schema(found.schema).parquet(path)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("long"))
     return ranked.where(F.col("rank") <= k)
 
@@ -99,28 +105,31 @@ def label_centroids(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("label", F.col("dim").cast("long").alias("dim")).agg(F.round(F.avg(F.col("v").cast("double")), 5).alias("mean"))
 
 
-def tfidf(docs: DataFrame, key: str) -> DataFrame:
-    """``key``, ``term``, ``w``: term counts times ``ln((1 + n) / (1 + df)) + 1``, each document of length 1; terms in over 95 % of documents go."""
-    tf = written(docs.select(key, F.explode(T.keywords(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")), "tf")
+def tfidf(docs: DataFrame, key: str, terms: DataFrame | None = None) -> DataFrame:
+    """``key``, ``term``, ``w``: term counts times ``ln((1 + n) / (1 + df)) + 1``, each document of length 1; terms in over 95 % of documents go.
+
+    Lengths take all terms; the weights are only of those among ``terms`` (``term``), if given.
+    """
+    tf = written(T.each_keyword(docs, key, name="term").groupBy(key, "term").agg(F.count("*").alias("tf")), "tf")
     n = docs.agg(F.count("*").alias("n"))
     df = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).where("df <= 0.95 * n")
-    w = tf.join(df, "term").select(key, "term", (F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
+    idf = written(df.select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
+    w = tf.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
+    asked = w.join(terms.select("term").distinct(), "term", "left_semi") if terms is not None else w
+    return asked.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
 def keyword_search(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Best ``k`` documents by TF-IDF for each query (``item_id``, ``text``): dot products over common terms."""
-    w = tfidf(docs, "doc_id")
-    terms = queries.select("item_id", F.explode(F.array_distinct(T.keywords(F.col("text")))).alias("term"))
-    score = w.join(terms, "term").groupBy("item_id", "doc_id").agg(F.sum("w").alias("score"))
+    terms = T.each_keyword(queries, "item_id", name="term").distinct()
+    score = tfidf(docs, "doc_id", terms).join(terms, "term").groupBy("item_id", "doc_id").agg(F.sum("w").alias("score"))
     return score.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc(F.round("score", 6)), "doc_id")).cast("long")).where(F.col("rank") <= k)
 
 
-_K = r"list_filter(list_transform(list_filter(list_filter(regexp_split_to_array(lower({}), '[ \t\n\r\f\x0B]+'), lambda w: w <> ''), lambda w: length(w) > 2 AND w NOT IN (" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + r")), lambda w: regexp_replace(w, '^[.,!?;:|]+|[.,!?;:|]+$', '', 'g')), lambda w: w <> '')"
-_TFIDF = f"""tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_K.format('text')}) AS term FROM documents) GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM documents),
+_TFIDF = f"""tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_KEYS.format('text')}) AS term FROM documents) GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM documents),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), w0 AS (SELECT doc_id, tf.term, tf * (ln((1 + n) * 1.0 / (1 + df)) + 1) AS w FROM tf JOIN df USING (term), n WHERE df <= 0.95 * n),
-w AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM w0), q AS (SELECT item_id, unnest(list_distinct({_K.format('text')})) AS term FROM benchmark),
+w AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM w0), q AS (SELECT item_id, unnest(list_distinct({_KEYS.format('text')})) AS term FROM benchmark),
 s AS (SELECT item_id, doc_id, sum(w) AS score FROM w JOIN q USING (term) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s)"""
 
 
@@ -142,6 +151,21 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return k.join(v, ["item_id", "doc_id"], "full").select("item_id", "doc_id", F.round(0.7 * F.coalesce("v", z) + 0.3 * F.coalesce("score", z), 4).alias("score"))
 
 
+#: Bytes of passages that go to every task at once.
+PASSAGE_BYTES = 4 << 20
+
+
+def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """``item_id``, ``doc_id`` of all documents that contain a passage: the stated passages against all rows, in blocks of a checked size."""
+    blocks = max(1, -(-int(passages.agg(F.sum(F.octet_length("passage"))).first()[0] or 0) // PASSAGE_BYTES))
+    path = scratch(docs.sparkSession, "containing")
+    for b in range(blocks):
+        some = passages.where(F.pmod(F.xxhash64("passage"), F.lit(blocks)) == b)
+        found = docs.join(F.broadcast(some), F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
+        found.write.mode("append").parquet(path)
+    return docs.sparkSession.read.schema(found.schema).parquet(path)
+
+
 @query("retrieval_metrics", f"""
 WITH {_TFIDF}, truth AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), got AS (SELECT item_id, doc_id FROM r WHERE rank <= 5),
 c AS (SELECT (SELECT count(*) FROM truth) AS t, (SELECT count(*) FROM got) AS g, (SELECT count(*) FROM truth SEMI JOIN got USING (item_id, doc_id)) AS h)
@@ -149,8 +173,7 @@ SELECT t AS relevant, g AS retrieved, h AS hits, round(h * 1.0 / t, 6) AS recall
 def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
     got = written(keyword_search(docs, items, 5).select("item_id", "doc_id"), "got")
-    # a stated query set (the benchmark) against all rows
-    truth = written(docs.join(F.broadcast(items.select("item_id", F.col("text").alias("passage"))), F.col("text").contains(F.col("passage"))).select("item_id", "doc_id"), "truth")
+    truth = containing(docs, items.select("item_id", F.col("text").alias("passage")))
     c = truth.agg(F.count("*").alias("relevant")).join(got.agg(F.count("*").alias("retrieved"))).join(truth.join(got, ["item_id", "doc_id"], "left_semi").agg(F.count("*").alias("hits")))
     h, t, g = F.col("hits"), F.col("relevant"), F.col("retrieved")
     return c.select("relevant", "retrieved", "hits", F.round(h / t, 6).alias("recall"), F.round(h / g, 6).alias("precision"), F.round(2 * h / (t + g), 6).alias("f1"))
@@ -178,7 +201,7 @@ def kg_final_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("enhanced_relevance", f"""
-WITH p AS (SELECT doc_id, list_distinct({_K.format('text')}) AS k FROM documents), q AS (SELECT list_distinct({_K.format("'license public version the and'")}) AS k)
+WITH p AS (SELECT doc_id, list_distinct({_KEYS.format('text')}) AS k FROM documents), q AS (SELECT list_distinct({_KEYS.format("'license public version the and'")}) AS k)
 SELECT doc_id, round(least(1.0, 0.7 * n_chars / (n_chars + 1000.0) + 0.3 * len(list_intersect(p.k, q.k)) / len(q.k)), 6) AS relevance FROM p JOIN documents USING (doc_id), q""")
 def enhanced_relevance(spark: SparkSession, d: str) -> DataFrame:
     q = F.array_distinct(T.keywords(F.lit("license public version the and")))

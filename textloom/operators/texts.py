@@ -16,7 +16,7 @@ _KEYS = r"list_filter(list_transform(list_filter(" + _WORDS + r", lambda w: leng
 
 @query("keyword_top", f"SELECT word, count(*) AS n FROM (SELECT unnest({_KEYS.format('text')}) AS word FROM documents) GROUP BY 1 ORDER BY n DESC, word LIMIT 50")
 def keyword_top(spark: SparkSession, d: str) -> DataFrame:
-    k = table(spark, d, "documents").select(F.explode(T.keywords(F.col("text"))).alias("word"))
+    k = T.each_keyword(table(spark, d, "documents"))
     return k.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(50)
 
 
