@@ -237,3 +237,18 @@ def test_scratch_is_freed(spark):
         kept.append(a)
     there = lambda p: os.path.exists(p.replace("file://", ""))
     assert there(a) and not there(b)
+
+
+def test_running_sums_over_parts_of_a_key(spark):
+    import random
+
+    from textloom.functions.running import running
+
+    rnd = random.Random(5)
+    rows = [(None if k == 3 else k, i, rnd.randint(0, 9)) for i, k in enumerate(rnd.choice([1, 1, 1, 2, 3]) for _ in range(300))]
+    got = {r.i: (r.rank, r.t) for r in running(spark.createDataFrame(rows, "k int, i int, v int"), "k", ["i"], t=F.col("v")).collect()}
+    seen = {}
+    for k, i, v in rows:
+        n, t = seen.get(k, (0, 0))
+        seen[k] = n + 1, t + v
+        assert got[i] == seen[k]

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
+from textloom.functions.running import running
 from textloom.plans.registry import query
 from textloom.session import table
 
@@ -246,5 +247,6 @@ def region_revenue_join(spark: SparkSession, d: str) -> DataFrame:
 
 @query("version_per_domain", "SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS version, count(*) OVER (PARTITION BY source) + 1 AS next_version FROM documents")
 def version_per_domain(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("source")
-    return table(spark, d, "documents").select("doc_id", "source", F.row_number().over(w.orderBy("doc_id")).cast("long").alias("version"), (F.count("*").over(w) + 1).alias("next_version"))
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    n = docs.groupBy("source").agg((F.count("*") + 1).alias("next_version"))
+    return running(docs, "source", ["doc_id"]).join(n, "source").select("doc_id", "source", F.col("rank").alias("version"), "next_version")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions import text as T
+from textloom.functions.running import running
 from textloom.operators.texts import _KEYS
 from textloom.plans.registry import query
 from textloom.session import scratch, table, written
@@ -188,8 +189,8 @@ def per_doc_cap(spark: SparkSession, d: str) -> DataFrame:
 @query("length_budget", """
 SELECT doc_id, source, CAST(used AS BIGINT) AS used FROM (SELECT doc_id, source, sum(n_chars + 100) OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING) AS used FROM documents) WHERE used <= 20000""")
 def length_budget(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "documents").select("doc_id", "source", F.sum(F.col("n_chars") + 100).over(w).alias("used")).where("used <= 20000")
+    docs = table(spark, d, "documents").select("doc_id", "source", "n_chars")
+    return running(docs, "source", [F.desc("n_chars"), "doc_id"], used=F.col("n_chars") + 100).where("used <= 20000").select("doc_id", "source", "used")
 
 
 @query("kg_final_score", """
@@ -216,5 +217,5 @@ def source_quota(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source", "n_chars")
     total = docs.agg(F.count("*").alias("all"))
     quota = docs.groupBy("source").agg(F.count("*").alias("n")).join(F.broadcast(total)).select("source", F.floor(100.0 * F.col("n") / F.col("all")).alias("quota"))
-    r = docs.withColumn("i", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")))
+    r = running(docs, "source", [F.desc("n_chars"), "doc_id"]).withColumnRenamed("rank", "i")
     return r.join(quota, "source").where("i <= quota").select("doc_id", "source", "quota")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions import text as T
+from textloom.functions.running import running
 from textloom.plans.registry import query
 from textloom.session import table
 
@@ -291,7 +292,7 @@ def page_links(spark: SparkSession, d: str) -> DataFrame:
 WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents)
 SELECT source, CAST(i // 5 AS BIGINT) AS sequence, array_to_string(list(doc_id ORDER BY doc_id), ',') AS docs FROM r GROUP BY 1, 2 HAVING count(*) = 5""")
 def training_sequences(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "documents").select("doc_id", "source", F.floor((F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1) / 5).alias("sequence"))
+    r = running(table(spark, d, "documents").select("doc_id", "source"), "source", ["doc_id"]).select("doc_id", "source", F.expr("(rank - 1) div 5").alias("sequence"))
     return r.groupBy("source", "sequence").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("docs"), F.count("*").alias("n")).where("n = 5").drop("n")
 
 

@@ -7,8 +7,9 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
+from textloom.functions.running import running
 from textloom.plans.registry import query
-from textloom.session import table
+from textloom.session import table, written
 
 #: Fixed "now" of the event log: everything that asks for the last hours takes it as a parameter.
 AS_OF = "2024-01-31 00:00:00"
@@ -25,9 +26,10 @@ WITH s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type
 SELECT event_type, max(n) AS n, round(max(CASE WHEN i = least(floor(0.95 * n) + 1, n) THEN value END), 6) AS p95, round(max(CASE WHEN i = least(floor(0.99 * n) + 1, n) THEN value END), 6) AS p99,
   round(max(CASE WHEN i = n // 2 + 1 THEN value END), 6) AS upper_median FROM s GROUP BY 1""")
 def latency_percentiles_idx(spark: SparkSession, d: str) -> DataFrame:
-    # ranks by a window, so no group is gathered into one value
-    w = Window.partitionBy("event_type")
-    s = table(spark, d, "events").select("event_type", "value", F.row_number().over(w.orderBy("value")).alias("i"), F.count("*").over(w).alias("n"))
+    # ranks over parts of a type, so no type is one task's
+    e = table(spark, d, "events").select("event_type", "value", "event_id")
+    n = e.groupBy("event_type").agg(F.count("*").alias("n"))
+    s = running(e, "event_type", ["value", "event_id"]).withColumnRenamed("rank", "i").join(n, "event_type")
     at = lambda place: F.round(F.max(F.when(F.col("i") == place, F.col("value"))), 6)
     place = lambda p: F.least(F.floor(F.col("n") * p) + 1, F.col("n"))
     return s.groupBy("event_type").agg(F.max("n").alias("n"), at(place(0.95)).alias("p95"), at(place(0.99)).alias("p99"), at(F.floor(F.col("n") / 2) + 1).alias("upper_median"))
@@ -64,9 +66,13 @@ WITH w AS (SELECT event_id, event_type, value, avg(value) OVER p AS m, stddev_sa
   WINDOW p AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT event_id, event_type, round(abs(value - m) / sd, 4) AS z FROM w WHERE n >= 20 AND sd > 0 AND abs(value - m) / sd > 2.5""")
 def anomaly_zscore(spark: SparkSession, d: str) -> DataFrame:
-    p = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    w = table(spark, d, "events").select("event_id", "event_type", "value", F.avg("value").over(p).alias("m"), F.stddev_samp("value").over(p).alias("sd"), F.count("*").over(p).alias("n"))
-    z = F.abs(F.col("value") - F.col("m")) / F.col("sd")
+    # sums about 50, which keeps the squares small; a row's own value is taken off again
+    v = F.col("value") - 50
+    r = running(table(spark, d, "events").select("event_id", "event_type", "value", "ts"), "event_type", ["ts", "event_id"], s=v, q=v * v)
+    n, s, q = F.col("rank") - 1, F.col("s") - v, F.col("q") - v * v
+    w = r.select("event_id", "event_type", "value", n.alias("n"), s.alias("s"), q.alias("q")).where("n >= 20").withColumn("m", F.col("s") / F.greatest("n", F.lit(1)) + 50)
+    w = w.withColumn("sd", F.sqrt(F.greatest(F.lit(0.0), (F.col("q") - F.col("s") * F.col("s") / F.greatest("n", F.lit(1))) / F.greatest(F.col("n") - 1, F.lit(1)))))
+    z = F.abs(F.col("value") - F.col("m")) / F.nullif("sd", F.lit(0.0))
     return w.where("n >= 20 AND sd > 0").select("event_id", "event_type", F.round(z, 4).alias("z")).where("z > 2.5")
 
 
@@ -264,8 +270,13 @@ def json_property_counts(spark: SparkSession, d: str) -> DataFrame:
 SELECT event_id, round(avg(value) OVER w + 1.28 * coalesce(stddev_samp(value) OVER w, 0), 6) AS eta FROM events
 WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
 def eta_from_history(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(-19, 0)
-    return table(spark, d, "events").select("event_id", F.round(F.avg("value").over(w) + 1.28 * F.coalesce(F.stddev_samp("value").over(w), F.lit(0.0)), 6).alias("eta"))
+    """Mean and spread of the last twenty values of a type: each row's running sums less those twenty rows before it."""
+    v = F.col("value") - 50
+    r = written(running(table(spark, d, "events").select("event_id", "event_type", "value", "ts"), "event_type", ["ts", "event_id"], s=v, q=v * v).select("event_id", "event_type", "rank", "s", "q"), "running")
+    past = r.select("event_type", (F.col("rank") + 20).alias("rank"), F.col("s").alias("s0"), F.col("q").alias("q0"))
+    x = r.join(past, ["event_type", "rank"], "left").select("event_id", F.least("rank", F.lit(20)).alias("n"), (F.col("s") - F.coalesce("s0", F.lit(0.0))).alias("s"), (F.col("q") - F.coalesce("q0", F.lit(0.0))).alias("q"))
+    sd = F.when(F.col("n") > 1, F.sqrt(F.greatest(F.lit(0.0), (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)))).otherwise(0.0)
+    return x.select("event_id", F.round(F.col("s") / F.col("n") + 50 + 1.28 * sd, 6).alias("eta"))
 
 
 @query("user_behaviour", """
