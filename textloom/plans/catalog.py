@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from textloom.operators import answers, chunking, concepts, enrichment, gaps, graphs, monitor, reports, retrieval, signals, texts, timelines  # noqa: F401
+from textloom.operators import answers, chunking, concepts, enrichment, gaps, graphs, monitor, reports, retrieval, signals, texts, timelines, tuning  # noqa: F401
 from textloom.streaming import events  # noqa: F401
