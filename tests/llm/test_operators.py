@@ -144,6 +144,32 @@ def test_exact_dedup_keeps_columns(spark):
 # quality
 
 
+def test_rules_as_a_column_equal_rules_as_python(spark):
+    rnd = random.Random(14)
+    texts = [None, "", "A", "|| !! ##", *(" ".join(rnd.choice(["the", "CAT", "runs.", "x|y", "!!", "7", "é"]) for _ in range(rnd.randint(1, 80))) for _ in range(150))]
+    rules = tuple((rnd.uniform(-2, 2), tuple((rnd.choice(quality_rules.STATS), rnd.uniform(0, 1.5), rnd.random() < 0.5) for _ in range(rnd.randint(1, 3)))) for _ in range(25))
+    model = quality_rules.RuleModel(0.3, rules)
+    for r in quality_rules.score_quality(docs(spark, list(enumerate(texts))), model).collect():
+        stats = dict(zip(quality_rules.STATS, quality_rules.text_stats(r.text)))
+        total = 0.3 + sum(w for w, cs in rules if all((stats[k] <= at) == most for k, at, most in cs))
+        assert abs(r.score - 1 / (1 + np.exp(-total))) < 1e-9 and r.predicted == int(r.score >= 0.3)
+
+
+def test_quality_on_held_out_labels(spark):
+    folder = "/root/testdata/sf0.01"
+    documents, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r for r in quality_rules.quality_table(documents, labels).collect()}
+    truth = [(r.quality, got[r.doc_id].score) for r in labels.collect() if got[r.doc_id].held_out]
+    good, bad = [s for q, s in truth if q == 1], [s for q, s in truth if q == 0]
+    auc = sum((a > b) + 0.5 * (a == b) for a in good for b in bad) / (len(good) * len(bad))
+    assert len(truth) > 40 and auc > 0.85
+
+
+def test_quality_keeps_a_column_of_its_own_name(spark):
+    df = docs(spark, [(1, "some text", 7)], DOCS + ", stats__ int")
+    assert quality_rules.score_quality(df, quality_rules.RuleModel(0.0)).first().stats__ == 7
+
+
 def test_quality_learns_and_scores_all(spark):
     rnd = random.Random(4)
     rows = [(i, " ".join(rnd.choice(["the", "cat", "runs", "home."]) for _ in range(40)) if i % 3 else " | ".join(rnd.choice(["X!", "Y##", "$$"]) for _ in range(40))) for i in range(600)]

@@ -22,42 +22,52 @@ from textloom.session import table
 
 
 def op1_chat_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of ``conversations`` with its repaired role and rendered piece; see ``format_chats``."""
     return format_chats(table(spark, sf_dir, "conversations"))
 
 
 def op2_automaton_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and spans of secrets in every text of ``documents``; see ``secret_digest``."""
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
 def op3_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every row of ``documents`` in 16 shards by the law ``rows``; see ``shard_table``."""
     return shard_table(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=16)
 
 
 def op4_perfect_hash_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start, length and checksum of the ids of every row of ``documents``, read back from the files by the index; see ``token_table``."""
     return token_table(table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
 def op5_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and decision of every row of ``documents`` by rules fitted to ``labels``; see ``quality_table``."""
     return quality_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which rows of ``documents`` overlap with items of ``benchmark``; see ``mark_contaminated``."""
     return contamination_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op7_heavy_light_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every row of ``documents``: three words, 90 %; see ``jaccard_components``."""
     return jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
 def op8_duckdb_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digest of the ids, and digest of the decoded bytes, of every row of ``documents``; see ``bpe_digest``."""
     return bpe_digest(table(spark, sf_dir, "documents"), path=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
 
 
 def op9_compression_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every text of ``documents``; see ``scan_licenses``."""
     return license_table(table(spark, sf_dir, "documents"))
 
 
 def op10_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group, keeper and digest of every row of ``documents``; see ``exact_dedup``."""
     return dedup_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
