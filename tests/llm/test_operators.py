@@ -120,7 +120,7 @@ def test_exact_dedup(spark, bits):
 def test_exact_dedup_by_ranges_with_clashing_columns(spark):
     schema = DOCS + ", gk__ int, gn__ int, rn__ int, hash__ int, key__ int, TEXT_SHA256 string, keep_id int"
     df = docs(spark, [(i, f"t{i % 50}", 1, 2, 3, 4, 5, "x", 6) for i in range(90)] + [(7, "t7", 1, 2, 3, 4, 5, "x", 6), (None, None, *[None] * 7)], schema)
-    for bits in (64, exact_dedup.MAX_FILTER_BITS):
+    for bits in (256, exact_dedup.MAX_FILTER_BITS):
         got = exact_dedup.exact_dedup(df, max_filter_bits=bits)
         assert sorted(got.columns) == sorted(["doc_id", "text", "gk__", "gn__", "rn__", "hash__", "key__", "text_sha256", "keep_id", "group_size", "kept"])
         got = got.collect()

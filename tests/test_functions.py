@@ -252,3 +252,29 @@ def test_running_sums_over_parts_of_a_key(spark):
         n, t = seen.get(k, (0, 0))
         seen[k] = n + 1, t + v
         assert got[i] == seen[k]
+
+
+def test_semantic_chunks_lose_no_word_and_keep_terms():
+    import random
+
+    from textloom.operators import boundaries as B
+
+    rnd = random.Random(8)
+    for _ in range(60):
+        words = [rnd.choice(["alpha", "beta", "ends.", "so;", "knowledge", "graph", "However", "machine", "learning"]) for _ in range(rnd.randint(0, 900))]
+        chunks = B.semantic_chunks(" ".join(words), 40, 80, 10)
+        assert [w for c in chunks for w in c.words] == words and all(len(c.words) <= 80 for c in chunks)
+        assert all(len(c.words) >= 10 or len(a.words) + len(c.words) > 80 for a, c in zip(chunks, chunks[1:]))
+    words = ["w"] * 30 + ["knowledge", "graph"] + ["w"] * 30
+    assert B.keep_terms(words, 31, 80) == (32, []) and B.keep_terms(words, 31, 31) == (30, []) and B.keep_terms(words, 30, 80) == (30, [])
+    assert B.keep_terms(["machine", "learning", "x"], 1, 1) == (1, ["machine learning"])
+    assert B.boundary("one two. three four. five six seven".split()) == 4 and B.boundary(["no", "end"]) == 0
+    assert B.semantic_chunks(None) == B.semantic_chunks("  ") == []
+
+
+def test_chunk_boundaries_over_a_table(spark, tmp_path):
+    from textloom.plans import registry
+
+    spark.createDataFrame([(1, "a b. " * 400), (None, None), ((1 << 60) + 1, "short")], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.queries()["chunk_boundaries"](spark, str(tmp_path)).collect()
+    assert sum(r.n_words for r in got if r.doc_id == 1) == 800 and [(r.chunk, r.n_words) for r in got if r.doc_id == (1 << 60) + 1] == [(0, 1)] and len({r.doc_id for r in got}) == 2

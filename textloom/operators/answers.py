@@ -265,3 +265,41 @@ def graph_boost(spark: SparkSession, d: str) -> DataFrame:
     found = five.join(k, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("related"))
     b = h.where(F.col("score") >= FLOOR).join(found, ["item_id", "doc_id"], "left").withColumn("related", F.coalesce("related", F.lit(0).cast("long")))
     return b.select("item_id", "doc_id", "related", F.round(F.least(F.lit(1.0), F.col("score") + 0.1 * F.col("related")), 6).alias("score"))
+
+
+@query("noun_filter_cascade", f"""
+WITH {_HITS}, p AS (SELECT item_id, {_NOUNS} AS nouns FROM benchmark), t AS (SELECT item_id, doc_id FROM (SELECT *, {_TOP} AS i FROM hits) WHERE i <= {MOST}),
+c AS (SELECT t.item_id, t.doc_id, len(nouns) AS n, len(list_filter(nouns, lambda x: contains(d.text, x))) AS found FROM t JOIN p USING (item_id) JOIN documents d USING (doc_id)),
+g AS (SELECT *, CASE WHEN n = 0 THEN 0 WHEN found = n THEN 3 WHEN found >= n * CASE WHEN n <= 2 THEN 1.0 ELSE greatest(0.7, 1 - 0.05 * (n - 2)) END THEN 2 WHEN found > 0 THEN 1 ELSE 0 END AS level FROM c), m AS (SELECT *, max(level) OVER (PARTITION BY item_id) AS best FROM g)
+SELECT item_id, doc_id, found, CASE best WHEN 3 THEN 'all' WHEN 2 THEN 'threshold' WHEN 1 THEN 'any' ELSE 'none' END AS filter FROM m WHERE level = best""")
+def noun_filter_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Results with all of a query's names; if none has, those that reach the threshold, else any, else all results as they are."""
+    nouns = F.array_distinct(F.filter(F.split("text", r"[^\p{L}\p{N}_]+"), lambda w: w.rlike("^[A-Z][a-z]+$") & (F.length(w) > 3)))
+    p = table(spark, d, "benchmark").select("item_id", nouns.alias("nouns"))
+    t = ranked(hits(spark, d), F.desc("score"), "doc_id").where(F.col("i") <= MOST).select("item_id", "doc_id")
+    c = t.join(p, "item_id").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    n = F.size("nouns")
+    c = c.select("item_id", "doc_id", n.alias("n"), F.size(F.filter("nouns", lambda x: F.col("text").contains(x))).alias("found"))
+    need = F.col("n") * F.when(F.col("n") <= 2, 1.0).otherwise(F.greatest(F.lit(0.7), 1 - 0.05 * (F.col("n") - 2)))
+    level = F.when(F.col("n") == 0, 0).when(F.col("found") == F.col("n"), 3).when(F.col("found") >= need, 2).when(F.col("found") > 0, 1).otherwise(0)
+    g = c.withColumn("level", level).withColumn("best", F.max("level").over(Window.partitionBy("item_id"))).where("level = best")
+    return g.select("item_id", "doc_id", F.col("found").cast("long").alias("found"), F.when(F.col("best") == 3, "all").when(F.col("best") == 2, "threshold").when(F.col("best") == 1, "any").otherwise("none").alias("filter"))
+
+
+@query("concept_order", """
+WITH p AS (SELECT p_name AS name, count(*) AS n, regexp_matches(p_name, '^[A-Z]') AS proper FROM part GROUP BY 1, 3) SELECT name, n, row_number() OVER (ORDER BY n DESC, proper DESC, length(name), name) AS place FROM p ORDER BY place LIMIT 10""")
+def concept_order(spark: SparkSession, d: str) -> DataFrame:
+    """Ten concepts: by score, proper names first, then the shorter name."""
+    p = table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc(F.col("name").rlike("^[A-Z]")), F.length("name"), "name").limit(10)
+    return p.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), F.desc(F.col("name").rlike("^[A-Z]")), F.length("name"), "name")).cast("long"))  # ten rows
+
+
+@query("result_state", f"""
+WITH {_HITS}, r AS (SELECT * FROM (SELECT *, {_TOP} AS i FROM hits WHERE score >= {FLOOR}) WHERE i <= {MOST}), a AS (SELECT b.item_id, count(r.doc_id) AS n, avg(r.score) AS m, max(r.score) AS best, count(DISTINCT source) AS sources FROM benchmark b LEFT JOIN r USING (item_id) GROUP BY 1)
+SELECT item_id, n, CASE WHEN n = 0 THEN 'empty' WHEN n < 3 THEN 'thin' WHEN m < 0.4 THEN 'irrelevant' WHEN best < 0.5 THEN 'weak' ELSE 'good' END AS state, CASE WHEN n < 3 THEN 'web' WHEN m < 0.4 OR best < 0.5 THEN 'semantic' ELSE 'none' END AS supplement, sources FROM a""")
+def result_state(spark: SparkSession, d: str) -> DataFrame:
+    """What the results of a query are worth, and what should supplement them."""
+    r = ranked(hits(spark, d).where(F.col("score") >= FLOOR), F.desc("score"), "doc_id").where(F.col("i") <= MOST).select("item_id", "doc_id", "score", "source")
+    a = table(spark, d, "benchmark").select("item_id").join(r, "item_id", "left").groupBy("item_id").agg(F.count("doc_id").alias("n"), F.avg("score").alias("m"), F.max("score").alias("best"), F.countDistinct("source").alias("sources"))
+    n, m, best = F.col("n"), F.col("m"), F.col("best")
+    return a.select("item_id", "n", F.when(n == 0, "empty").when(n < 3, "thin").when(m < 0.4, "irrelevant").when(best < 0.5, "weak").otherwise("good").alias("state"), F.when(n < 3, "web").when((m < 0.4) | (best < 0.5), "semantic").otherwise("none").alias("supplement"), "sources")
