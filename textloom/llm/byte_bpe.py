@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from textloom.llm.chunks import ChunkCache, slices
+from textloom.llm.chunks import ChunkCache, slices, turn
 from textloom.session import free_name, ship
 
 #: Bytes of a word whose places fit into 8 bits.
@@ -34,7 +34,8 @@ LONGEST_WORD = 200
 #: Bytes of longer words, and ids to decode, that one query takes (or one word or text of more).
 BYTES_A_QUERY, IDS_A_QUERY = 100_000, 500_000
 WORDS_A_QUERY = 10_000
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 300_000
+KNOWN_IDS = 150_000
 SLICE_CHARS = 3_000_000
 
 #: x and y are 256 * word + position, of a token and of the one behind it.  The smallest k of
@@ -87,7 +88,7 @@ class WordCoder:
         self.pattern = regex.compile(pattern)
         self.known = ChunkCache(self.words, KNOWN_WORDS)
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
-        self.bytes_of = ChunkCache(self._decoded, KNOWN_WORDS)
+        self.bytes_of = ChunkCache(self._decoded, KNOWN_IDS)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "150MB", "temp_directory": "", "preserve_insertion_order": False})
         pairs = np.array([(self.ranks[a], self.ranks[b], i) for t, i in self.ranks.items() for c in range(1, len(t)) if (a := t[:c]) in self.ranks and (b := t[c:]) in self.ranks], np.int64).reshape(-1, 3)
         first, second, made = pairs.T
@@ -100,6 +101,10 @@ class WordCoder:
             self.con.execute(f"CREATE TABLE {name} AS SELECT id::INTEGER AS id, {columns} FROM rows")
             self.con.unregister("rows")
 
+    def clear(self) -> None:
+        self.known.clear()
+        self.bytes_of.clear()
+
     def _run(self, query: str, name: str, rows: pa.Table) -> pa.Table:
         self.con.register(name, rows)
         try:
@@ -171,6 +176,7 @@ def _worker(path: str, pattern: str) -> WordCoder:
 def encode_texts(texts: list[str], path: str, pattern: str) -> Iterator[tuple[bytes, bytes]]:
     """Ids of each whole text, and the bytes decoded from them word by word; None counts as empty."""
     worker = _worker(path, pattern)
+    turn("words", worker.clear)
     for part in slices(texts, SLICE_CHARS):
         split = list(map(worker.pattern.findall, part))
         known = worker.known.need(chain.from_iterable(split))

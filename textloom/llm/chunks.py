@@ -18,6 +18,20 @@ def word_parts(text: str) -> list[str]:
     return _PARTS.findall(text)
 
 
+_CLEAR: dict[str, Callable[[], None]] = {}
+_NOW: list[str] = [""]
+
+
+def turn(name: str, clear: Callable[[], None]) -> None:
+    """Say that ``name``'s caches are in use in this worker: those of others, which stages before it have filled, are emptied."""
+    _CLEAR[name] = clear
+    if _NOW[0] != name:
+        for other, f in _CLEAR.items():
+            if other != name:
+                f()
+        _NOW[0] = name
+
+
 class ChunkCache:
     """What a function makes of each chunk, kept within a worker for the chunks seen of late.
 
@@ -30,6 +44,9 @@ class ChunkCache:
         self.now: dict[str, object] = {}
         self.old: dict[str, object] = {}
 
+    def clear(self) -> None:
+        self.now, self.old = {}, {}
+
     def need(self, chunks: Iterable) -> dict:
         """A dict that has at least these chunks."""
         chunks = set(chunks)

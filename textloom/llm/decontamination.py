@@ -18,7 +18,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from textloom.llm.chunks import slices
+from textloom.llm.chunks import slices, turn
 from textloom.session import free_name, ship, written
 
 #: An overlap is a stretch of so many tokens (or a whole shorter item) ...
@@ -56,7 +56,8 @@ def _ids() -> _Ids:
 def tokens(text: str | None) -> np.ndarray:
     """Hashes of a text's words (letters, digits and underscores), without case."""
     memo = _ids()
-    if len(memo) > 300_000:
+    turn("seeds", memo.clear)
+    if len(memo) > 200_000:
         memo.clear()
     return np.array([memo[w] for w in _WORD.findall((text or "").lower())], np.uint64)
 

@@ -24,6 +24,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from textloom.llm.chunks import turn
 from textloom.llm.components import components
 from textloom.session import free_name, ship, written
 
@@ -67,7 +68,8 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     if not words:
         return np.zeros(0, np.int64)
     memo = _memo()
-    if len(memo) > 300_000:
+    turn("ngrams", memo.clear)
+    if len(memo) > 200_000:
         memo.clear()
     h = np.array([memo[w] for w in words], np.uint64)
     size = np.array([len(w) for w in words], np.int64)

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from textloom.llm import perfect_hash
-from textloom.llm.chunks import ChunkCache, slices, word_parts
+from textloom.llm.chunks import ChunkCache, slices, turn, word_parts
 from textloom.session import scratch, ship, written
 
 MAGIC = b"TLIDS001"
@@ -109,6 +109,7 @@ def token_bytes(texts: list[str | None], tokenizer: str, end_id: int) -> Iterato
     an added token goes to the tokenizer whole.
     """
     cache_, dtype, whole, added = _encoder(tokenizer)
+    turn("parts", cache_.clear)
     end = np.array([end_id], dtype).tobytes()
     for part in slices(texts):
         cut = [None if added.search(t) else word_parts(t) for t in part]
