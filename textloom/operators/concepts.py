@@ -27,14 +27,16 @@ TERMS = (
 #: Confidence of each kind; each further occurrence adds 0.02, 0.1 at most.
 CONFIDENCE = {"CODE_TERM": 0.7, "MULTI_WORD": 0.85, "ACRONYM": 0.6}
 
+#: Characters of a name at most: no longer run is one.
+LONGEST = 200
 _CODE = "^(?:" + "|".join(f"(?:{p})" for p in CODE) + ")$"
 _NO = ", ".join(f"'{w}'" for w in NO_ACRONYM)
 _BASE = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in CONFIDENCE.items()) + " END"
 #: What a run of a text may not have around its assignments, calls and dotted names.
 _RUNS = "|".join(f"^(?:{p})$" for p in CODE_RUNS)
 _CONCEPTS = rf"""r AS (SELECT doc_id, unnest({_TOKENS.format('text')}) AS name FROM documents),
-k AS (SELECT doc_id, name, CASE WHEN regexp_matches(name, '{_CODE}') THEN 'CODE_TERM' WHEN regexp_matches(name, '^{ACRONYM}$') AND name NOT IN ({_NO}) THEN 'ACRONYM' END AS kind FROM r WHERE length(name) >= 3
-  UNION ALL SELECT doc_id, name, 'CODE_TERM' FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[^\p{{L}}\p{{N}}_=().]+')) AS name FROM documents) WHERE regexp_matches(name, '{_RUNS}') AND length(name) >= 3
+k AS (SELECT doc_id, name, CASE WHEN regexp_matches(name, '{_CODE}') THEN 'CODE_TERM' WHEN regexp_matches(name, '^{ACRONYM}$') AND name NOT IN ({_NO}) THEN 'ACRONYM' END AS kind FROM r WHERE length(name) BETWEEN 3 AND {LONGEST}
+  UNION ALL SELECT doc_id, name, 'CODE_TERM' FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[^\p{{L}}\p{{N}}_=().]+')) AS name FROM documents) WHERE length(name) BETWEEN 3 AND {LONGEST} AND regexp_matches(name, '{_RUNS}')
   UNION ALL SELECT doc_id, unnest(regexp_extract_all(lower(text), '{TERMS}')), 'MULTI_WORD' FROM documents),
 concepts AS (SELECT doc_id, kind, name, count(*) AS n, round({_BASE} + least(0.1, 0.02 * (count(*) - 1)), 6) AS confidence FROM k WHERE kind IS NOT NULL GROUP BY 1, 2, 3)"""
 
@@ -43,8 +45,8 @@ def concepts(spark: SparkSession, d: str) -> DataFrame:
     """``doc_id``, ``kind``, ``name``, ``n``, ``confidence``: concepts that patterns find in whole texts, each text read once."""
     t = F.col("text")
     name = lambda kind, names: F.transform(names, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
-    words = F.filter(T.tokens(t), lambda w: F.length(w) >= 3)
-    runs = F.filter(F.split(t, r"[^\p{L}\p{N}_=().]+"), lambda w: w.rlike(_RUNS) & (F.length(w) >= 3))
+    words = F.filter(T.tokens(t), lambda w: F.length(w).between(3, LONGEST))
+    runs = F.filter(F.split(t, r"[^\p{L}\p{N}_=().]+"), lambda w: F.length(w).between(3, LONGEST) & w.rlike(_RUNS))
     found = F.concat(name("CODE_TERM", F.filter(words, lambda w: w.rlike(_CODE))), name("ACRONYM", F.filter(words, lambda w: w.rlike(f"^{ACRONYM}$") & ~w.isin(*NO_ACRONYM))),
                      name("CODE_TERM", runs), name("MULTI_WORD", F.regexp_extract_all(F.lower(t), F.lit(f"({TERMS})"), F.lit(1))))
     c = table(spark, d, "documents").select("doc_id", F.explode(found).alias("c")).groupBy("doc_id", "c.kind", "c.name").agg(F.count("*").alias("n"))
@@ -153,9 +155,10 @@ def similar_by_concepts(spark: SparkSession, d: str) -> DataFrame:
     return m.where("i <= 10").select("a", "b", "shared", F.round("score", 6).alias("score"))
 
 
-#: An expansion before its acronym, and after it.
-EXPANSION_FIRST = r"([A-Z][a-z]+(?:\s+[A-Za-z]+)*)\s*\(([A-Z]{2,6})\)"
-ACRONYM_FIRST = r"([A-Z]{2,6})\s*\(([A-Z][a-z]+(?:\s+[A-Za-z]+)*)\)"
+#: An expansion (words between white space) before its acronym, and after it.  One class
+#: takes all of its words: a repeated group would need a stack as deep as a text is long.
+EXPANSION_FIRST = r"([A-Z][a-z]+(?:\s[\sA-Za-z]*[A-Za-z])?)\s*\(([A-Z]{2,6})\)"
+ACRONYM_FIRST = r"([A-Z]{2,6})\s*\(([A-Z][a-z]+(?:\s[\sA-Za-z]*[A-Za-z])?)\)"
 
 
 def acronym_pairs(docs: DataFrame, key: str = "doc_id") -> DataFrame:

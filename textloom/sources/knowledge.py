@@ -53,7 +53,7 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
     f = spark.read.text(path).where(~F.col("value").startswith("@prefix")).select(F.split("value", "\t").alias("f")).where(F.size("f") >= 3)
     obj = F.regexp_replace(F.trim(F.col("f")[2]), r"\s*\.$", "")
     literal = obj.startswith('"')
-    return f.select(F.trim(F.col("f")[0]).alias("subject"), F.trim(F.col("f")[1]).alias("predicate"), F.when(literal, F.regexp_extract(obj, r'^"((?:[^"\\]|\\.)*)"', 1)).otherwise(obj).alias("object"),
+    return f.select(F.trim(F.col("f")[0]).alias("subject"), F.trim(F.col("f")[1]).alias("predicate"), F.when(literal, F.regexp_extract(obj, r'^"((?:[^"\\]++|\\.)*+)"', 1)).otherwise(obj).alias("object"),
                     F.nullif(F.regexp_extract(obj, r'"@([A-Za-z-]+)$', 1), F.lit("")).alias("lang"))
 
 
