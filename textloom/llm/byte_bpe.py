@@ -101,10 +101,6 @@ class WordCoder:
             self.con.execute(f"CREATE TABLE {name} AS SELECT id::INTEGER AS id, {columns} FROM rows")
             self.con.unregister("rows")
 
-    def clear(self) -> None:
-        self.known.clear()
-        self.bytes_of.clear()
-
     def _run(self, query: str, name: str, rows: pa.Table) -> pa.Table:
         self.con.register(name, rows)
         try:
@@ -176,7 +172,7 @@ def _worker(path: str, pattern: str) -> WordCoder:
 def encode_texts(texts: list[str], path: str, pattern: str) -> Iterator[tuple[bytes, bytes]]:
     """Ids of each whole text, and the bytes decoded from them word by word; None counts as empty."""
     worker = _worker(path, pattern)
-    turn("words", worker.clear)
+    turn("words", _worker.cache_clear)  # the coder with its database goes, too
     for part in slices(texts, SLICE_CHARS):
         split = list(map(worker.pattern.findall, part))
         known = worker.known.need(chain.from_iterable(split))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
+
 #: A run between spaces and line ends that has any character but printable ASCII, whole;
 #: of the other runs the words, digits and punctuation.
 _PARTS = re.compile(r"[!-~]*+[^!-~ \n][^ \n]*|'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])|[A-Za-z]+|[0-9]|[!-/:-@\[-`{-~]+")
@@ -23,13 +27,23 @@ _NOW: list[str] = [""]
 
 
 def turn(name: str, clear: Callable[[], None]) -> None:
-    """Say that ``name``'s caches are in use in this worker: those of others, which stages before it have filled, are emptied."""
+    """Say that ``name``'s caches are in use in this worker: those of others, which stages before it have filled, are emptied.
+
+    A worker serves one stage after another; what it has freed goes back to the system,
+    as the executor's memory is shared with the JVM.
+    """
     _CLEAR[name] = clear
     if _NOW[0] != name:
         for other, f in _CLEAR.items():
             if other != name:
                 f()
         _NOW[0] = name
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not this C library
+            pass
 
 
 class ChunkCache:

@@ -17,6 +17,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
+from textloom.llm.chunks import turn
 from textloom.session import free_name, ship, written
 
 STATS = (
@@ -65,6 +66,7 @@ def with_stats(df: DataFrame, *, text: str = "text", into: str = "stats__") -> D
 
     @F.pandas_udf(", ".join(f"{k} double" for k in STATS))
     def stats(texts: pd.Series) -> pd.DataFrame:
+        turn("stats", int)
         return pd.DataFrame([text_stats(t) for t in texts], columns=list(STATS))
 
     return df.withColumn(into, stats(F.col(f"`{text}`")))
