@@ -93,3 +93,10 @@ def test_sinks(spark, tmp_path):
     assert rows(spark.read.schema("k int, v string").json(str(tmp_path / "j"))) == [(1, "a<b"), (2, None)] == rows(spark.read.schema("k int, v string").option("header", True).csv(str(tmp_path / "c")))
     assert rows(spark.read.text(str(tmp_path / "t"))) == [("1 | a<b",), ("2 | ",)]
     assert rows(spark.read.text(str(tmp_path / "h"))) == [('<li title="rows">1 | a&lt;b</li>',), ('<li title="rows">2 | </li>',)]
+
+
+def test_names_in_order_of_their_lines(spark, tmp_path):
+    line = lambda ts, stt, name: "|".join(["C1", "ENG", ts, "L", stt, *["x"] * 6, "MSH", "PT", "c", name, "0", "N", ""])
+    (tmp_path / "c").write_text("\n".join([line("S", "PF", "Zeta"), line("P", "PF", "Pump"), line("P", "PF", "Heart"), line("S", "VO", "Alpha"), line("S", "VO", "Zeta")]))
+    got = knowledge.preferred_names(knowledge.read_concepts(spark, str(tmp_path / "c"))).first()
+    assert (got.name, got.synonyms) == ("Pump", ["Zeta", "Heart", "Alpha"])

@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 def _fields(spark: SparkSession, path: str, least: int) -> DataFrame:
     """Lines of at least ``least`` fields between pipes; shorter lines are dropped as malformed."""
-    return spark.read.text(path).select(F.split("value", r"\|").alias("f")).where(F.size("f") >= least)
+    lines = spark.read.text(path).select(F.split("value", r"\|").alias("f"), F.monotonically_increasing_id().alias("line"))
+    return lines.where(F.size("f") >= least)
 
 
 def read_concepts(spark: SparkSession, path: str, language: str = "ENG", vocabularies: list[str] | None = None) -> DataFrame:
     """Concept names (MRCONSO): one row a line of the language and the vocabularies."""
     at = lambda i: F.col("f")[i]
-    rows = _fields(spark, path, 17).select(at(0).alias("cui"), at(1).alias("lat"), at(2).alias("ts"), at(4).alias("stt"), at(11).alias("sab"), at(14).alias("name"), at(16).alias("suppress"))
+    rows = _fields(spark, path, 17).select(at(0).alias("cui"), at(1).alias("lat"), at(2).alias("ts"), at(4).alias("stt"), at(11).alias("sab"), at(14).alias("name"), at(16).alias("suppress"), "line")
     rows = rows.where((F.col("lat") == language) & (F.col("name") != ""))
     return rows.where(F.col("sab").isin(vocabularies)) if vocabularies else rows
 
@@ -33,9 +34,10 @@ def read_definitions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def preferred_names(concepts: DataFrame) -> DataFrame:
-    """``cui``, its preferred name (the first in order of status and name) and its other names, sorted."""
-    best = F.min_by("name", F.struct((F.col("ts") != "P").cast("int"), (F.col("stt") != "PF").cast("int"), "name"))
-    g = concepts.groupBy("cui").agg(best.alias("name"), F.array_sort(F.collect_set("name")).alias("all"))
+    """``cui``, its preferred name (the first line of the best status) and its other names, each once, in order of their lines."""
+    best = F.min_by("name", F.struct((F.col("ts") != "P").cast("int"), (F.col("stt") != "PF").cast("int"), "line"))
+    names = F.transform(F.array_sort(F.collect_list(F.struct("line", "name"))), lambda x: x["name"])
+    g = concepts.groupBy("cui").agg(best.alias("name"), F.array_distinct(names).alias("all"))
     return g.select("cui", "name", F.array_except("all", F.array("name")).alias("synonyms"))
 
 
