@@ -33,6 +33,8 @@ SMALL_MAX = 24
 #: A shingle in more prefixes than this is frequent and goes behind all others in the order.
 FREQUENT = 100
 FREQUENT_MOST = 500_000
+#: Shingles that are counted at once.
+COUNTED_AT_ONCE = 1_000_000
 #: A shingle seen once in a batch counts with this weight for one of so many: else it is left out.
 SINGLE_WEIGHT = 16
 #: 64-bit words of a set's parity bits; comparisons of one block of a long list.
@@ -148,13 +150,24 @@ def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     in the corpus is found too.
     """
 
+    def counted(sets: list[np.ndarray]) -> pd.DataFrame:
+        toks, counts = np.unique(np.concatenate(sets), return_counts=True)
+        once = toks[counts == 1].view(np.uint64)
+        drawn = (((once ^ once.sum(dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(SINGLE_WEIGHT) == 0
+        counts[counts == 1] = drawn * SINGLE_WEIGHT
+        return pd.DataFrame({"tok": toks[counts > 0], "c": counts[counts > 0]})
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            toks, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *(shingles(t, n) for t in part["text"])]), return_counts=True)
-            batch = toks.astype(np.uint64).sum(dtype=np.uint64)
-            drawn = (((toks.astype(np.uint64) ^ batch) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(SINGLE_WEIGHT) == 0
-            counts = np.where(counts > 1, counts, drawn * SINGLE_WEIGHT)
-            yield pd.DataFrame({"tok": toks[counts > 0], "c": counts[counts > 0]})
+            held, size = [], 0
+            for t in part["text"]:
+                held.append(shingles(t, n))
+                size += len(held[-1])
+                if size >= COUNTED_AT_ONCE:
+                    yield counted(held)
+                    held, size = [], 0
+            if size:
+                yield counted(held)
 
     seen = docs.select("text").mapInPandas(run, "tok long, c long").groupBy("tok").agg(F.sum("c").alias("c")).where(F.col("c") > FREQUENT)
     found = np.array([r[0] for r in seen.orderBy(F.desc("c"), "tok").limit(FREQUENT_MOST).collect()], np.int64)
@@ -195,7 +208,7 @@ def _scan(docs: DataFrame, n: int, percent: int) -> DataFrame:
         rows = []
         for t in texts:
             s = shingles(t, n)
-            rows.append((len(s), hashlib.md5(s.tobytes(), usedforsecurity=False).digest(), ordered(s, held.value)[:max(SMALL_MAX, prefix_length(len(s), percent))], signature(s)))
+            rows.append((len(s), hashlib.md5(s.tobytes(), usedforsecurity=False).digest(), ordered(s, held.value)[:max(SMALL_MAX, prefix_length(len(s), percent))].copy(), signature(s)))
         return pd.DataFrame(rows, columns=["n", "fp", "head", "sig"])
 
     return docs.select("doc_id", scan("text").alias("s")).select("doc_id", "s.n", "s.fp", "s.head", "s.sig")
