@@ -32,11 +32,11 @@ from textloom.session import free_name, ship
 #: Bytes of a word whose places fit into 8 bits.
 LONGEST_WORD = 200
 #: Bytes of longer words, and ids to decode, that one query takes (or one word or text of more).
-BYTES_A_QUERY, IDS_A_QUERY = 100_000, 500_000
+BYTES_A_QUERY, IDS_A_QUERY = 100_000, 100_000
 WORDS_A_QUERY = 10_000
-KNOWN_WORDS = 300_000
-KNOWN_IDS = 150_000
-SLICE_CHARS = 3_000_000
+KNOWN_WORDS = 200_000
+KNOWN_IDS = 60_000
+SLICE_CHARS = 2_000_000
 
 #: x and y are 256 * word + position, of a token and of the one behind it.  The smallest k of
 #: a word names its pair: rank of the merge, both positions and the one behind, 8 bits each.
