@@ -16,9 +16,11 @@ from textloom.llm.license_scan import license_table
 from textloom.llm.merkle import manifest_table
 from textloom.llm.ngram_join import jaccard_components
 from textloom.llm.quality_rules import quality_table
+from textloom.llm.runs import runs_table
 from textloom.llm.secret_scan import secret_digest
 from textloom.llm.sharding import shard_table
 from textloom.llm.token_files import token_table
+from textloom.llm.topk_search import nearest_table
 from textloom.session import table
 
 
@@ -77,10 +79,21 @@ def op11_numpy_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest_table(table(spark, sf_dir, "documents"))
 
 
+def op12_lpf_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words in every text of ``documents``, and the texts without what repeats; see ``runs_table``."""
+    return runs_table(table(spark, sf_dir, "documents"))
+
+
+def op13_uniform_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all rows of ``embeddings`` for each of its queries; see ``nearest_table``."""
+    return nearest_table(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_chat_role_repair, op2_automaton_secrets, op3_feistel_sharding, op4_perfect_hash_tokens, op5_rule_quality, op6_spaced_seed_decontamination,
-        op7_heavy_light_jaccard, op8_duckdb_byte_bpe, op9_compression_licenses, op10_bloom_exact_dedup, op11_numpy_merkle,
+        op7_heavy_light_jaccard, op8_duckdb_byte_bpe, op9_compression_licenses, op10_bloom_exact_dedup, op11_numpy_merkle, op12_lpf_runs,
+        op13_uniform_threshold_topk,
     )
     return {f.__name__: f for f in ops}
 
@@ -132,4 +145,12 @@ ends AS (SELECT r, arg_max(h, k) AS folded_root FROM folds GROUP BY r),
 proofs AS (SELECT l.r, sha256(coalesce(string_agg(before || after, '' ORDER BY k), '')) AS proof_sha256 FROM leaves l LEFT JOIN steps s ON s.r = l.r GROUP BY l.r)
 SELECT l.doc_id, l.leaf, s.digest AS subroot, (SELECT digest FROM crown WHERE n = 1) AS root, p.proof_sha256, e.folded_root, e.folded_root = (SELECT digest FROM crown WHERE n = 1) AS verified
 FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang JOIN proofs p ON p.r = l.r JOIN ends e ON e.r = l.r""",
+        "op13_uniform_threshold_topk": r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND list_count(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     }
