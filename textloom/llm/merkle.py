@@ -30,6 +30,7 @@ HEX = 64
 LEVELS = 4
 #: Groups (languages, for instance) whose first rows and sizes go to every task; of more they are joined by a shuffle.
 MOST_BROADCAST = 100_000
+RESULTS = ("index", "subroot", "root", "proof")
 PROOF = "array<struct<before:string,after:string>>"
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -166,7 +167,7 @@ def manifest(df: DataFrame, *, key: str, group: str, digest: str, levels: int =
     """
     spark = df.sparkSession
     ship(spark)
-    names = {c: f"c{k}__" for k, c in enumerate(c for c in df.columns if c.lower() not in ("index", "subroot", "root", "proof") or c in (key, group, digest))}
+    names = {c: f"c{k}__" for k, c in enumerate(c for c in df.columns if c.lower() not in RESULTS or c in (key, group, digest))}
     plain = written(df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), "leaves")
     k, g, d = names[key], names[group], names[digest]
     rows = numbered(plain, [g, k, d], "row__")
@@ -195,7 +196,7 @@ def manifest(df: DataFrame, *, key: str, group: str, digest: str, levels: int =
 
 
 def _named(rows: DataFrame, names: dict[str, str], index: Column, subroot: Column, root: Column, proof: Column) -> DataFrame:
-    return rows.select(*[F.col(n).alias(c) for c, n in names.items()], index.alias("index"), subroot.alias("subroot"), root.alias("root"), proof.alias("proof"))
+    return rows.select(*[F.col(n).alias(c) for c, n in names.items() if c.lower() not in RESULTS], index.alias("index"), subroot.alias("subroot"), root.alias("root"), proof.alias("proof"))
 
 
 def tampered(text: Column) -> Column:
