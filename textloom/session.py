@@ -11,6 +11,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch between the JVM and Python; every task holds a few of them, and texts may be long.
+BATCH_KEY, BATCH_DEFAULT, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
 _SHIPPED: set[str] = set()
 _LOCAL: dict[str, str] = {}
 _SCOPES: list[list[str]] = []
@@ -22,7 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, as ``--py-files`` would."""
+    """Send this package to the executors once per application, as ``--py-files`` would.
+
+    Arrow batches are made smaller where their size is still Spark's default.
+    """
+    if spark.conf.get(BATCH_KEY, None) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
