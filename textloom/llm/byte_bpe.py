@@ -6,16 +6,19 @@ word's leftmost pair of the smallest rank until no pair is left; an ordered
 aggregation over the surviving rows gives the ids.  Decoding knows ids only: they are
 joined with the vocabulary and put together by another ordered aggregation.
 
-Words of up to 200 bytes, nearly all, keep word and place in one number.  Longer ones
-have a recursion of their own, which contracts all places of a word's smallest rank in
-one round where that can't matter, and holds one row for each byte.
+A long word is cut into overlapping windows, which are words of the same query.  Two
+windows are put together at a token that both have at the same place.  A sequence of
+tokens is a word's encoding if each two neighbours are the encoding of their own bytes:
+the first merge that crossed a border between tokens would cross it there, too.  Here
+all neighbours come from one window's encoding, so the whole is exact, and its cost
+grows with the word's length.  Windows that share no token are widened.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 from itertools import chain
 
@@ -29,14 +32,14 @@ from pyspark.sql import DataFrame, functions as F
 from textloom.llm.chunks import ChunkCache, slices, turn
 from textloom.session import free_name, ship
 
-#: Bytes of a word whose places fit into 8 bits.
-LONGEST_WORD = 200
-#: Bytes of longer words, and ids to decode, that one query takes (or one word or text of more).
-BYTES_A_QUERY, IDS_A_QUERY = 100_000, 100_000
-WORDS_A_QUERY = 10_000
-KNOWN_WORDS = 200_000
-KNOWN_IDS = 60_000
-SLICE_CHARS = 2_000_000
+#: Bytes of a word that is taken whole; longer ones become windows of so many bytes, a step apart.
+WINDOW, STEP = 64, 32
+#: Rows of all rounds, and words, that one query has at most; ids that one query decodes.
+ROWS_A_QUERY, WORDS_A_QUERY, IDS_A_QUERY = 1_000_000, 5_000, 50_000
+KNOWN_WORDS = 100_000
+KNOWN_IDS = 40_000
+SLICE_CHARS = 1_000_000
+DATABASE = "80MB"
 
 #: x and y are 256 * word + position, of a token and of the one behind it.  The smallest k of
 #: a word names its pair: rank of the merge, both positions and the one behind, 8 bits each.
@@ -55,23 +58,17 @@ FROM step s JOIN last l ON s.x >> 8 = l.w AND s.round = l.round JOIN vocab v ON
 GROUP BY l.w ORDER BY l.w
 """
 
-#: x and y are places in all words; a row is replaced by its key, and a token that was
-#: merged into the one before it has t = -1.  Of places that overlap in a chain every
-#: second one is left out; a token that some pair of a smaller rank may take up at once
-#: is merged at one place a round.
-_ENCODE_LONG = """
-WITH RECURSIVE step(x, w, y, t) USING KEY (x) AS (
-  SELECT x::BIGINT, w::BIGINT, (x + 1)::BIGINT, t::BIGINT FROM bytes
+#: The same for one wide window, of which only the last state is kept: a row is replaced by
+#: its place, and a token that was merged into the one before it has t = -1.
+_ENCODE_WIDE = """
+WITH RECURSIVE step(x, y, t) USING KEY (x) AS (
+  SELECT x::BIGINT, (x + 1)::BIGINT, t::BIGINT FROM bytes
   UNION
   (WITH live AS (SELECT * FROM recurring.step WHERE t >= 0),
-   found AS (SELECT a.w, a.x, b.x AS mid, b.y AS past, m.id, m.alone FROM live a JOIN live b ON a.y = b.x AND a.w = b.w JOIN merges m ON m.pair = (a.t << 32) + b.t),
-   best AS (SELECT w, min(id) AS id, min_by(x, (id::BIGINT << 32) + x) AS x FROM found GROUP BY w),
-   mine AS (SELECT f.* FROM found f JOIN best ON f.w = best.w AND f.id = best.id WHERE NOT f.alone OR f.x = best.x),
-   chain AS (SELECT *, lag(mid) OVER (PARTITION BY w ORDER BY x) IS DISTINCT FROM x AS fresh FROM mine),
-   run AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY w ORDER BY x) AS r FROM chain),
-   placed AS (SELECT *, row_number() OVER (PARTITION BY w, r ORDER BY x) % 2 = 1 AS taken FROM run)
-   SELECT x, w, past, id FROM placed WHERE taken UNION ALL SELECT mid, w, past, -1 FROM placed WHERE taken))
-SELECT w, string_agg(v.id_hex, '' ORDER BY x) AS ids FROM step JOIN vocab v ON v.id = t GROUP BY w ORDER BY w
+   best AS (
+     SELECT a.x, b.x AS mid, b.y AS past, m.id FROM live a JOIN live b ON a.y = b.x JOIN merges m ON m.pair = (a.t << 32) + b.t ORDER BY m.id, a.x LIMIT 1)
+   SELECT x, past, id FROM best UNION ALL SELECT mid, past, -1 FROM best))
+SELECT string_agg(v.id_hex, '' ORDER BY x) AS ids FROM step JOIN vocab v ON v.id = t
 """
 
 _DECODE = """
@@ -88,15 +85,14 @@ class WordCoder:
         self.pattern = regex.compile(pattern)
         self.known = ChunkCache(self.words, KNOWN_WORDS)
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
+        self.size = np.zeros(max(self.ranks.values()) + 1, np.int64)
+        self.size[list(self.ranks.values())] = list(map(len, self.ranks))
         self.bytes_of = ChunkCache(self._decoded, KNOWN_IDS)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "150MB", "temp_directory": "", "preserve_insertion_order": False})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": DATABASE, "temp_directory": "", "preserve_insertion_order": False})
         pairs = np.array([(self.ranks[a], self.ranks[b], i) for t, i in self.ranks.items() for c in range(1, len(t)) if (a := t[:c]) in self.ranks and (b := t[c:]) in self.ranks], np.int64).reshape(-1, 3)
-        first, second, made = pairs.T
-        # tokens that a pair of a smaller rank takes up
-        alone = np.isin(made, np.concatenate([first[made < first], second[made < second]]))
         known = pa.table({"id": pa.array(self.ranks.values(), pa.int64()), "hex": [t.hex() for t in self.ranks], "id_hex": [i.to_bytes(4, "little").hex() for i in self.ranks.values()]})
-        merges = pa.table({"pair": (first << 32) + second, "id": made, "alone": alone})
-        for name, rows, columns in (("merges", merges, "pair, alone"), ("vocab", known, "hex, id_hex")):
+        merges = pa.table({"pair": (pairs[:, 0] << 32) + pairs[:, 1], "id": pairs[:, 2]})
+        for name, rows, columns in (("merges", merges, "pair"), ("vocab", known, "hex, id_hex")):
             self.con.register("rows", rows)
             self.con.execute(f"CREATE TABLE {name} AS SELECT id::INTEGER AS id, {columns} FROM rows")
             self.con.unregister("rows")
@@ -111,55 +107,117 @@ class WordCoder:
     def words(self, words: list[str]) -> list[bytes]:
         """Ids (little-endian, 32 bits each) of each word."""
         words = list(map(str.encode, words))
+        out = self._whole({w for w in words if len(w) <= WINDOW})
+        for w in words:
+            if w not in out:
+                out[w] = self._long(w)
+        return [out[w] for w in words]
+
+    def _whole(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
+        """Ids of words of at most ``WINDOW`` bytes."""
         out: dict[bytes, bytes] = {}
-        short, long = [], []
+        todo = []
         for w in words:
             if (i := self.ranks.get(w)) is not None:  # a word that is a token is that token
                 out[w] = i.to_bytes(4, "little")
             else:
-                (short if len(w) <= LONGEST_WORD else long).append(w)
-        for k in range(0, len(short), WORDS_A_QUERY):
-            part = short[k:k + WORDS_A_QUERY]
-            word, place, ids = self._bytes(part)
-            got = self._run(_ENCODE, "bytes", pa.table({"x": (word << 8) + place, "t": ids}))
-            out.update(zip(part, map(bytes.fromhex, got["ids"].to_pylist())))
-        for part in _portions(long, BYTES_A_QUERY):
-            word, _, ids = self._bytes(part)
-            # a gap of one place between words
-            got = self._run(_ENCODE_LONG, "bytes", pa.table({"x": np.arange(len(ids)) + word, "w": word, "t": ids}))
+                todo.append(w)
+        todo.sort(key=len)
+        for part in _portions(todo, ROWS_A_QUERY, lambda w: max(len(w) * (len(w) + 1) // 2, ROWS_A_QUERY // WORDS_A_QUERY)):
+            lengths = np.array([len(w) for w in part])
+            word = np.repeat(np.arange(len(part)), lengths)
+            place = np.arange(len(word)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            got = self._run(_ENCODE, "bytes", pa.table({"x": (word << 8) + place, "t": self.byte_ids[np.frombuffer(b"".join(part), np.uint8)]}))
             out.update(zip(part, map(bytes.fromhex, got["ids"].to_pylist())))
-        return [out[w] for w in words]
+        return out
 
-    def _bytes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word, place in it and id of every byte."""
-        lengths = np.array([len(w) for w in words])
-        first = np.repeat(np.cumsum(lengths) - lengths, lengths)
-        return np.repeat(np.arange(len(words)), lengths), np.arange(lengths.sum()) - first, self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+    def _wide(self, window: bytes) -> bytes:
+        """Ids of a window of any size."""
+        rows = pa.table({"x": np.arange(len(window)), "t": self.byte_ids[np.frombuffer(window, np.uint8)]})
+        return bytes.fromhex(self._run(_ENCODE_WIDE, "bytes", rows)["ids"][0].as_py())
+
+    def _tokens(self, ids: bytes, start: int) -> list[tuple[int, int]]:
+        """Place and id of each token of a window that begins at ``start``."""
+        ids = np.frombuffer(ids, "<u4")
+        size = self.size[ids]
+        return list(zip((np.cumsum(size) - size + start).tolist(), ids.tolist()))
+
+    def _long(self, word: bytes) -> bytes:
+        """Ids of a word of more than ``WINDOW`` bytes, from windows put together at tokens that they share."""
+        starts = range(0, len(word) - WINDOW + STEP, STEP)
+        coded = self._whole({word[s : s + WINDOW] for s in starts})
+        wide: dict[bytes, bytes] = {}  # a word that repeats itself has few different windows
+        out, now, k = [], self._tokens(coded[word[:WINDOW]], 0), 1
+        while k < len(starts):
+            s = starts[k]
+            if (joined := _joined(now, self._tokens(coded[word[s : s + WINDOW]], s), k + 1 == len(starts))) is not None:
+                done, now = joined
+                out += done
+                k += 1
+                continue
+            # no token in common: a wider window from the middle of what is known
+            first, size = now[len(now) // 2][0], WINDOW
+            while True:
+                size *= 4
+                window = word[first : first + size]
+                if window not in wide:
+                    wide[window] = self._wide(window)
+                last = first + size >= len(word)
+                joined = _joined(now, self._tokens(wide[window], first), last)
+                if joined is not None and (last or joined[1][-1][0] > s + STEP):
+                    break
+                if last:
+                    return self._wide(word)
+            done, now = joined
+            out += done
+            k = len(starts) if last else max(k, (now[-1][0] - STEP) // STEP)
+        return np.array([i for _, i in out + now], "<u4").tobytes()
 
     def decode(self, sequences: list[np.ndarray | None]) -> list[bytes | None]:
         """Bytes of each sequence of ids; None where it is None or has an id that isn't in the vocabulary."""
-        out: list[bytes | None] = [None if s is None else b"" for s in sequences]
-        for part in _portions([k for k, s in enumerate(sequences) if s is not None and len(s)], IDS_A_QUERY, lambda k: len(sequences[k])):
-            lengths = np.array([len(sequences[k]) for k in part])
-            ids = np.concatenate([np.asarray(sequences[k], np.int64) for k in part])
-            got = self._run(_DECODE, "pieces", pa.table({"d": np.repeat(np.arange(len(part)), lengths), "p": np.arange(len(ids)), "id": ids}))
-            for k, text, known in zip(part, got["decoded"].to_pylist(), got["known"].to_pylist()):
-                out[k] = bytes.fromhex(text) if known else None
-        return out
+        cut = [(k, s[i : i + IDS_A_QUERY]) for k, s in enumerate(sequences) if s is not None for i in range(0, len(s), IDS_A_QUERY)]
+        out: list[list[bytes] | None] = [None if s is None else [] for s in sequences]
+        for part in _portions(cut, IDS_A_QUERY, lambda p: len(p[1])):
+            ids = np.concatenate([np.asarray(p[1], np.int64) for p in part])
+            got = self._run(_DECODE, "pieces", pa.table({"d": np.repeat(np.arange(len(part)), [len(p[1]) for p in part]), "p": np.arange(len(ids)), "id": ids}))
+            for (k, _), text, known in zip(part, got["decoded"].to_pylist(), got["known"].to_pylist()):
+                if not known:
+                    out[k] = None
+                elif out[k] is not None:
+                    out[k].append(bytes.fromhex(text))
+        return [None if x is None else b"".join(x) for x in out]
 
     def _decoded(self, ids: list[bytes]) -> list[bytes]:
         return self.decode([np.frombuffer(i, "<u4") for i in ids])
 
+    def coded(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
+        """Ids of each whole text, and the bytes decoded from them word by word."""
+        split = list(map(self.pattern.findall, texts))
+        known = self.known.need(w for w in chain.from_iterable(split) if len(w) <= WINDOW)
+        back = self.bytes_of.need(known[w] for w in chain.from_iterable(split) if len(w) <= WINDOW)
+        for words in split:  # long words aren't kept
+            ids = [known[w] if len(w) <= WINDOW else self.words([w])[0] for w in words]
+            yield b"".join(ids), b"".join(back[i] if len(w) <= WINDOW else self._decoded([i])[0] for w, i in zip(words, ids))
 
-def _portions(items: list, limit: int, size: Callable = len) -> Iterator[list]:
-    """Runs of items of about ``limit`` in all."""
+
+def _joined(now: list[tuple[int, int]], then: list[tuple[int, int]], last: bool) -> tuple[list[tuple[int, int]], list[tuple[int, int]]] | None:
+    """Two windows' tokens put together at the first that they share: what comes up to it, and what is behind it in the second."""
+    place = {token: i for i, token in enumerate(now)}
+    for j, token in enumerate(then):
+        if (i := place.get(token)) is not None and (last or j + 1 < len(then)):
+            return now[: i + 1], then[j + 1 :]
+    return None
+
+
+def _portions(items: list, limit: int, size: Callable) -> Iterator[list]:
+    """Runs of items of at most ``limit`` in all (or one item of more)."""
     held, n = [], 0
     for x in items:
-        held.append(x)
-        n += size(x)
-        if n >= limit:
+        if held and n + size(x) > limit:
             yield held
             held, n = [], 0
+        held.append(x)
+        n += size(x)
     if held:
         yield held
 
@@ -174,12 +232,7 @@ def encode_texts(texts: list[str], path: str, pattern: str) -> Iterator[tuple[by
     worker = _worker(path, pattern)
     turn("words", _worker.cache_clear)  # the coder with its database goes, too
     for part in slices(texts, SLICE_CHARS):
-        split = list(map(worker.pattern.findall, part))
-        known = worker.known.need(chain.from_iterable(split))
-        coded = [list(map(known.__getitem__, words)) for words in split]
-        back = worker.bytes_of.need(chain.from_iterable(coded))
-        for ids in coded:
-            yield b"".join(ids), b"".join(map(back.__getitem__, ids))
+        yield from worker.coded(part)
 
 
 def encode(df: DataFrame, *, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
