@@ -28,7 +28,7 @@ def ship(spark: SparkSession) -> None:
 
     Arrow batches are made smaller where their size is still Spark's default.
     """
-    if spark.conf.get(BATCH_KEY, None) == BATCH_DEFAULT:
+    if spark.conf.get(BATCH_KEY) == BATCH_DEFAULT:
         spark.conf.set(BATCH_KEY, BATCH)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
