@@ -278,3 +278,17 @@ def test_chunk_boundaries_over_a_table(spark, tmp_path):
     spark.createDataFrame([(1, "a b. " * 400), (None, None), ((1 << 60) + 1, "short")], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     got = registry.queries()["chunk_boundaries"](spark, str(tmp_path)).collect()
     assert sum(r.n_words for r in got if r.doc_id == 1) == 800 and [(r.chunk, r.n_words) for r in got if r.doc_id == (1 << 60) + 1] == [(0, 1)] and len({r.doc_id for r in got}) == 2
+
+
+def test_folds_lose_no_row_and_change_no_number(spark):
+    from textloom.operators.signals import sent_alerts
+    from textloom.operators.timelines import rate_limited
+
+    big = (1 << 60) + 1
+    rows = [(7, None, big), (7, 0, None), (7, 5, big + 2), (7, 100, big + 3), (7, 109, big + 4), (None, 3, big + 5), (big, big, 1), (big, None, None)]
+    df = spark.createDataFrame(rows, "k long, t long, id long").coalesce(1)
+    sent = sent_alerts(df, "k", "t", "id", 10).collect()
+    assert sorted(map(tuple, sent), key=str) == sorted([(7, 0, None), (7, 100, big + 3), (7, None, big), (None, 3, big + 5), (big, big, 1), (big, None, None)], key=str)
+    told = {(r.k, r.t, r.id): r.reason for r in rate_limited(df, "k", "t", "id", (2, 1), (5, 1)).collect()}
+    assert set(told) == set(rows)
+    assert told[7, 0, None] == told[7, 5, big + 2] == "ok" and told[7, 100, big + 3] == told[7, 109, big + 4] == "limit" and told[7, None, big] is None and told[big, big, 1] == "ok"

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions import text as T
+from textloom.functions.folds import fold
 from textloom.plans.registry import query
 from textloom.session import table, written
 
@@ -108,23 +109,24 @@ def alert_cooldown(spark: SparkSession, d: str) -> DataFrame:
 def sent_alerts(df: DataFrame, key: str, at: str, id_: str, cooldown: int) -> DataFrame:
     """Rows, in order of ``at`` and ``id_`` per key, that come ``cooldown`` or more after the last such row.
 
-    What was sent last decides, so this is a fold: sorted rows stream through one small
-    state.  Keys are numbered, so a null key is a key of its own.
+    What was sent last decides, so this is a fold; a null key is a key of its own.  A row
+    without a time can't be told to be within a cooldown: it is sent, and starts none.
     """
 
-    def fold(parts):
-        last, sent = None, 0
-        for part in parts:
-            keep = []
-            for k, t in zip(part["k__"], part[at]):
-                keep.append(k != last or t - sent >= cooldown)
-                if keep[-1]:
-                    last, sent = k, t
-            yield part.loc[keep, [id_]]
-
-    slim = df.select(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("\0"))).alias("k__"), at, id_)
-    kept = slim.repartition("k__").sortWithinPartitions("k__", at, id_).mapInPandas(fold, f"{id_} {dict(df.dtypes)[id_]}")
-    return df.join(kept, id_, "left_semi")
+    def start():
+        sent = None
+
+        def step(t):
+            nonlocal sent
+            if sent is not None and t - sent < cooldown:
+                return False
+            sent = t
+            return True
+
+        return step
+
+    told = fold(df, key, [at, id_], [at], start, "sent__ boolean")
+    return told.where(F.coalesce("sent__", F.lit(True))).drop("sent__")
 
 
 @query("cache_hit_rates", """

@@ -7,6 +7,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
+from textloom.functions.folds import fold
 from textloom.functions.running import running
 from textloom.plans.registry import query
 from textloom.session import table, written
@@ -137,26 +138,26 @@ def rate_limit_window(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rate_limited(df: DataFrame, key: str, at: str, id_: str, limit: tuple[int, int], burst: tuple[int, int]) -> DataFrame:
-    """``df`` with ``reason``: ok, limit or burst.  The state of a key is the times of at most ``limit[0]`` calls that passed."""
-
-    def fold(parts):
-        last, past = None, deque()
-        for part in parts:
-            out = []
-            for k, t in zip(part["k__"].tolist(), part[at].tolist()):
-                if k != last:
-                    last, past = k, deque()
-                while past and past[0] <= t - limit[1] * 1_000_000:
-                    past.popleft()
-                near = sum(x > t - burst[1] * 1_000_000 for x in past)
-                out.append("limit" if len(past) >= limit[0] else "burst" if near >= burst[0] else "ok")
-                if out[-1] == "ok":
-                    past.append(t)
-            yield part[[id_]].assign(reason=out)
-
-    slim = df.select(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("\0"))).alias("k__"), at, id_)
-    told = slim.repartition("k__").sortWithinPartitions("k__", at, id_).mapInPandas(fold, f"{id_} {dict(df.dtypes)[id_]}, reason string")
-    return df.join(told, id_)
+    """``df`` with ``reason``: ok, limit or burst.  The state of a key is the times of at most ``limit[0]`` calls that passed.
+
+    A call without a time passes by no rule and counts in no window: its reason is null.
+    """
+
+    def start():
+        past = deque()
+
+        def step(t):
+            while past and past[0] <= t - limit[1] * 1_000_000:
+                past.popleft()
+            near = sum(x > t - burst[1] * 1_000_000 for x in past)
+            reason = "limit" if len(past) >= limit[0] else "burst" if near >= burst[0] else "ok"
+            if reason == "ok":
+                past.append(t)
+            return reason
+
+        return step
+
+    return fold(df, key, [at, id_], [at], start, "reason string")
 
 
 @query("alert_correlation", """
