@@ -20,7 +20,6 @@ import base64
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
-from itertools import chain
 
 import duckdb
 import numpy as np
@@ -35,10 +34,10 @@ from textloom.session import free_name, ship
 #: Bytes of a word that is taken whole; longer ones become windows of so many bytes, a step apart.
 WINDOW, STEP = 64, 32
 #: Rows of all rounds, and words, that one query has at most; ids that one query decodes.
-ROWS_A_QUERY, WORDS_A_QUERY, IDS_A_QUERY = 1_000_000, 5_000, 50_000
-KNOWN_WORDS = 100_000
-KNOWN_IDS = 40_000
-SLICE_CHARS = 1_000_000
+ROWS_A_QUERY, WORDS_A_QUERY, IDS_A_QUERY = 1_000_000, 10_000, 50_000
+KNOWN_WORDS = 300_000
+KNOWN_IDS = 200_000
+SLICE_CHARS = 2_000_000
 DATABASE = "80MB"
 
 #: x and y are 256 * word + position, of a token and of the one behind it.  The smallest k of
@@ -187,17 +186,32 @@ class WordCoder:
                     out[k].append(bytes.fromhex(text))
         return [None if x is None else b"".join(x) for x in out]
 
-    def _decoded(self, ids: list[bytes]) -> list[bytes]:
-        return self.decode([np.frombuffer(i, "<u4") for i in ids])
+    def _decoded(self, words: list[bytes]) -> list[bytes]:
+        """Bytes of the ids of whole words."""
+        out: list[bytes] = []
+        for part in _portions(words, 4 * IDS_A_QUERY, len):
+            if len(part) == 1:  # perhaps a long one
+                out += self.decode([np.frombuffer(part[0], "<u4")])
+                continue
+            ids = np.frombuffer(b"".join(part), "<u4")
+            got = self._run(_DECODE, "pieces", pa.table({"d": np.repeat(np.arange(len(part)), np.fromiter(map(len, part), np.int64, len(part)) // 4), "p": np.arange(len(ids)), "id": ids}))
+            out += map(bytes.fromhex, got["decoded"].to_pylist())
+        return out
 
     def coded(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """Ids of each whole text, and the bytes decoded from them word by word."""
         split = list(map(self.pattern.findall, texts))
-        known = self.known.need(w for w in chain.from_iterable(split) if len(w) <= WINDOW)
-        back = self.bytes_of.need(known[w] for w in chain.from_iterable(split) if len(w) <= WINDOW)
-        for words in split:  # long words aren't kept
-            ids = [known[w] if len(w) <= WINDOW else self.words([w])[0] for w in words]
-            yield b"".join(ids), b"".join(back[i] if len(w) <= WINDOW else self._decoded([i])[0] for w, i in zip(words, ids))
+        distinct = set().union(*split)
+        long = {w for w in distinct if len(w) > WINDOW}  # those aren't kept
+        known = self.known.need(distinct - long)
+        back = self.bytes_of.need(map(known.__getitem__, distinct - long))
+        for words in split:
+            if long and not long.isdisjoint(words):
+                ids = [known[w] if w not in long else self._long(w.encode()) for w in words]
+                yield b"".join(ids), b"".join(back[i] if w not in long else self._decoded([i])[0] for w, i in zip(words, ids))
+            else:
+                ids = list(map(known.__getitem__, words))
+                yield b"".join(ids), b"".join(map(back.__getitem__, ids))
 
 
 def _joined(now: list[tuple[int, int]], then: list[tuple[int, int]], last: bool) -> tuple[list[tuple[int, int]], list[tuple[int, int]]] | None:
