@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
 from textloom.operators import answers, boundaries, chunking, concepts, enrichment, gaps, graphs, keyword_index, monitor, networks, reports, retrieval, signals, texts, timelines, tuning  # noqa: F401
-from textloom.streaming import events  # noqa: F401
+from textloom.streaming import events, states  # noqa: F401
