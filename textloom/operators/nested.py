@@ -220,10 +220,10 @@ def _answers(text: Column) -> Column:
 @query("rationale_grounding", r"""
 WITH q AS (SELECT doc_id, text, regexp_extract(text, '[A-Za-z ]{12,}', 0) AS q, 'unheard of ' || substring(regexp_replace(text, '[^A-Za-z0-9 ]', ' ', 'g'), 1, 20) AS o FROM documents)
 SELECT doc_id, CASE WHEN trim(q) <> '' THEN 'exact' ELSE '' END || CASE WHEN contains(lower(text), lower(o)) THEN '|other' ELSE '' END AS names,
-  CASE WHEN trim(q) <> '' THEN position(lower(q) IN lower(text)) - 1 + length(q) END AS stretch_end FROM q""")
+  CASE WHEN trim(q) <> '' THEN position(lower(q) IN lower(text)) - 1 + length(q) ELSE -1 END AS stretch_end FROM q""")
 def rationale_grounding(spark: SparkSession, d: str) -> DataFrame:
     """Concepts of a model's answer to each document that their quotes bear out."""
     docs = table(spark, d, "documents").select("doc_id", "text", _answers(F.col("text")).alias("answer"))
     g = grounded(docs, "answer", "text")
     first = F.filter("concepts", lambda c: c["name"] == "exact")
-    return g.select("doc_id", F.array_join(F.transform("concepts", lambda c: c["name"]), "|").alias("names"), F.get(first, 0)["end"].cast("long").alias("stretch_end"))
+    return g.select("doc_id", F.array_join(F.transform("concepts", lambda c: c["name"]), "|").alias("names"), F.coalesce(F.get(first, 0)["end"].cast("long"), F.lit(-1).cast("long")).alias("stretch_end"))
