@@ -385,7 +385,7 @@ def test_bpe_of_long_words(reference_bpe):
         assert np.frombuffer(ids, "<u4").tolist() == reference_bpe._encode_single_piece(w)
 
 
-def test_both_recursions_agree_on_any_vocabulary(tmp_path, monkeypatch):
+def test_windows_agree_on_any_vocabulary(tmp_path, monkeypatch):
     rnd = random.Random(13)
     for case in range(6):
         tokens = {bytes([i]) for i in range(256)}
@@ -395,10 +395,11 @@ def test_both_recursions_agree_on_any_vocabulary(tmp_path, monkeypatch):
         (path := tmp_path / f"{case}.tiktoken").write_text("".join(f"{base64.b64encode(t).decode()} {i}\n" for i, t in enumerate(order)))
         enc = tiktoken.Encoding("x", pat_str="(?s:.+)", mergeable_ranks={t: i for i, t in enumerate(order)}, special_tokens={})
         words = ["".join(rnd.choice("abc") for _ in range(rnd.randint(1, 60))) for _ in range(60)]
-        for longest in (200, 0):
-            monkeypatch.setattr(byte_bpe, "LONGEST_WORD", longest)
+        for window, step in ((64, 32), (16, 8), (6, 3)):
+            monkeypatch.setattr(byte_bpe, "WINDOW", window)
+            monkeypatch.setattr(byte_bpe, "STEP", step)
             for w, ids in zip(words, byte_bpe.WordCoder(str(path), "(?s:.+)").words(words)):
-                assert np.frombuffer(ids, "<u4").tolist() == enc.encode_ordinary(w), (longest, w)
+                assert np.frombuffer(ids, "<u4").tolist() == enc.encode_ordinary(w), (window, w)
 
 
 def test_large_vocabulary(tmp_path):

@@ -35,8 +35,8 @@ from textloom.session import free_name, ship
 WINDOW, STEP = 64, 32
 #: Rows of all rounds, and words, that one query has at most; ids that one query decodes.
 ROWS_A_QUERY, WORDS_A_QUERY, IDS_A_QUERY = 1_000_000, 10_000, 50_000
-KNOWN_WORDS = 300_000
-KNOWN_IDS = 200_000
+KNOWN_WORDS = 150_000
+KNOWN_IDS = 100_000
 SLICE_CHARS = 2_000_000
 DATABASE = "80MB"
 
@@ -106,22 +106,19 @@ class WordCoder:
     def words(self, words: list[str]) -> list[bytes]:
         """Ids (little-endian, 32 bits each) of each word."""
         words = list(map(str.encode, words))
-        out = self._whole({w for w in words if len(w) <= WINDOW})
-        for w in words:
+        # a word that is a token is that token, whether or not merges lead to it
+        out = {w: i.to_bytes(4, "little") for w in words if (i := self.ranks.get(w)) is not None}
+        rest = {w for w in words if w not in out}
+        out.update(self._whole(w for w in rest if len(w) <= WINDOW))
+        for w in rest:
             if w not in out:
                 out[w] = self._long(w)
         return [out[w] for w in words]
 
     def _whole(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
-        """Ids of words of at most ``WINDOW`` bytes."""
+        """Ids that merges make of words of at most ``WINDOW`` bytes."""
         out: dict[bytes, bytes] = {}
-        todo = []
-        for w in words:
-            if (i := self.ranks.get(w)) is not None:  # a word that is a token is that token
-                out[w] = i.to_bytes(4, "little")
-            else:
-                todo.append(w)
-        todo.sort(key=len)
+        todo = sorted(words, key=len)
         for part in _portions(todo, ROWS_A_QUERY, lambda w: max(len(w) * (len(w) + 1) // 2, ROWS_A_QUERY // WORDS_A_QUERY)):
             lengths = np.array([len(w) for w in part])
             word = np.repeat(np.arange(len(part)), lengths)
@@ -207,7 +204,7 @@ class WordCoder:
         back = self.bytes_of.need(map(known.__getitem__, distinct - long))
         for words in split:
             if long and not long.isdisjoint(words):
-                ids = [known[w] if w not in long else self._long(w.encode()) for w in words]
+                ids = [known[w] if w not in long else self.words([w])[0] for w in words]
                 yield b"".join(ids), b"".join(back[i] if w not in long else self._decoded([i])[0] for w, i in zip(words, ids))
             else:
                 ids = list(map(known.__getitem__, words))

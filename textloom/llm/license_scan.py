@@ -50,32 +50,47 @@ PARAGRAPHS = (
     Template("Unlicense", "This is free and unencumbered software released into the public domain"),
     Template("CC0-1.0", "Released into the public domain under CC0 1.0."),
 )
+#: The notices that the GNU licenses ask for, by program, license, version.
+GNU = tuple(
+    Template(f"{k}-{v if '.' in v else v + '.0'}-or-later", f"""This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation; either version {v} of the License, or (at your option) any later version.""")
+    for k, name, what, versions in (("GPL", "General Public License", "program", "123"), ("LGPL", "Lesser General Public License", "library", ("2.1", "3")), ("AGPL", "Affero General Public License", "program", "3")) for v in versions)
 #: Ways to name a license in a short notice.
 FORMS = ("Released under the {}.", "Licensed under the {}.", "Distributed under the {}.", "This work is licensed under the {}.", "This library is licensed under the {}.", "Available under the terms of the {}.")
 #: Names of licenses as short notices have them.
 NAMES = {
-    "MIT": ("MIT License",), "ISC": ("ISC License",), "BSD": ("BSD License",), "BSD-2-Clause": ("BSD 2-Clause License",), "BSD-3-Clause": ("BSD 3-Clause License",), "Zlib": ("zlib License",),
+    "MIT": ("MIT License", "Expat License"), "ISC": ("ISC License",), "BSD": ("BSD License",), "BSD-2-Clause": ("BSD 2-Clause License",), "BSD-3-Clause": ("BSD 3-Clause License",), "Zlib": ("zlib License",),
     "BSL-1.0": ("Boost Software License, Version 1.0",), **{f"Apache-{v}": (f"Apache License, Version {v}",) for v in ("1.0", "1.1", "2.0")},
     **{f"GPL-{v}.0": (f"GNU General Public License, version {v}", f"GNU GPL version {v}") for v in (1, 2, 3)},
     **{f"LGPL-{v}": (f"GNU Lesser General Public License, version {n}",) for v, n in (("2.1", "2.1"), ("3.0", "3"))}, "LGPL-2.0": ("GNU Library General Public License, version 2",),
     "AGPL-3.0": ("GNU Affero General Public License, version 3",), **{f"MPL-{v}": (f"Mozilla Public License, version {v}",) for v in ("1.1", "2.0")}, "EPL-2.0": ("Eclipse Public License, version 2.0",),
 }
+#: Names that need no form around them.
+BARE = {
+    **{f"{g}-{v}.0{end}": tuple(f"{a} {w}{v}{told}" for a in (f"GNU {g}", g) for w in ("v", "version ")) + (f"{g}v{v}{told}",) for g, vs in (("GPL", "123"), ("LGPL", "23"), ("AGPL", "3")) for v in vs for end, told in (("", ""), ("-or-later", " or later"))},
+    "MIT": ("MIT licensed",), "BSD": ("BSD licensed",), "ISC": ("ISC licensed",), "Apache-2.0": ("Apache 2.0 licensed", "Apache-2.0 licensed"),
+}
+#: Identifiers as files declare them.
+SPDX = tuple("""MIT ISC Zlib BSL-1.0 BSD-2-Clause BSD-3-Clause BSD-3-Clause-Clear BSD-4-Clause Apache-1.1 Apache-2.0 MPL-1.1 MPL-2.0 EPL-1.0 EPL-2.0 Unlicense CC0-1.0 GPL-1.0 GPL-2.0 GPL-3.0 GPL-2.0-only GPL-2.0-or-later
+GPL-3.0-only GPL-3.0-or-later LGPL-2.1 LGPL-3.0 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later""".split())
+#: The conditions of the Creative Commons licenses in words.
+CONDITIONS = {"BY": "Attribution", "SA": "ShareAlike", "NC": "NonCommercial", "ND": "NoDerivatives"}
 #: Conditions and versions of the Creative Commons licenses.
 CC = tuple((c, v) for c in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND") for v in ("2.0", "2.5", "3.0", "4.0"))
 TEMPLATES = (
-    *PARAGRAPHS, *(Template(k, form.format(n)) for k, ns in NAMES.items() for n in ns for form in FORMS),
-    *(Template(f"CC-{c}-{v}", text) for c, v in CC for text in (f"Licensed under CC {c} {v}.", f"Released under the CC {c} {v} license.")),
+    *PARAGRAPHS, *GNU, *(Template(k, form.format(n)) for k, ns in NAMES.items() for n in ns for form in FORMS),
+    *(Template(f"CC-{c}-{v}", text) for c, v in CC for text in (f"Licensed under CC {c} {v}.", f"Released under the CC {c} {v} license.", f"Creative Commons {'-'.join(CONDITIONS[x] for x in c.split('-'))} {v} {'International' if v == '4.0' else 'Unported'} License")),
+    *(Template(k, n) for k, ns in BARE.items() for n in ns), *(Template(k, f"SPDX-License-Identifier: {k}") for k in SPDX),
 )
 #: Words that tell licenses apart; a difference in one of them, or in a version, refuses a template.
 TELLING = frozenset("""mit isc bsd zlib boost apache gnu gpl lgpl agpl general lesser library affero mozilla mpl eclipse epl public domain cc cc0 creative commons attribution
-noncommercial noderivatives sharealike by by-sa by-nc by-nd by-nc-sa by-nc-nd by-nd-nc x11 artistic proprietary clear not no""".split())
-_VERSION = re.compile(r"v?[0-9]+(\.[0-9]+)*\+?(-clause)?")
+noncommercial noderivatives sharealike by by-sa by-nc by-nd by-nc-sa by-nc-nd by-nd-nc x11 expat artistic proprietary clear not no""".split())
+_VERSION = re.compile(r"(l?gpl|agpl|mpl|epl)?v?[0-9]+(\.[0-9]+)*\+?(-clause)?")
 #: Words of which at least one stands in each template.
-TRIGGER = r"(?i)licen[sc]|permission|redistribution|cc0|advertising|public domain"
+TRIGGER = r"(?i)licen[sc]|gpl|permission|redistribution|cc0|advertising|public domain"
 #: Templates of so many words at most are sought in short blocks, longer ones in long blocks before them.
 SHORT = 24
 _TRIGGER, _WORD = re.compile(TRIGGER), re.compile(r"[A-Za-z0-9]+(?:[.+-][A-Za-z0-9]+)*")
-_SPACE = re.compile(r"\s+")
+_SPACE, _GAP = re.compile(r"\s+"), re.compile(r"[ \t]*\r?\n?[ \t]*")
 
 
 def stretches(text: str, reach: int) -> Iterator[list[tuple[str, int, int]]]:
@@ -163,9 +178,13 @@ def told(differences: Sequence[tuple[str, str]]) -> str:
     return " ".join(f"{a}>{b}" if a and b else f"-{a}" if a else f"+{b}" for a, b in differences)
 
 
+def tells(word: str) -> bool:
+    """Whether a word, or a part of it between hyphens, is a name, a condition or a version (a year is none)."""
+    return any(w in TELLING for w in (word, *word.split("-"))) or bool(_VERSION.fullmatch(word)) and not (word.isdigit() and len(word) == 4)
+
+
 def refused(differences: Sequence[tuple[str, str]]) -> bool:
-    """Whether a difference touches a name, a condition or a version (a year is none)."""
-    tells = lambda w: w in TELLING or bool(_VERSION.fullmatch(w)) and not (w.isdigit() and len(w) == 4)
+    """Whether a difference touches a telling word."""
     return any(tells(w) for pair in differences for w in pair if w)
 
 
@@ -217,6 +236,13 @@ class Scanner:
             similarity, i, n, differences = self.wording(tuple(body[from_ : j + 1]), t.own)
             yield similarity, from_ + i, from_ + n, differences
 
+    def goes_on(self, text: str, stretch: list[tuple[str, int, int]], after: int) -> bool:
+        """Whether a name goes on behind a place: the next word, with nothing but white space before it, is a telling one."""
+        if after >= len(stretch):
+            return False
+        word, start, _ = stretch[after]
+        return tells(word) and _GAP.fullmatch(text, stretch[after - 1][2], start) is not None
+
     def scan(self, text: str) -> list[dict]:
         out = []
         for stretch in stretches(text, self.reach):
@@ -229,7 +255,7 @@ class Scanner:
                     block = text[stretch[a][1] : stretch[a + len(part) - 1][2]]
                     for saved, given, t in self.ranked(block, set(part), templates):
                         for similarity, i, n, differences in self.places(part, t):
-                            if i >= reach or not all(free[a + i : a + n]) or refused(differences) or body[a + i - 1 : a + i] == ["not"]:
+                            if i >= reach or not all(free[a + i : a + n]) or refused(differences) or body[a + i - 1 : a + i] == ["not"] or self.goes_on(text, stretch, a + n):
                                 continue
                             free[a + i : a + n] = [False] * (n - i)
                             first, end = stretch[a + i][1], stretch[a + n - 1][2]
@@ -250,8 +276,8 @@ def scan_licenses(df: DataFrame, *, templates: tuple[Template, ...] = TEMPLATES,
     template's length before or after them, across line ends.  ``saved`` is the share
     of the block's compressed size that the template as a dictionary takes off; of
     templates that claim the same words the one that saves most is named, if 80 % of
-    its words stand there in order, no telling word differs and no "not" stands before
-    them, else the next.  Saving
+    its words stand there in order, no telling word differs or follows and no "not" stands
+    before them, else the next.  Saving
     orders and never rejects, so what stands around a notice doesn't matter.  Texts
     that are null, empty or without a trigger word have none and skip the Python
     step's work.  Rows aren't moved.  A column named ``into`` is replaced.

@@ -13,16 +13,16 @@ changes neither.
 from __future__ import annotations
 
 import io
+import json
 import os
 import re
-import string
 import sys
 import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
-from itertools import chain, product
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -62,28 +62,42 @@ def _publish(path: str, name: str, pieces: Iterator[bytes]) -> None:
     store.move(tmp, f"{root}/{name}")
 
 
+#: The steps before the model of the tokenizers whose parts ``word_parts`` knows.
+KNOWN_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "truncation": None, "padding": None,
+}
+
+
+def by_parts(t: Tokenizer) -> bool:
+    """Whether a tokenizer treats the parts of ``word_parts`` one by one; any other one gets whole texts."""
+    steps = json.loads(t.to_str())
+    return all(steps[k] == v for k, v in KNOWN_STEPS.items()) and sys.byteorder == "little"
+
+
 @cache
-def _encoder(path: str) -> tuple[ChunkCache, np.dtype, Tokenizer, re.Pattern]:
-    """Encoder of parts, width of an id, the tokenizer and a pattern of the added tokens, which it finds anywhere in a text."""
+def _encoder(path: str) -> tuple[ChunkCache | None, np.dtype, Tokenizer, re.Pattern]:
+    """Encoder of parts (None: whole texts only), width of an id, the tokenizer and a pattern of the added tokens, which it finds anywhere in a text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     t = Tokenizer.from_file(path)
     added = re.compile("|".join(re.escape(a.content) for a in t.get_added_tokens_decoder().values()) or r"(?!)")
     dtype = np.dtype("<u2" if t.get_vocab_size() <= 1 << 16 else "<u4")
-    return ChunkCache(lambda parts: _encoded(t, dtype, parts), 400_000), dtype, t, added
+    return ChunkCache(lambda parts: _encoded(t, dtype, parts), 400_000) if by_parts(t) else None, dtype, t, added
 
 
 def _encoded(t: Tokenizer, dtype: np.dtype, parts: list[str], at_once: int = 2_000) -> list[bytes]:
     """Packed ids of each part.
 
-    Words of ASCII letters go to the tokenizer's model in lower case, where a sample
-    shows that its other steps do no more; of the rest many go to the tokenizer as the
-    words of one text, which it keeps apart.
+    Words of ASCII letters go to the tokenizer's model in lower case, as the steps before
+    it do no more to them; of the rest many go to the tokenizer as the words of one text,
+    which it keeps apart.
     """
-    out: dict[str, bytes] = {}
-    if _only_lowers(t):
-        model = t.model
-        kind = "H" if dtype.itemsize == 2 else "I"
-        out = {p: array(kind, [x.id for x in model.tokenize(p.lower())]).tobytes() for p in parts if p.isascii() and p.isalpha()}
+    model = t.model
+    kind = "H" if dtype.itemsize == 2 else "I"
+    out = {p: array(kind, [x.id for x in model.tokenize(p.lower())]).tobytes() for p in parts if p.isascii() and p.isalpha()}
     rest = [p for p in parts if p not in out]
     for k in range(0, len(rest), at_once):
         some = rest[k:k + at_once]
@@ -94,23 +108,19 @@ def _encoded(t: Tokenizer, dtype: np.dtype, parts: list[str], at_once: int = 2_0
     return [out[p] for p in parts]
 
 
-@cache
-def _only_lowers(t: Tokenizer) -> bool:
-    """Whether the steps before the model do nothing to words of ASCII letters but to lower them: all words of one and two letters, and some long ones, as a sample."""
-    letters = string.ascii_letters
-    words = [*letters, *map("".join, product(letters, repeat=2)), *(letters[i:] + letters[:i] for i in range(len(letters))), *(letters[i:i + n] for n in range(3, 12) for i in range(0, 40, 3))]
-    return sys.byteorder == "little" and all(e.ids == [x.id for x in t.model.tokenize(w.lower())] for w, e in zip(words, t.encode_batch_fast(words, add_special_tokens=False)))
-
-
 def token_bytes(texts: list[str | None], tokenizer: str, end_id: int) -> Iterator[bytes]:
     """Packed ids of each whole text and the end id; None counts as empty.
 
     Texts are encoded by their distinct parts, see ``word_parts``; a text that spells
-    an added token goes to the tokenizer whole.
+    an added token, and any text for a tokenizer of another kind, goes to it whole.
     """
     cache_, dtype, whole, added = _encoder(tokenizer)
-    turn("parts", cache_.clear)
     end = np.array([end_id], dtype).tobytes()
+    if cache_ is None:
+        for t in texts:
+            yield np.array(whole.encode(t or "", add_special_tokens=False).ids, dtype).tobytes() + end
+        return
+    turn("parts", cache_.clear)
     for part in slices(texts):
         cut = [None if added.search(t) else word_parts(t) for t in part]
         known = cache_.need(chain.from_iterable(cs for cs in cut if cs))
