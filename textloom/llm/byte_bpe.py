@@ -35,10 +35,10 @@ from textloom.session import free_name, ship
 WINDOW, STEP = 64, 32
 #: Rows of all rounds, and words, that one query has at most; ids that one query decodes.
 ROWS_A_QUERY, WORDS_A_QUERY, IDS_A_QUERY = 1_000_000, 10_000, 50_000
-KNOWN_WORDS = 150_000
-KNOWN_IDS = 100_000
+#: Words whose ids a worker keeps, in each of two generations (about 200 bytes each), and half as many whose bytes it keeps.
+KEEP = 400_000
 SLICE_CHARS = 2_000_000
-DATABASE = "80MB"
+DATABASE = "150MB"
 
 #: x and y are 256 * word + position, of a token and of the one behind it.  The smallest k of
 #: a word names its pair: rank of the merge, both positions and the one behind, 8 bits each.
@@ -78,15 +78,15 @@ SELECT d, string_agg(v.hex, '' ORDER BY p) AS decoded, count(v.id) = count(*) AS
 class WordCoder:
     """Encoder and decoder of words for one vocabulary file of ranks."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, keep: int = KEEP):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pattern = regex.compile(pattern)
-        self.known = ChunkCache(self.words, KNOWN_WORDS)
+        self.known = ChunkCache(self.words, keep)
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         self.size = np.zeros(max(self.ranks.values()) + 1, np.int64)
         self.size[list(self.ranks.values())] = list(map(len, self.ranks))
-        self.bytes_of = ChunkCache(self._decoded, KNOWN_IDS)
+        self.bytes_of = ChunkCache(self._decoded, keep // 2)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": DATABASE, "temp_directory": "", "preserve_insertion_order": False})
         pairs = np.array([(self.ranks[a], self.ranks[b], i) for t, i in self.ranks.items() for c in range(1, len(t)) if (a := t[:c]) in self.ranks and (b := t[c:]) in self.ranks], np.int64).reshape(-1, 3)
         known = pa.table({"id": pa.array(self.ranks.values(), pa.int64()), "hex": [t.hex() for t in self.ranks], "id_hex": [i.to_bytes(4, "little").hex() for i in self.ranks.values()]})
@@ -234,19 +234,19 @@ def _portions(items: list, limit: int, size: Callable) -> Iterator[list]:
 
 
 @cache
-def _worker(path: str, pattern: str) -> WordCoder:
-    return WordCoder(path, pattern)
+def _worker(path: str, pattern: str, keep: int = KEEP) -> WordCoder:
+    return WordCoder(path, pattern, keep)
 
 
-def encode_texts(texts: list[str], path: str, pattern: str) -> Iterator[tuple[bytes, bytes]]:
+def encode_texts(texts: list[str], path: str, pattern: str, keep: int = KEEP) -> Iterator[tuple[bytes, bytes]]:
     """Ids of each whole text, and the bytes decoded from them word by word; None counts as empty."""
-    worker = _worker(path, pattern)
+    worker = _worker(path, pattern, keep)
     turn("words", _worker.cache_clear)  # the coder with its database goes, too
     for part in slices(texts, SLICE_CHARS):
         yield from worker.coded(part)
 
 
-def encode(df: DataFrame, *, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+def encode(df: DataFrame, *, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", keep: int = KEEP) -> DataFrame:
     """``df`` with ``ids`` (array of ints) and ``decoded``, the bytes decoded from them again.
 
     ``path`` is a file of base64 tokens and ranks that every executor can open.  A
@@ -257,7 +257,7 @@ def encode(df: DataFrame, *, path: str, pattern: str, text: str = "text", ids: s
 
     @F.pandas_udf("ids array<int>, decoded binary")
     def coded(texts: pd.Series) -> pd.DataFrame:
-        both = list(encode_texts(texts, path, pattern))
+        both = list(encode_texts(texts, path, pattern, keep))
         return pd.DataFrame({"ids": [np.frombuffer(i, "<u4").astype(np.int32) for i, _ in both], "decoded": [d for _, d in both]})
 
     tmp = free_name(df.columns, "bpe__")
@@ -281,13 +281,16 @@ def decode(df: DataFrame, *, path: str, pattern: str, ids: str = "ids", decoded:
     return df.withColumn(decoded, whole(numbers))
 
 
-def bpe_digest(df: DataFrame, *, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``doc_id``, number of ids, digest of the ids and of the bytes decoded from them, for every row; see ``encode``."""
+def bpe_digest(df: DataFrame, *, path: str, pattern: str, text: str = "text", key: str = "doc_id", keep: int = KEEP) -> DataFrame:
+    """``doc_id``, number of ids, digest of the ids and of the bytes decoded from them, for every row; see ``encode``.
+
+    ``keep``: words that a worker keeps the ids of; it changes memory and time, never a result.
+    """
     ship(df.sparkSession)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(texts: pd.Series) -> pd.DataFrame:
-        rows = [(len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(d).hexdigest()) for i, d in encode_texts(texts, path, pattern)]
+        rows = [(len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(d).hexdigest()) for i, d in encode_texts(texts, path, pattern, keep)]
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     out = df.select(F.col(f"`{key}`").alias("doc_id"), digest(F.col(f"`{text}`")).alias("d"))
