@@ -229,7 +229,8 @@ def noun_coverage(spark: SparkSession, d: str) -> DataFrame:
 ACTIONS = tuple("""observed found discovered noted reported identified analyzed concluded determined saw mentioned stated described explained discussed showed demonstrated revealed indicated suggested
 confirmed verified documented recorded highlighted examined investigated explored studied reviewed assessed evaluated measured tested compared observe find discover note report identify analyze conclude determine see mention
 state describe explain discuss show demonstrate reveal indicate suggest""".split())
-SUBJECTS = ("our team", "the team", "we", "the system", "the author", "the researchers", "the study", "the analysis", "the report", "the paper", "the document", "the article", "the book", "the chapter", "the section", "the findings", "the results", "they")
+SUBJECTS = ("our team", "the team", "we", "the system", "the author", "the researchers", "the study", "the analysis", "the report", "the paper", "the document", "the article", "the book", "the chapter", "the section", "the findings", "the results", "they",
+            "the experts", "the scientists", "the engineers", "the developers", "the analysts", "the investigators", "our analysis", "our research", "our findings", "our study", "this research", "this study", "this analysis", "this report")
 QUERY_STOPS = tuple("""what did our the a an is are was were at in on to for of with by from about how why when where who which that this these those it its they them their we us you your i me my he she him her his and or but
 if then else so as be been being have has had do does done will would could should can may might must shall team observe observed""".split())
 _IN = lambda ws: ", ".join(f"'{w}'" for w in ws)
@@ -237,7 +238,7 @@ _IN = lambda ws: ", ".join(f"'{w}'" for w in ws)
 _UNDERSTOOD = {
     "actions": f"@join(@dist(@flt(w, @x x IN ({_IN(ACTIONS)}))), ',')",
     "subject": "CASE " + " ".join(rf"WHEN @rx(l, @'(^|[^a-z]){s}([^a-z]|$)') THEN '{s}'" for s in SUBJECTS) + " ELSE '' END",
-    "n_content": f"CAST(@n(@flt(w, @x x NOT IN ({_IN(QUERY_STOPS)}) AND length(x) > 2)) AS BIGINT)",
+    "n_content": f"CAST(@n(@flt(w, @x x NOT IN ({_IN((*QUERY_STOPS, *ACTIONS))}) AND length(x) > 2)) AS BIGINT)",
     "intent": """CASE WHEN @rx(l, @'^\\s*(how|why)([^a-z]|$)') THEN 'explanation' WHEN @rx(l, @'^\\s*(what|who|where|when|which)([^a-z]|$)') THEN 'factual' WHEN @rx(l, @'(compare|difference|versus)') THEN 'comparison'
  WHEN @rx(l, @'(list|show|find|search)([^a-z]|$)') THEN 'search' WHEN @rx(l, @'(hello|hi|thanks|thank you)([^a-z]|$)') THEN 'conversational' ELSE 'general' END""",
     "relation": """CASE WHEN @rx(l, @'(cause|lead|result)s?([^a-z]|$)') THEN 'CAUSES' WHEN @rx(l, @'part of|contains') THEN 'PART_OF' WHEN @rx(l, @'(related|connected|associated)') THEN 'RELATED_TO' ELSE '' END""",

@@ -37,11 +37,11 @@ def bridge_by_priority(spark: SparkSession, d: str) -> DataFrame:
     return best.select("name", "b.id", F.when(F.col("b.synonym") == 0, "preferred").otherwise("synonym").alias("via"), "candidates")
 
 
-@query("name_union", "SELECT DISTINCT lower(p_name) AS name, 'preferred' AS via FROM part WHERE p_size <= 10 UNION SELECT DISTINCT lower(p_name), 'synonym' FROM part WHERE p_size > 40 UNION SELECT lower(n_name), 'preferred' FROM nation")
+@query("name_union", "SELECT DISTINCT lower(p_name) AS name, 'preferred' AS via FROM part WHERE p_size <= 25 UNION SELECT DISTINCT lower(p_name), 'synonym' FROM part WHERE p_size > 25 UNION SELECT lower(n_name), 'preferred' FROM nation")
 def name_union(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     one = lambda df, c, via: df.select(F.lower(c).alias("name"), F.lit(via).alias("via"))
-    return one(p.where("p_size <= 10"), "p_name", "preferred").union(one(p.where("p_size > 40"), "p_name", "synonym")).union(one(table(spark, d, "nation"), "n_name", "preferred")).distinct()
+    return one(p.where("p_size <= 25"), "p_name", "preferred").union(one(p.where("p_size > 25"), "p_name", "synonym")).union(one(table(spark, d, "nation"), "n_name", "preferred")).distinct()
 
 
 @query("edge_validation", """

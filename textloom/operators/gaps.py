@@ -137,8 +137,8 @@ def semantic_distance(spark: SparkSession, d: str) -> DataFrame:
     """``doc_id``, ``chunk``, ``distance``: 1 less the cosine of the TF-IDF of a chunk and the next, as of two documents.
 
     Terms are words of two letters or more and pairs of neighbours, without stop words.
-    A term in both has an idf of 1, one in a single chunk ln(1.5) + 1.  Everything is
-    inside a row: both chunks' counts are maps, so no term is shuffled.
+    A term in both has an idf of 1, one in a single chunk ln(1.5) + 1.  Terms are counted
+    for each chunk before they are joined with those of the next.
     """
     def terms(c: Column) -> Column:
         w = F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda x: (F.length(x) > 1) & ~x.isin(*ENGLISH))

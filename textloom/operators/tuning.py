@@ -85,12 +85,15 @@ def bridges_per_source(spark: SparkSession, d: str) -> DataFrame:
     return g.groupBy("source", "strategy").agg(F.count("*").alias("bridges"), F.countDistinct("doc_id").alias("docs"))
 
 
-@query("id_and_hash_join", "SELECT a.doc_id, a.doc_id = min(b.doc_id) AS first, count(*) AS same FROM documents a JOIN documents b ON a.source = b.source AND sha256(a.text) = sha256(b.text) GROUP BY a.doc_id")
+@query("id_and_hash_join", """
+WITH stored AS (SELECT doc_id, sha256(CASE WHEN lang = 'fr' THEN upper(text) ELSE text END) AS content_hash FROM documents)
+SELECT d.doc_id, d.source, s.content_hash FROM documents d JOIN stored s ON s.doc_id = d.doc_id AND s.content_hash = sha256(d.text)""")
 def id_and_hash_join(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with those of their source whose content has the same digest: counted by both keys, not paired."""
-    docs = table(spark, d, "documents").select("doc_id", "source", F.sha2("text", 256).alias("h"))
-    n = docs.groupBy("source", "h").agg(F.min("doc_id").alias("least"), F.count("*").alias("same"))
-    return docs.join(n, ["source", "h"]).select("doc_id", (F.col("doc_id") == F.col("least")).alias("first"), "same")
+    """Documents whose stored digest is still that of their content: joined by id and digest (of French ones another text was stored)."""
+    docs = table(spark, d, "documents")
+    stored = docs.select("doc_id", F.sha2(F.when(F.col("lang") == "fr", F.upper("text")).otherwise(F.col("text")), 256).alias("content_hash"))
+    now = docs.select("doc_id", "source", F.sha2("text", 256).alias("content_hash"))
+    return now.join(stored, ["doc_id", "content_hash"]).select("doc_id", "source", "content_hash")
 
 
 @query("query_log_report", """
