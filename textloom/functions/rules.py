@@ -9,7 +9,7 @@ from __future__ import annotations
 _WORDS = (
     ("@rx(", "regexp_like(", "regexp_matches("), ("@'", "r'", "'"), ("@n(", "size(", "len("), ("@inter(", "array_intersect(", "list_intersect("), ("@dist(", "array_distinct(", "list_distinct("),
     ("@cat(", "concat(", "list_concat("), ("@flt(", "filter(", "list_filter("), ("@map(", "transform(", "list_transform("), ("@x", "x ->", "lambda x:"), ("@slice(", "slice(", "list_slice("), ("@join(", "array_join(", "array_to_string("), ("@split(", "split(", "regexp_split_to_array("),
-    ("@max(", "array_max(", "list_max("), ("@min(", "array_min(", "list_min("), ("@double", "double", "DOUBLE"), ("@all(", "regexp_extract_all(", "regexp_extract_all("),
+    ("@max(", "array_max(", "list_max("), ("@min(", "array_min(", "list_min("), ("@double", "double", "DOUBLE"), ("@sort(", "array_sort(", "list_sort("), ("@all(", "regexp_extract_all(", "regexp_extract_all("),
 )
 
 

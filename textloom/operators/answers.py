@@ -236,7 +236,7 @@ if then else so as be been being have has had do does done will would could shou
 _IN = lambda ws: ", ".join(f"'{w}'" for w in ws)
 #: What a query says, over columns ``t`` (its text), ``l`` (in lower case) and ``w`` (its words in lower case).
 _UNDERSTOOD = {
-    "actions": f"@join(@dist(@flt(w, @x x IN ({_IN(ACTIONS)}))), ',')",
+    "actions": f"@join(@sort(@dist(@flt(w, @x x IN ({_IN(ACTIONS)})))), ',')",
     "subject": "CASE " + " ".join(rf"WHEN @rx(l, @'(^|[^a-z]){s}([^a-z]|$)') THEN '{s}'" for s in SUBJECTS) + " ELSE '' END",
     "n_content": f"CAST(@n(@flt(w, @x x NOT IN ({_IN((*QUERY_STOPS, *ACTIONS))}) AND length(x) > 2)) AS BIGINT)",
     "intent": """CASE WHEN @rx(l, @'^\\s*(how|why)([^a-z]|$)') THEN 'explanation' WHEN @rx(l, @'^\\s*(what|who|where|when|which)([^a-z]|$)') THEN 'factual' WHEN @rx(l, @'(compare|difference|versus)') THEN 'comparison'

@@ -201,13 +201,14 @@ _HEAD = r"(?im)^\s*(section|chapter|page|figure|table)\s+([0-9]+(?:\.[0-9]+)*)"
 
 @query("reference_targets", f"""
 WITH r AS ({_REFS}), h AS (SELECT DISTINCT doc_id, lower(p[1]) AS target_type, p[2] AS label FROM (SELECT doc_id, unnest(list_zip(regexp_extract_all(text, '{_HEAD}', 1), regexp_extract_all(text, '{_HEAD}', 2))) AS p FROM documents))
-SELECT DISTINCT r.doc_id, lower(p[1]) AS target_type, p[2] AS label, h.doc_id AS target FROM r JOIN h ON h.target_type = lower(p[1]) AND h.label = p[2]""")
+SELECT DISTINCT r.doc_id, lower(p[1]) AS target_type, p[2] AS label, h.label IS NOT NULL AS found FROM r LEFT JOIN h ON h.doc_id = r.doc_id AND h.target_type = lower(p[1]) AND h.label = p[2]""")
 def reference_targets(spark: SparkSession, d: str) -> DataFrame:
-    """Where references lead: documents with a line that begins with the target's type and label."""
+    """References of each document, and whether one of its lines begins with what they name; all within the row."""
     docs = table(spark, d, "documents")
-    pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(_HEAD), F.lit(1)).alias("t"), F.regexp_extract_all("text", F.lit(_HEAD), F.lit(2)).alias("l"))
-    h = docs.select(F.col("doc_id").alias("target"), F.explode(pairs).alias("p")).select("target", F.lower("p.t").alias("target_type"), F.col("p.l").alias("label")).distinct()
-    return references(docs).select("doc_id", "target_type", "label").distinct().join(h, ["target_type", "label"]).select("doc_id", "target_type", "label", "target")
+    found = lambda p: F.transform(F.arrays_zip(F.regexp_extract_all("text", F.lit(p), F.lit(1)).alias("t"), F.regexp_extract_all("text", F.lit(p), F.lit(2)).alias("l")), lambda x: F.struct(F.lower(x["t"]).alias("target_type"), x["l"].alias("label")))
+    both = docs.select("doc_id", F.array_distinct(F.concat(*[found(p) for p, _ in REFERENCES])).alias("refs"), found(_HEAD).alias("heads"))
+    told = F.transform("refs", lambda r: F.struct(r["target_type"].alias("target_type"), r["label"].alias("label"), F.array_contains("heads", r).alias("found")))
+    return both.select("doc_id", F.explode(told).alias("r")).select("doc_id", "r.*")
 
 
 #: Patterns of relations, and what a relation is.

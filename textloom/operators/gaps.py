@@ -164,7 +164,7 @@ def gap_semantic_distance(spark: SparkSession, d: str) -> DataFrame:
 _STEPS = ({"k1": _CONCEPTS("c1"), "k2": _CONCEPTS("c2"), "sentence": _SENTENCE, "own": _CONTINUITY, "refs": f"CAST({_XREF} AS @double)", "domain": f"coalesce({_DOMAIN}, 0.0)"},
           {"overlap": f"CAST({R.jaccard('k1', 'k2')} AS @double)", "continuity": f"CAST({_MEAN} AS @double)"})
 _NEED = f"greatest(0.0, least(1.0, distance * {_W[0]} + (1 - overlap) * {_W[1]} + refs * {_W[2]} + (1 - continuity) * {_W[3]} + 0.2 * domain))"
-_TYPE = "CASE WHEN refs > 0.3 THEN 'cross_reference' WHEN continuity < 0.4 THEN 'procedural' ELSE 'conceptual' END"
+_TYPE = "CASE WHEN round(refs, 9) > 0.3 THEN 'cross_reference' WHEN round(continuity, 9) < 0.4 THEN 'procedural' ELSE 'conceptual' END"
 _BRIDGE = """CASE WHEN kind IN ('medical', 'legal') AND distance > 0.5 THEN 'llm' WHEN kind = 'narrative' AND distance < 0.7 THEN 'mechanical'
  WHEN distance > 0.8 OR overlap < 0.2 OR refs > 0.5 OR continuity < 0.3 THEN 'llm' WHEN distance > 0.6 THEN 'semantic_overlap' ELSE 'mechanical' END"""
 
