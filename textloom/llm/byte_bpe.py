@@ -35,8 +35,8 @@ from textloom.session import free_name, ship
 WINDOW, STEP = 64, 32
 #: Rows of all rounds, and words, that one query has at most; ids that one query decodes.
 ROWS_A_QUERY, WORDS_A_QUERY, IDS_A_QUERY = 1_000_000, 10_000, 50_000
-#: Words whose ids a worker keeps, in each of two generations (about 200 bytes each), and half as many whose bytes it keeps.
-KEEP = 400_000
+#: Words whose ids a worker keeps, in each of two generations (about 200 bytes each), and as many whose bytes it keeps.
+KEEP = 800_000
 SLICE_CHARS = 2_000_000
 DATABASE = "150MB"
 
@@ -86,7 +86,7 @@ class WordCoder:
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         self.size = np.zeros(max(self.ranks.values()) + 1, np.int64)
         self.size[list(self.ranks.values())] = list(map(len, self.ranks))
-        self.bytes_of = ChunkCache(self._decoded, keep // 2)
+        self.bytes_of = ChunkCache(self._decoded, keep)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": DATABASE, "temp_directory": "", "preserve_insertion_order": False})
         pairs = np.array([(self.ranks[a], self.ranks[b], i) for t, i in self.ranks.items() for c in range(1, len(t)) if (a := t[:c]) in self.ranks and (b := t[c:]) in self.ranks], np.int64).reshape(-1, 3)
         known = pa.table({"id": pa.array(self.ranks.values(), pa.int64()), "hex": [t.hex() for t in self.ranks], "id_hex": [i.to_bytes(4, "little").hex() for i in self.ranks.values()]})
