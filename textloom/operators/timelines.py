@@ -74,7 +74,7 @@ def anomaly_zscore(spark: SparkSession, d: str) -> DataFrame:
     w = r.select("event_id", "event_type", "value", n.alias("n"), s.alias("s"), q.alias("q")).where("n >= 20").withColumn("m", F.col("s") / F.greatest("n", F.lit(1)) + 50)
     w = w.withColumn("sd", F.sqrt(F.greatest(F.lit(0.0), (F.col("q") - F.col("s") * F.col("s") / F.greatest("n", F.lit(1))) / F.greatest(F.col("n") - 1, F.lit(1)))))
     z = F.abs(F.col("value") - F.col("m")) / F.nullif("sd", F.lit(0.0))
-    return w.where("n >= 20 AND sd > 0").select("event_id", "event_type", F.round(z, 4).alias("z")).where("z > 2.5")
+    return w.where("n >= 20 AND sd > 0").withColumn("z", z).where("z > 2.5").select("event_id", "event_type", F.round("z", 4).alias("z"))
 
 
 @query("ab_test", """
