@@ -17,6 +17,11 @@ segment counts once its commit is there.  ``compact`` puts all into one segment.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
@@ -34,14 +39,59 @@ FIRST_BLOCKS, MOST_TERMS = 4, 100_000
 #: Scores are compared to so many places.
 PLACES = 6
 _POSTINGS = "term string, block long, docs array<struct<doc:long,tf:int,len:int,places:array<int>>>, n long, most int, least int, bucket int, segment int"
+_BLOCKS = _POSTINGS.removesuffix(", bucket int, segment int")
 _META = ["bucket", "term", "block", "segment", "n", "most", "least"]
 
 
-def _terms(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``doc``, ``len``, ``term``, ``tf`` and ``places`` of every keyword of a text; a document's rows come from one task."""
+def _words(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``doc``, ``block`` and ``ws``, the keywords of a text in their order."""
+    block = F.expr(f"doc div {SPAN}") - (F.pmod("doc", F.lit(SPAN)) < 0).cast("long")
     words = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), T.keywords(F.coalesce(F.col(text), F.lit(""))).alias("ws"))
-    each = words.select("doc", F.size("ws").alias("len"), F.posexplode("ws").alias("place", "term"))
-    return each.groupBy("doc", "len", "term").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("place")).alias("places"))
+    return words.select("doc", block.alias("block"), "ws")
+
+
+def _blocks(words: DataFrame) -> DataFrame:
+    """A row for each term and block of documents; a block is one task's, so only the words are shuffled, once."""
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return words.repartition(parts, "block").sortWithinPartitions("block", "doc").mapInArrow(_posted, _BLOCKS)
+
+
+def _posted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+    for part in parts:
+        blocks = part["block"].to_numpy()
+        ends = [*(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
+        for at, end in zip([0, *ends], ends):
+            if held and held[0]["block"][0].as_py() != blocks[at]:
+                yield _postings(held)
+                held = []
+            if end > at:
+                held.append(part.slice(at, end - at))
+    if held:
+        yield _postings(held)
+
+
+def _postings(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """The postings of one block of documents, which come in the order of their ids."""
+    lists = pa.concat_arrays([h["ws"] for h in held])
+    docs = np.concatenate([h["doc"].to_numpy() for h in held])
+    lens = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int32)
+    coded = pc.list_flatten(lists).dictionary_encode()
+    code, row = coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(docs)), lens)
+    places = (np.arange(len(row)) - np.repeat(np.cumsum(lens) - lens, lens)).astype(np.int32)
+    order = np.argsort(code, kind="stable")
+    code, row, places = code[order], row[order], places[order]
+    starts = lambda new: np.flatnonzero(np.concatenate([[True], new])[: len(new) + 1]) if len(code) else np.zeros(0, np.int64)
+    one = starts((code[1:] != code[:-1]) | (row[1:] != row[:-1]))  # the first place of a term in a document
+    tf, at, of = np.diff([*one, len(code)]).astype(np.int32), row[one], code[one]
+    first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else one
+    listed = lambda offsets, end, values: pa.ListArray.from_arrays(pa.array([*offsets, end], pa.int32()), values)
+    posts = pa.StructArray.from_arrays([pa.array(docs[at]), pa.array(tf), pa.array(lens[at]), listed(one, len(code), pa.array(places))], ["doc", "tf", "len", "places"])
+    most, least = (np.maximum.reduceat(tf, first), np.minimum.reduceat(lens[at], first)) if len(of) else (tf, tf)
+    terms = coded.dictionary.take(pa.array(of[first], pa.int64()))
+    block = pa.array(np.full(len(first), held[0]["block"][0].as_py(), np.int64))
+    n = pa.array(np.diff([*first, len(of)]).astype(np.int64))
+    return pa.RecordBatch.from_arrays([terms, block, listed(first, len(of), posts), n, pa.array(most), pa.array(least)], ["term", "block", "docs", "n", "most", "least"])
 
 
 def _bucket(term: Column, ranges: list[str]) -> Column:
@@ -53,11 +103,8 @@ def _ranges(spark: SparkSession, path: str) -> list[str]:
     return [r.term for r in spark.read.parquet(f"{path}/ranges").orderBy("bucket").collect()]  # at most BUCKETS
 
 
-def _segment(spark: SparkSession, path: str, number: int, terms: DataFrame, docs: DataFrame, key: str, gone: DataFrame | None) -> None:
+def _segment(spark: SparkSession, path: str, number: int, blocks: DataFrame, words: DataFrame, gone: DataFrame | None) -> None:
     ranges = _ranges(spark, path)
-    block = F.expr(f"doc div {SPAN}") - (F.pmod("doc", F.lit(SPAN)) < 0).cast("long")
-    blocks = terms.withColumn("block", block).groupBy("term", "block").agg(
-        F.array_sort(F.collect_list(F.struct("doc", "tf", "len", "places"))).alias("docs"), F.count("*").alias("n"), F.max("tf").alias("most"), F.min("len").alias("least"))
     if gone is not None:
         minus = gone.select(F.explode("terms").alias("term"), F.expr(f"doc div {SPAN}").alias("block")).groupBy("term", "block").agg((-F.count("*")).alias("n"))
         blocks = blocks.unionByName(minus, allowMissingColumns=True)
@@ -65,8 +112,8 @@ def _segment(spark: SparkSession, path: str, number: int, terms: DataFrame, docs
     # a bucket is cut by block, so a range with a common word is many tasks' work
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows.repartition(parts, "bucket", F.pmod("block", F.lit(parts))).sortWithinPartitions("bucket", "term", "block").write.mode("append").partitionBy("bucket", "segment").parquet(f"{path}/postings")
-    held = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc")).distinct().join(terms.groupBy("doc").agg(F.first("len").alias("len"), F.collect_list("term").alias("terms")), "doc", "left")
-    held.select("doc", F.coalesce("len", F.lit(0)).alias("len"), F.coalesce("terms", F.array().cast("array<string>")).alias("terms")).write.mode("append").parquet(f"{path}/docs/segment={number}")
+    held = words.select("doc", F.size("ws").alias("len"), F.array_distinct("ws").alias("terms"))
+    held.write.mode("append").parquet(f"{path}/docs/segment={number}")
     if gone is not None:
         gone.select("doc", F.col("segment").alias("replaced"), "len").write.mode("append").parquet(f"{path}/dead/segment={number}")
     added = spark.read.parquet(f"{path}/docs/segment={number}").agg(F.count("*").alias("docs"), F.coalesce(F.sum("len"), F.lit(0)).alias("words"))
@@ -79,16 +126,17 @@ def _segment(spark: SparkSession, path: str, number: int, terms: DataFrame, docs
 def build_index(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> str:
     """Index ``docs`` (one row for each ``key``, a number) below ``path``, a new folder; a null key isn't indexed, a null text has no words."""
     spark = docs.sparkSession
-    terms = written(_terms(docs, key, text), "terms")
-    counts = terms.groupBy("term").agg(F.count("*").alias("n"))
-    total = terms.count()
+    words = _words(docs, key, text)
+    blocks = written(_blocks(words), "blocks")
+    counts = blocks.groupBy("term").agg(F.sum("n").alias("n"))
+    total = blocks.agg(F.sum("n")).first()[0] or 0
     placed = running(counts.withColumn("all", F.lit(0)), "all", ["term"], upto=F.col("n"))
     bucket = F.least(F.expr(f"(upto - n) * {buckets} div {max(1, total)}"), F.lit(buckets - 1))
     firsts = placed.groupBy(bucket.alias("at")).agg(F.min("term").alias("term"))
     if not total:
         firsts = spark.createDataFrame([(0, "")], "at int, term string")
     firsts.select("term", (F.row_number().over(Window.orderBy("at")) - 1).alias("bucket")).coalesce(1).write.parquet(f"{path}/ranges")
-    _segment(spark, path, 0, terms, docs, key, None)
+    _segment(spark, path, 0, blocks, words, None)
     return path
 
 
@@ -142,7 +190,8 @@ class Index:
         if deleted is not None:
             keys = keys.union(deleted.select(F.col(key).cast("long")))
         gone = written(self.docs().join(keys.distinct(), "doc", "left_semi"), "gone")
-        _segment(spark, self.path, number, written(_terms(docs, key, text), "terms"), docs, key, gone)
+        words = _words(docs, key, text)
+        _segment(spark, self.path, number, _blocks(words), words, gone)
         self.__init__(spark, self.path)
 
     def bound(self, idf: Column, most: Column, least: Column) -> Column:
