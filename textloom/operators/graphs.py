@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
+from textloom.functions.overlaps import numbered
 from textloom.plans.registry import query
 from textloom.session import table, written
 
@@ -141,10 +142,30 @@ def pagerank_query(spark: SparkSession, d: str) -> DataFrame:
     return pagerank(trade(spark, d), _ROUNDS).select("node", F.round("rank", 6).alias("rank"))
 
 
+#: Rows of pairs that one task makes and counts.
+PAIR_ROWS = 4_000_000
+
+
 @graph_query("shared_concept_pairs", f"WITH {_EDGES} SELECT x.a AS a, y.a AS b, count(*) AS shared FROM edges x JOIN edges y ON x.b = y.b AND x.a < y.a GROUP BY 1, 2 HAVING count(*) >= 2")
 def shared_concept_pairs(e: DataFrame) -> DataFrame:
-    e = written(e, "edges")
-    return e.join(e.select(F.col("a").alias("a2"), "b"), "b").where("a < a2").groupBy("a", F.col("a2").alias("b")).agg(F.count("*").alias("shared")).where("shared >= 2")
+    return shared_pairs(e)
+
+
+def shared_pairs(edges: DataFrame, rows: int = PAIR_ROWS) -> DataFrame:
+    """``a``, ``b`` and ``shared``: nodes ``a`` of distinct edges that have two or more nodes ``b`` in common.
+
+    Each edge takes the rest of its list along as one row, dealt by its node, so a pair is counted where
+    it is made: no rows of pairs are shuffled, and a task makes about ``rows`` of them, however large the graph.
+    """
+    e = written(edges.where("a IS NOT NULL AND b IS NOT NULL"), "edges")
+    ids, _ = numbered(e.select(F.col("a").alias("name")).distinct())
+    listed = e.join(ids.withColumnRenamed("name", "a"), "a").groupBy("b").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    listed = written(listed.where(F.size("ids") > 1).select("ids"), "lists")
+    n = listed.agg(F.sum(F.size("ids") * (F.size("ids") - F.lit(1).cast("long")) / 2)).first()[0] or 0
+    rests = listed.select("ids", F.posexplode("ids").alias("i", "x")).where(F.col("i") < F.size("ids") - 1).select("x", F.slice("ids", F.col("i") + 2, F.size("ids")).alias("rest"))
+    pairs = rests.repartition(max(1, -(-int(n) // rows)), "x").select("x", F.explode("rest").alias("y")).groupBy("x", "y").agg(F.count("*").alias("shared")).where("shared >= 2")
+    named = lambda k: ids.select(F.col("id").alias(k), F.col("name").alias(f"name_{k}"))
+    return pairs.join(named("x"), "x").join(named("y"), "y").select(F.least("name_x", "name_y").alias("a"), F.greatest("name_x", "name_y").alias("b"), "shared")
 
 
 @query("concept_merge", """
