@@ -16,6 +16,14 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from textloom.session import delete
 
+#: Rows that a bucket is to have.
+BUCKET_ROWS = 1_000_000
+
+
+def buckets_for(rows: DataFrame, each: int = BUCKET_ROWS, least: int = 8) -> int:
+    """Buckets for a table of at most ``rows``, so that what a task holds of it doesn't grow with the table."""
+    return max(least, -(-rows.count() // each))
+
 
 class StoredTable:
     """Rows with one or more ``key`` columns in ``buckets`` by their hash."""
@@ -75,7 +83,8 @@ class StoredTable:
         path = f"{self.path}/data/batch={batch}"
         delete(self.spark, path)  # of a run that did not get to its manifest
         placed = self.bucketed(rows.select(self.schema.names))
-        placed.repartition(max(1, len(touched)), "bucket").write.partitionBy("bucket").parquet(path)
+        # a task for each bucket: a hash of the number would put several in one
+        placed.repartitionById(max(touched, default=0) + 1, "bucket").write.partitionBy("bucket").parquet(path)
         whole = StructType([*self.schema.fields, StructField("bucket", IntegerType())])
         counts = self.spark.read.schema(whole).parquet(path).groupBy("bucket").agg(F.count("*").alias("rows")).collect() if touched else []
         known = {r.bucket: r.rows for r in counts}

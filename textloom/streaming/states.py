@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from textloom.plans.registry import query
 from textloom.session import scratch, table, written
-from textloom.sources.stored import StoredTable, import_into, latest
+from textloom.sources.stored import StoredTable, buckets_for, import_into, latest
 from textloom.streaming.events import _folder, run_to_end, stream_of
 
 #: Idle seconds that end a user's session, and those over which errors are counted.
@@ -107,7 +107,7 @@ def restartable_import(spark: SparkSession, d: str) -> DataFrame:
     folder = scratch(spark, "event-files")
     table(spark, d, "events").repartitionByRange(4, "event_id").write.parquet(folder)
     stream = stream_of(spark, folder, 2).select("user_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type")
-    stored = StoredTable(spark, scratch(spark, "stored"), stream.schema, ["user_id"], 8)
+    stored = StoredTable(spark, scratch(spark, "stored"), stream.schema, ["user_id"], buckets_for(table(spark, d, "events")))
     import_into(stream, stored, scratch(spark, "import-state"), latest(["user_id"], ["ts", "event_id"])).start().awaitTermination()
     return stored.read()
 
@@ -132,7 +132,7 @@ WHERE l_partkey NOT IN (SELECT p_partkey FROM gone) GROUP BY 1, 2""")
 def stored_graph_merge(spark: SparkSession, d: str) -> DataFrame:
     """The edges of a stored graph after a delta for each kind of line, one of them sent twice, and the removal of one type's parts."""
     lines, parts = table(spark, d, "lineitem"), table(spark, d, "part")
-    stored = StoredTable(spark, scratch(spark, "graph"), _EDGE, ["supplier", "part"], 8)
+    stored = StoredTable(spark, scratch(spark, "graph"), _EDGE, ["supplier", "part"], buckets_for(lines))
     for batch, flag in ((0, "A"), (1, "N"), (1, "N"), (2, "R")):
         stored.merge(edge_rows(lines.where(F.col("l_returnflag") == flag)), batch, merged_edges)
     kind = parts.join(F.broadcast(parts.agg(F.min("p_type").alias("p_type"))), "p_type").select(F.col("p_partkey").alias("part"))
