@@ -9,9 +9,11 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import cache
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from textloom.functions import text as T
@@ -22,6 +24,8 @@ from textloom.session import ship, table
 SENSITIVE_KEYS = tuple(
     "password passwd pwd secret token key api_key access_token refresh_token jwt ssn social_security credit_card card_number email phone address zip postal_code".split())
 REPLACED = "[REDACTED]"
+#: A text without any of these has no match of a redaction rule, all of which need a digit or one of these signs.
+MAY_MATCH = re.compile(r"[0-9@:=]|eyJ")
 RESULT = "redacted string, changes array<struct<path:string,rule:string>>, digest string"
 
 
@@ -45,6 +49,8 @@ def redact_value(value: Any, keys: tuple[str, ...], strict: bool, path: str, cha
         return [redact_value(v, keys, strict, f"{path}[{i}]", changes) for i, v in enumerate(value)]
     if not isinstance(value, str):
         return value
+    if not MAY_MATCH.search(value):
+        return value
     for name, pattern, replacement in _rules():
         changed = pattern.sub(replacement, value)
         if changed != value:
@@ -65,8 +71,9 @@ def _emptied(value: Any, path: str, changes: list[tuple[str, str]]) -> Any:
     return value
 
 
+@cache
 def _rules() -> list[tuple[str, re.Pattern, str]]:
-    return [(n, re.compile(p), r.replace("$1", r"\1")) for n, p, r in T.REDACTIONS if n not in T.OFF]  # re keeps compiled patterns
+    return [(n, re.compile(p), r.replace("$1", r"\1")) for n, p, r in T.REDACTIONS if n not in T.OFF]
 
 
 def canonical(value: Any) -> str:
@@ -85,24 +92,33 @@ def redact_json(df: DataFrame, column: str, *, keys: tuple[str, ...] = SENSITIVE
     """
     ship(df.sparkSession)
 
-    @F.pandas_udf(RESULT)
-    def walked(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
+    @F.arrow_udf(RESULT)
+    def walked(texts: pa.Array) -> pa.Array:
+        done, paths, rules, ends, digests = [], [], [], [0], []
+        for t in texts.to_pylist():
             if t is None:
-                rows.append((None, None, None))
+                done.append(None)
+                digests.append(None)
+                ends.append(len(paths))
                 continue
             try:
                 value = json.loads(t)
             except (ValueError, RecursionError):
                 value = t
             changes: list[tuple[str, str]] = []
-            done = redact_value(value, keys, strict, "$", changes)
-            rows.append((canonical(done), [{"path": p, "rule": r} for p, r in changes], hashlib.sha256(canonical(value).encode()).hexdigest()))
-        return pd.DataFrame(rows, columns=["redacted", "changes", "digest"])
-
+            done.append(canonical(redact_value(value, keys, strict, "$", changes)))
+            for p, r in changes:
+                paths.append(p)
+                rules.append(r)
+            ends.append(len(paths))
+            digests.append(hashlib.sha256(canonical(value).encode()).hexdigest())
+        # columns are built as they are: rows of lists of dictionaries took most of the time
+        each = pa.StructArray.from_arrays([pa.array(paths, pa.string()), pa.array(rules, pa.string())], ["path", "rule"])
+        return pa.StructArray.from_arrays([pa.array(done, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each), pa.array(digests, pa.string())], ["redacted", "changes", "digest"])
+
+    # not deterministic for Spark, which else walks every document once more for a filter on what comes out
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("redacted", "changes", "digest")]
-    return df.select(*kept, walked(F.col(f"`{column}`")).alias("done__")).select(*kept, *[F.when(F.col(f"`{column}`").isNotNull(), F.col(f"done__.{c}")).alias(c) for c in ("redacted", "changes", "digest")])
+    return df.select(*kept, walked.asNondeterministic()(F.col(f"`{column}`")).alias("done__")).select(*kept, *[F.when(F.col(f"`{column}`").isNotNull(), F.col(f"done__.{c}")).alias(c) for c in ("redacted", "changes", "digest")])
 
 
 def order_notes(spark: SparkSession, d: str) -> DataFrame:
