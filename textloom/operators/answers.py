@@ -21,16 +21,27 @@ hits AS (SELECT item_id, doc_id, matched, n_keys, n_words, round(matched * 1.0 /
   FROM (SELECT item_id, doc_id, count(*) AS matched FROM q JOIN k USING (w) GROUP BY 1, 2) JOIN qn USING (item_id) JOIN dn USING (doc_id) JOIN (SELECT doc_id, source, lang, n_chars FROM documents) USING (doc_id))"""
 
 
-def hits(spark: SparkSession, d: str) -> DataFrame:
-    """``item_id``, ``doc_id``, ``matched`` keywords, ``score``, ``semantic`` (cosine of the keyword sets) and the document's columns."""
-    docs, bench = table(spark, d, "documents"), table(spark, d, "benchmark")
-    keys = lambda df, *cols: df.select(*cols, F.array_distinct(T.keywords(F.col("text"))).alias("ws"))
-    k = keys(docs, "doc_id", "source", "lang", "n_chars").withColumn("n_words", F.size("ws")).withColumn("w", F.explode("ws")).drop("ws")
-    q = keys(bench, "item_id").withColumn("n_keys", F.size("ws")).withColumn("w", F.explode("ws")).drop("ws")
+def keyword_sets(df: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and ``ws``, the distinct keywords of a text."""
+    return df.select(*columns, F.array_distinct(T.keywords(F.col("text"))).alias("ws"))
+
+
+def hits(spark: SparkSession, d: str, sets: DataFrame | None = None) -> DataFrame:
+    """``item_id``, ``doc_id``, ``matched`` keywords, ``score``, ``semantic`` (cosine of the keyword sets) and the document's columns.
+
+    ``sets`` are the documents' columns and keywords where the caller has them.
+    """
+    sets = document_sets(spark, d) if sets is None else sets
+    k = sets.withColumn("n_words", F.size("ws")).withColumn("w", F.explode("ws")).drop("ws")
+    q = keyword_sets(table(spark, d, "benchmark"), "item_id").withColumn("n_keys", F.size("ws")).withColumn("w", F.explode("ws")).drop("ws")
     h = q.join(k, "w").groupBy("item_id", "doc_id", "n_keys", "n_words", "source", "lang", "n_chars").agg(F.count("*").alias("matched"))
     return written(h.withColumn("score", F.round(F.col("matched") / F.col("n_keys"), 9)).withColumn("semantic", F.round(F.col("matched") / F.sqrt(F.col("n_keys") * F.col("n_words")), 9)), "hits")
 
 
+def document_sets(spark: SparkSession, d: str) -> DataFrame:
+    return keyword_sets(table(spark, d, "documents"), "doc_id", "source", "lang", "n_chars")
+
+
 def ranked(h: DataFrame, *order: Column | str, by: str = "item_id") -> DataFrame:
     return h.withColumn("i", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
 
@@ -64,12 +75,15 @@ m AS (SELECT item_id, doc_id, score, 'original' AS origin FROM hits WHERE score
 SELECT item_id, doc_id, round(score, 9) AS score, origin FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, origin DESC, doc_id) AS i FROM m) WHERE i <= 10""")
 def expanded_search(spark: SparkSession, d: str) -> DataFrame:
     """Ten results of each query and its expansion by five words of the best document; expanded scores count 0.9, originals win."""
-    h = hits(spark, d)
-    k = written(table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(T.keywords(F.col("text")))).alias("w")), "keywords")
+    # keywords are found once and kept as sets; of the best documents alone they are made rows that move
+    sets = written(document_sets(spark, d), "keyword-sets")
+    h = hits(spark, d, sets)
     q = table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(T.keywords(F.col("text")))).alias("w"))
     best = ranked(h, F.desc("score"), "doc_id").where("i = 1").select("item_id", "doc_id")
-    x = ranked(best.join(k, "doc_id").select("item_id", "w").join(q, ["item_id", "w"], "left_anti"), "w").where("i <= 5").select("item_id", "w")
-    e = x.join(k, "w").groupBy("item_id", "doc_id").agg((F.count("*") / 5.0 * 0.9).alias("score"))
+    own = sets.select("doc_id", "ws").join(F.broadcast(best), "doc_id").select("item_id", F.explode("ws").alias("w"))  # one row a query
+    x = ranked(own.join(q, ["item_id", "w"], "left_anti"), "w").where("i <= 5").select("item_id", "w")
+    k = sets.select("doc_id", F.explode("ws").alias("w"))
+    e = k.join(F.broadcast(x), "w").groupBy("item_id", "doc_id").agg((F.count("*") / 5.0 * 0.9).alias("score"))  # five rows a query
     original = h.where(F.col("score") >= FLOOR).select("item_id", "doc_id", "score", F.lit("original").alias("origin"))
     m = original.union(e.join(original, ["item_id", "doc_id"], "left_anti").select("item_id", "doc_id", "score", F.lit("expanded")))
     return ranked(m.withColumn("score", F.round("score", 9)), F.desc("score"), F.desc("origin"), "doc_id").where("i <= 10").drop("i")
