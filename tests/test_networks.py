@@ -3,6 +3,7 @@
 import heapq
 import itertools
 import random
+import zlib
 from collections import defaultdict, deque
 
 from pyspark.sql import functions as F
@@ -122,3 +123,68 @@ def test_betweenness_equals_brute_force(spark):
         for sources in (sorted({a for a, *_ in edges}), [1, 5]):
             got = N.betweenness(df, spark.createDataFrame([(s,) for s in sources], "node long")).collect()
             assert {r.node: round(r.betweenness, 6) for r in got} == betweenness_by_hand(edges, sources)
+
+
+def louvain_by_hand(edges):
+    """Communities by the rules of ``louvain``, and how often a level or a class with a node that would move came up."""
+    ways, asked = defaultdict(float), 0
+    for a, b, w in both(edges):
+        ways[a, b] += w
+    total, member = sum(ways.values()), {x: x for e in ways for x in e}
+
+    def quality(ways, comm):
+        k, inside = defaultdict(float), 0.0
+        for (x, y), w in ways.items():
+            k[comm[x]] += w
+            inside += w * (comm[x] == comm[y])
+        return inside / total - sum((v / total) ** 2 for v in k.values())
+
+    best = quality(ways, member)
+    level = dict(ways)
+    for _ in range(N.LEVELS):
+        k, asked = defaultdict(float), asked + 1
+        for (x, _), w in level.items():
+            k[x] += w
+        comm, now, classes, quiet = {x: x for x in k}, None, 2, 0
+        now = quality(level, comm)
+        for turn in range(N.PASSES):
+            tot, changed = defaultdict(float), dict(comm)
+            for x in comm:
+                tot[comm[x]] += k[x]
+            for x in comm:
+                link = defaultdict(float, {comm[x]: 0.0})
+                for (a, y), w in level.items():
+                    if a == x != y:
+                        link[comm[y]] += w
+                gain = {c: round(w - k[x] * (tot[c] - k[x] * (c == comm[x])) / total, 9) for c, w in link.items()}
+                to = min(gain, key=lambda c: (-gain[c], c))
+                if zlib.crc32(str(x).encode()) % classes == turn % classes and gain[to] > gain[comm[x]] + N.GAIN:
+                    changed[x] = to
+            asked += changed != comm
+            after = quality(level, changed)
+            if changed != comm and after > now + N.GAIN:
+                comm, now, quiet = changed, after, 0
+            elif changed != comm and classes < N.CLASSES:
+                classes, quiet = classes * 2, 0
+            else:
+                quiet += 1
+            if quiet == classes:
+                break
+        named = {x: comm[c] for x, c in member.items()}
+        if quality(ways, named) <= best + N.GAIN:
+            break
+        member, best, up = named, quality(ways, named), defaultdict(float)
+        for (x, y), w in level.items():
+            up[comm[x], comm[y]] += w
+        level = up
+    return {x: min(y for y in member if member[y] == c) for x, c in member.items()}, asked
+
+
+def test_louvain_asks_once_until_a_pass_is_kept(spark, monkeypatch):
+    edges = random_graph(7, 14, 30) + [(3, 3, 2.0)]
+    rounds = []
+    monkeypatch.setattr(N, "written", lambda df, name, keep=N.written: rounds.append(name) or keep(df, name))
+    member, _ = N.louvain(spark.createDataFrame(edges, "a long, b long, w double"))
+    want, asked = louvain_by_hand(edges)
+    assert {r.node: r.community for r in member.collect()} == want
+    assert rounds.count("state") == asked

@@ -85,9 +85,10 @@ def entity_documents(spark: SparkSession, d: str) -> DataFrame:
 GAIN, PASSES, CLASSES, LEVELS = 1e-9, 40, 64, 10
 
 
-def modularity(edges: DataFrame, member: DataFrame) -> float:
-    """Modularity of communities (``node``, ``comm``) over undirected edges ``x``, ``y``, ``w``, each given both ways; a loop once, with twice its weight."""
-    total = edges.agg(F.sum("w")).first()[0]
+def modularity(edges: DataFrame, member: DataFrame, total: float | None = None) -> float:
+    """Modularity of communities (``node``, ``comm``) over undirected edges ``x``, ``y``, ``w``, each given both ways; a loop once, with twice its weight; ``total`` is the sum of ``w``, where it is known."""
+    if total is None:
+        total = edges.agg(F.sum("w")).first()[0]
     if not total:
         return 0.0
     known = edges.join(member.select(F.col("node").alias("x"), F.col("comm").alias("cx")), "x").join(member.select(F.col("node").alias("y"), F.col("comm").alias("cy")), "y")
@@ -112,11 +113,11 @@ def louvain(edges: DataFrame, a: str = "a", b: str = "b", weight: str = "w") ->
     member = written(graph.select(F.col("x").alias("node")).distinct().withColumn("comm", F.col("node")), "members")
     if not total:
         return member.select("node", F.col("comm").alias("community")), 0.0
-    first, best, level = graph, modularity(graph, member), graph
+    first, best, level = graph, modularity(graph, member, total), graph
     for _ in range(LEVELS):
         moved = _passes(level, total)
         named = written(member.join(moved.select(F.col("node").alias("comm"), F.col("comm").alias("up")), "comm").select("node", F.col("up").alias("comm")), "members")
-        now = modularity(first, named)
+        now = modularity(first, named, total)
         if now <= best + GAIN:
             break
         member, best = named, now
@@ -127,36 +128,52 @@ def louvain(edges: DataFrame, a: str = "a", b: str = "b", weight: str = "w") ->
 
 
 def _passes(graph: DataFrame, total: float) -> DataFrame:
-    """``node`` and ``comm`` after the moves of one level; each node starts as its own community."""
-    nodes = written(graph.groupBy(F.col("x").alias("node")).agg(F.sum("w").alias("k")).withColumn("class", F.crc32(F.col("node").cast("string").cast("binary"))), "nodes")
-    others = graph.where("x <> y")
-    state, quiet, classes = written(nodes.select("node", F.col("node").alias("comm")), "state"), 0, 2
-    now = modularity(graph, state)
+    """``node`` and ``comm`` after the moves of one level; each node starts as its own community.
+
+    What a node would do follows from the communities alone, so all nodes are asked at once, and the
+    answers hold until a pass is kept: a class without a node that would move costs no job, any other
+    one table and its sums.
+    """
+    nodes = graph.groupBy(F.col("x").alias("node")).agg(F.sum("w").alias("k")).withColumn("class", F.crc32(F.col("node").cast("string").cast("binary")) % CLASSES)
+    loops, others = graph.where("x = y").agg(F.sum("w")).first()[0] or 0.0, graph.where("x <> y")
+
+    def asked(state: DataFrame) -> tuple[DataFrame, float, list[int]]:
+        answers = written(_asked(state, others, total), "state")
+        inside, squares, turns = answers.agg(F.sum("inside"), F.sum(F.col("k") * F.col("tot")), F.collect_set(F.when(F.col("to").isNotNull(), F.col("class")))).first()
+        return answers, (inside + loops) / total - squares / total**2, turns
+
+    state, now, turns = asked(written(nodes.withColumn("comm", F.col("node")), "nodes"))
+    quiet, classes = 0, 2
     for k in range(PASSES):
-        own = nodes.join(state, "node")
-        weight = own.groupBy("comm").agg(F.sum("k").alias("tot"))
-        mine = own.where(F.col("class") % classes == k % classes)
-        links = others.join(mine.select(F.col("node").alias("x")), "x").join(state.select(F.col("node").alias("y"), "comm"), "y").groupBy(F.col("x").alias("node"), "comm").agg(F.sum("w").alias("link"))
-        links = links.union(mine.select("node", "comm", F.lit(0.0))).groupBy("node", "comm").agg(F.sum("link").alias("link"))
-        at = mine.select("node", "k", F.col("comm").alias("home"))
-        gain = F.col("link") - F.col("k") * (F.col("tot") - F.when(F.col("comm") == F.col("home"), F.col("k")).otherwise(0.0)) / total
-        scored = links.join(at, "node").join(weight, "comm").withColumn("gain", F.round(gain, 9))
-        # of equal gains the home first, then the least name
-        best = scored.groupBy("node").agg(F.max(F.when(F.col("comm") == F.col("home"), F.col("gain"))).alias("stay"), F.min(F.struct((-F.col("gain")).alias("g"), "comm")).alias("top"))
-        turned = best.where(-F.col("top.g") > F.col("stay") + GAIN).select("node", F.col("top.comm").alias("to"))
-        changed = written(state.join(turned, "node", "left").select("node", F.coalesce("to", "comm").alias("comm"), F.col("to").isNotNull().alias("moved")), "state")
-        after = modularity(graph, changed) if changed.where("moved").head(1) else None
-        if after is None:
-            quiet += 1
-        elif after > now + GAIN:
-            state, now, quiet = changed.select("node", "comm"), after, 0
-        elif classes < CLASSES:
-            classes, quiet = classes * 2, 0
+        if any(c % classes == k % classes for c in turns):
+            comm = F.when(F.col("class") % classes == k % classes, F.coalesce("to", "comm")).otherwise(F.col("comm"))
+            changed, after, then = asked(state.select("node", "k", "class", comm.alias("comm")))
+            if after > now + GAIN:
+                state, now, turns, quiet = changed, after, then, 0
+            elif classes < CLASSES:
+                classes, quiet = classes * 2, 0
+            else:
+                quiet += 1
         else:
             quiet += 1
         if quiet == classes:
             break
-    return state
+    return state.select("node", "comm")
+
+
+def _asked(state: DataFrame, others: DataFrame, total: float) -> DataFrame:
+    """``state`` (``node``, its weight ``k``, ``class`` and ``comm``) with ``to``, the community that the node would gain by joining, else null, its weight ``inside`` its own and that one's ``tot``."""
+    weight = state.groupBy("comm").agg(F.sum("k").alias("tot"))
+    links = others.join(state.select(F.col("node").alias("y"), "comm"), "y").groupBy(F.col("x").alias("node"), "comm").agg(F.sum("w").alias("link"))
+    links = links.union(state.select("node", "comm", F.lit(0.0))).groupBy("node", "comm").agg(F.sum("link").alias("link"))
+    at = state.select("node", "k", "class", F.col("comm").alias("home"))
+    stays = F.col("comm") == F.col("home")
+    gain = F.col("link") - F.col("k") * (F.col("tot") - F.when(stays, F.col("k")).otherwise(0.0)) / total
+    scored = links.join(at, "node").join(weight, "comm").withColumn("gain", F.round(gain, 9))
+    # of equal gains the home first, then the least name
+    here = [F.max(F.when(stays, F.col(c))).alias(n) for c, n in (("gain", "stay"), ("link", "inside"), ("tot", "tot"))]
+    best = scored.groupBy("node", "k", "class", "home").agg(*here, F.min(F.struct((-F.col("gain")).alias("g"), "comm")).alias("top"))
+    return best.select("node", "k", "class", F.col("home").alias("comm"), F.when(-F.col("top.g") > F.col("stay") + GAIN, F.col("top.comm")).alias("to"), "inside", "tot")
 
 
 @query("trade_communities", None)
