@@ -191,10 +191,11 @@ def shortest_distances(edges: DataFrame, start: DataFrame, delta: float, most: f
 
     Delta-stepping: nodes are settled by buckets of distances, ``delta`` wide.  Edges up to
     ``delta`` are relaxed until the bucket is at rest, longer ones once for all that it has
-    settled.  A null or negative weight is no edge.
+    settled.  Both kinds are written apart, as they come: of edges between the same nodes the
+    least offer counts, so they need not be grouped.  A null or negative weight is no edge.
     """
-    edges = written(edges.where("x IS NOT NULL AND y IS NOT NULL AND w >= 0").groupBy("x", "y").agg(F.min("w").alias("w")), "graph")
-    light, heavy = edges.where(F.col("w") <= delta), edges.where(F.col("w") > delta)
+    edges = edges.where("x IS NOT NULL AND y IS NOT NULL AND w >= 0").select("x", "y", "w")
+    light, heavy = written(edges.where(F.col("w") <= delta), "light"), written(edges.where(F.col("w") > delta), "heavy")
     known = written(start.select("node", F.lit(0.0).alias("distance"), F.lit(True).alias("fresh")).distinct(), "distances")
     done = -1
     while True:
@@ -227,10 +228,21 @@ d(node, distance) USING KEY (node) AS (SELECT min(a), 0.0::DOUBLE FROM edges UNI
   SELECT g.y, min(d.distance + g.w) FROM d JOIN g ON g.x = d.node LEFT JOIN recurring.d r ON r.node = g.y GROUP BY g.y HAVING min(d.distance + g.w) < coalesce(min(r.distance), 1e300))
 SELECT node, distance FROM d""")
 def weighted_distances(spark: SparkSession, d: str) -> DataFrame:
-    """Least total quantity on a way from the first supplier to each supplier and part, over the smallest line of each pair."""
-    lines = table(spark, d, "lineitem").groupBy(F.concat(F.lit("s"), "l_suppkey").alias("x"), F.concat(F.lit("p"), "l_partkey").alias("y")).agg(F.min("l_quantity").alias("w"))
-    lines = written(lines, "lines")
-    return shortest_distances(lines.union(lines.select("y", "x", "w")), lines.agg(F.min("x").alias("node")), 4.0)
+    """Least total quantity on a way from the first supplier to each supplier and part, over the smallest line of each pair.
+
+    Nodes are numbers on the way, twice the key and one more for a part, as they are read and joined in each round; names where a key is too large for that.
+    """
+    lines = table(spark, d, "lineitem").select(F.col("l_suppkey").cast("long").alias("s"), F.col("l_partkey").cast("long").alias("p"), F.col("l_quantity").alias("w"))
+    least, most = lines.agg(F.min(F.least("s", "p")), F.max(F.greatest("s", "p"))).first()
+    numbers = least is None or -(1 << 62) <= least and most < 1 << 62
+    if numbers:
+        ends = F.shiftleft("s", 1), F.shiftleft("p", 1).bitwiseOR(F.lit(1))
+        name = F.concat(F.when(F.col("node").bitwiseAND(F.lit(1)) == 0, "s").otherwise("p"), F.shiftright("node", 1))
+    else:
+        ends, name = (F.concat(F.lit("s"), "s"), F.concat(F.lit("p"), "p")), F.col("node")
+    edges = lines.select(ends[0].alias("x"), ends[1].alias("y"), "w")
+    start = lines.where("s IS NOT NULL").groupBy().agg(F.min_by("s", F.concat(F.lit("s"), "s")).alias("s")).select(ends[0].alias("node"))
+    return shortest_distances(edges.union(edges.select("y", "x", "w")), start, 4.0).select(name.alias("node"), "distance")
 
 
 # betweenness
