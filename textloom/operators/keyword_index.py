@@ -204,8 +204,8 @@ def _scores(posts: pa.Table, asked: pa.Table, weighted: pa.Table, mean: float, i
         live = np.array([x not in dead for x in zip(doc.tolist(), segment.tolist())], bool)
         of, doc, tf, size = of[live], doc[live], tf[live], size[live]
     docs, at = np.unique(doc, return_inverse=True)
-    weight = np.zeros((len(terms), len(docs)))
-    weight[of, at] = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / max(mean, 1e-9)))
+    each = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / max(mean, 1e-9)))
+    weight = np.bincount(of * len(docs) + at, each, len(terms) * len(docs)).reshape(len(terms), len(docs))
     order = np.argsort(query, kind="stable")
     query, term, idf = query[order], term[order], idf[order]
     ends = [*(np.flatnonzero(query[1:] != query[:-1]) + 1).tolist(), len(query)]
